@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,11 +21,22 @@ WORD = r"[\p{L}\p{N}_]"
 
 NOTE_MARKER = "Note: "
 
+_TO_END = 2**31 - 1
+
 
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    Catalyst copies an expression to each of its uses; inside lambda functions the
+    copies are not shared again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Remove leading and trailing Unicode whitespace."""
     return F.trim(as_column(text), F.lit(WHITESPACE))
@@ -36,19 +47,26 @@ def is_blank(text: Column | str) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
-def _drop_quote(stripped: Column) -> Column:
-    return strip(F.regexp_replace(stripped, r'"\z', ""))
-
-
 def clean_translation(text: Column | str) -> Column:
     """First line of a generated translation without closing quote and note.
 
-    Null (not a text) gives the empty string.
+    Strip the text and drop one closing quote; where lines remain, keep the first
+    and drop one closing quote of it; cut at the first note marker; strip after
+    each step. Null (not a text) gives the empty string.
+
+    Only the first line is worked on. Of the lines after it one thing matters: if
+    they hold a lone quote and nothing else, that was the closing quote, and the
+    first line keeps its own.
     """
-    body = _drop_quote(strip(text))
-    first_line = _drop_quote(strip(F.substring_index(body, "\n", 1)))
-    body = F.when(F.contains(body, F.lit("\n")), first_line).otherwise(body)
-    return F.coalesce(strip(F.substring_index(body, NOTE_MARKER, 1)), F.lit(""))
+    blank = F.lit(WHITESPACE)
+    lines = F.split(F.ltrim(as_column(text), blank), "\n", 2)
+    first = F.rtrim(F.get(lines, F.lit(0)), blank)
+    rest = F.ltrim(F.get(lines, F.lit(1)), blank)
+    after_quote = F.ltrim(F.substring(rest, 2, _TO_END), blank)
+    lone_quote = F.startswith(rest, F.lit('"')) & (after_quote == "")
+    unquoted = strip(F.regexp_replace(first, r'"\z', ""))
+    line = F.when(lone_quote, first).otherwise(unquoted)
+    return F.coalesce(strip(F.substring_index(line, NOTE_MARKER, 1)), F.lit(""))
 
 
 def token_choice(token: Column | str, choices: Sequence[str]) -> Column:

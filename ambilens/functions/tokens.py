@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ambilens.functions.text import as_column, strip, token_choice
+from ambilens.functions.text import as_column, let, strip, token_choice
 
 MODES = ("default", "cot", "thinking")
 
@@ -71,13 +71,15 @@ def decision_position(
         return F.when(present, F.lit(0))
 
     if mode == "thinking":
-        start = last_subsequence(ids, think_end_ids)
-        spoken = F.filter(
-            F.sequence(F.lit(0), F.size(ids) - 1),
-            lambda i: (i >= start + len(think_end_ids))
-            & (strip(decode_id(F.get(ids, i), texts)) != ""),
-        )
-        return F.when(present & start.isNotNull(), F.try_element_at(spoken, F.lit(1)))
+        def first_spoken(start: Column) -> Column:
+            after = start + len(think_end_ids)
+            spoken = F.filter(
+                F.sequence(after, F.greatest(after, F.size(ids) - 1)),
+                lambda i: strip(decode_id(F.get(ids, i), texts)) != "",
+            )
+            return F.try_element_at(spoken, F.lit(1))
+
+        return F.when(present, let(last_subsequence(ids, think_end_ids), first_spoken))
 
     def spells_choice(i: Column) -> Column:
         sampled = F.get(ids, i)
@@ -112,26 +114,31 @@ def choice_probabilities(
         ),
     )
     names = F.array(*[F.lit(choice) for choice in choices])
-    raw = F.transform(
-        names,
-        lambda name: F.when(
-            position.isNotNull(),
-            F.aggregate(
-                F.filter(spelled, lambda alt: alt["choice"] == name),
-                F.lit(0.0),
-                lambda acc, alt: acc + alt["p"],
-            ),
-        ),
-    )
 
-    def shares(values: Column) -> Column:
-        total = F.aggregate(values, F.lit(0.0), lambda acc, p: acc + p)
-        return F.transform(values, lambda p: F.when(total > 0, p / total).otherwise(total))
+    def masses(alternatives: Column) -> Column:
+        return F.transform(names, lambda name: F.aggregate(
+            F.filter(alternatives, lambda alt: alt["choice"] == name),
+            F.lit(0.0),
+            lambda acc, alt: acc + alt["p"],
+        ))
+
+    def shares(raw: Column) -> Column:
+        total = F.aggregate(raw, F.lit(0.0), lambda acc, p: acc + p)
+        normalized = let(total, lambda t: F.transform(
+            raw, lambda p: F.when(t > 0, p / t).otherwise(0.0)
+        ))
+        return F.struct(
+            F.map_from_arrays(names, raw).alias("raw"),
+            F.map_from_arrays(names, normalized).alias("normalized"),
+        )
 
-    return F.struct(
-        F.map_from_arrays(names, raw).alias("raw"),
-        F.map_from_arrays(names, shares(raw)).alias("normalized"),
+    unknown = F.array(*[F.lit(None).cast("double") for _ in choices])
+    found = let(let(spelled, masses), shares)
+    nothing = F.struct(
+        F.map_from_arrays(names, unknown).alias("raw"),
+        F.map_from_arrays(names, unknown).alias("normalized"),
     )
+    return F.when(position.isNull(), nothing).otherwise(found)
 
 
 def entry_alternatives(entry: Column) -> Column:

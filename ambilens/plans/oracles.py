@@ -108,7 +108,7 @@ def scored(source: str, extra: str = "") -> str:
 
 
 EARLIER = f"""{KEYED}, v as (
-  select distinct source_index, processed_text from processed
+  select distinct source_index, source_text, ambiguity, processed_text from processed
   where not {BLANK} and finish_reason = 'stop'),
 old_pairs as (
   select distinct a.processed_text as sentence1, b.processed_text as sentence2
@@ -366,9 +366,15 @@ select source_index, sentence1, sentence2, {micro("p0")} as p0, {micro("p1")} as
        {micro("p2")} as p2
 from ({scored("select *, '' as cache_key from pairs", "source_index,")})""",
     "label_scores": f"""
-with {PAIRS}
-select sentence1, sentence2, prediction, is_equivalent from (
-  {scored("select distinct sentence1, sentence2, '' as cache_key from pairs")})""",
+with {KEYED}
+select cache_key, prediction, is_equivalent from ({scored("select * from keyed")})""",
+    "attached_predictions": f"""
+with {EARLIER}
+select v.source_index, v.source_text, v.ambiguity, e.sentence1, e.sentence2, e.prediction,
+       {PROBABILITIES}, e.is_equivalent = 1 as is_equivalent, '{inputs.MODEL}' as nli_model,
+       '{inputs.REVISION}' as nli_revision
+from v join v w on v.source_index = w.source_index and v.processed_text < w.processed_text
+join earlier e on e.sentence1 = v.processed_text and e.sentence2 = w.processed_text""",
     "normalized_labels": """
 select conv_id, turn,
        case length(text) % 4 when 0 then 'equivalent' when 1 then 'neutral'

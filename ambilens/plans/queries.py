@@ -176,29 +176,28 @@ def pairs_per_source(spark, sf_dir):
     return pair_table(spark, sf_dir).groupBy("source_index").agg(F.count("*").alias("n_pairs"))
 
 
-def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.keyed_pairs(pair_table(spark, sf_dir), inputs.MODEL, inputs.REVISION)
+def keyed(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    stored = stage(unique_table(spark, sf_dir), "unique")
+    return scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
 
 
 def cache_keys(spark, sf_dir):
     return keyed(spark, sf_dir).select("source_index", "sentence1", "sentence2", "cache_key")
 
 
+SCORER = scoring.logit_scorer(inputs.pair_logits, inputs.LABEL_MAP)
+
+
 def scored(df: DataFrame) -> DataFrame:
-    scorer = scoring.column_scorer(
-        lambda a, b: scores.probabilities_from_logits(inputs.pair_logits(a, b), inputs.LABEL_MAP)
-    )
-    return scoring.predictions(scorer(df), inputs.MODEL, inputs.REVISION)
+    return scoring.predictions(SCORER(df), inputs.MODEL, inputs.REVISION)
 
 
 def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of an earlier run, which saw the candidates that ended by themselves."""
     rows = processed(spark, sf_dir).where(F.col("finish_reason") == "stop")
-    found = pairs.translation_pairs(
-        stage(unique.unique_translations(rows, orphans=False), "earlier")
-    )
-    wanted = scoring.keyed_pairs(found, inputs.MODEL, inputs.REVISION)
-    return scored(wanted.select("cache_key", "sentence1", "sentence2").distinct())
+    stored = stage(unique.unique_translations(rows, orphans=False), "earlier")
+    wanted = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION)
+    return stage(scored(wanted.dropDuplicates(["cache_key"])), "cache")
 
 
 def cache_misses(spark, sf_dir):
@@ -213,7 +212,7 @@ def cache_hits(spark, sf_dir):
 def cache_upsert(spark, sf_dir):
     """Earlier entries and a run over all pairs, the first writer kept."""
     old = earlier_cache(spark, sf_dir).withColumn("run_seq", F.lit(0))
-    new = scored(keyed(spark, sf_dir).select("cache_key", "sentence1", "sentence2"))
+    new = scored(keyed(spark, sf_dir))
     entries = old.unionByName(new.withColumn("run_seq", F.lit(1)))
     kept = scoring.first_writer(entries, ["run_seq"])
     return kept.select("cache_key", "sentence1", "sentence2", "prediction", "run_seq")
@@ -221,16 +220,17 @@ def cache_upsert(spark, sf_dir):
 
 def softmax_scores(spark, sf_dir):
     logits = inputs.pair_logits(F.col("sentence1"), F.col("sentence2"))
-    p = scores.checked_probabilities(scores.softmax(logits))
-    return pair_table(spark, sf_dir).select(
+    rows = pair_table(spark, sf_dir).withColumn("p", scores.softmax(logits))
+    rows = rows.withColumn("p", scores.checked_probabilities("p"))
+    return rows.select(
         "source_index", "sentence1", "sentence2",
-        *[micro(F.get(p, F.lit(i))).alias(f"p{i}") for i in range(3)],
+        *[micro(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(3)],
     )
 
 
 def label_scores(spark, sf_dir):
-    rows = scored(keyed(spark, sf_dir).select("cache_key", "sentence1", "sentence2").distinct())
-    return rows.select("sentence1", "sentence2", "prediction", "is_equivalent")
+    rows = scored(keyed(spark, sf_dir))
+    return rows.select("cache_key", "prediction", "is_equivalent")
 
 
 def normalized_labels(spark, sf_dir):
@@ -254,10 +254,19 @@ def probability_checks(spark, sf_dir):
 
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
-    wanted = keyed(spark, sf_dir)
-    old = earlier_cache(spark, sf_dir)
-    cache = old.unionByName(scored(scoring.missing_pairs(wanted, old)))
-    return _micros(scoring.attach_predictions(wanted, cache))
+    resolved = scoring.resolve_pairs(
+        keyed(spark, sf_dir, repeats=True), earlier_cache(spark, sf_dir), SCORER,
+        inputs.MODEL, inputs.REVISION,
+    )
+    return _micros(scoring.scored_rows(resolved))
+
+
+def attached_predictions(spark, sf_dir):
+    """Pairs of the earlier run's texts, joined to its cache."""
+    rows = processed(spark, sf_dir).where(F.col("finish_reason") == "stop")
+    stored = stage(unique.unique_translations(rows, orphans=False), "earlier")
+    wanted = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION)
+    return _micros(scoring.attach_predictions(wanted, earlier_cache(spark, sf_dir)))
 
 
 def scoring_totals(spark, sf_dir):
@@ -451,6 +460,7 @@ QUERIES: dict[str, Query] = {
     "normalized_labels": normalized_labels,
     "probability_checks": probability_checks,
     "scored_pairs": scored_pairs,
+    "attached_predictions": attached_predictions,
     "scoring_totals": scoring_totals,
     "identification_prompts": identification_prompts,
     "comparison_prompts": comparison_prompts,
