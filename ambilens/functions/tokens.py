@@ -81,15 +81,25 @@ def decision_position(
 
         return F.when(present, let(last_subsequence(ids, think_end_ids), first_spoken))
 
-    def spells_choice(i: Column) -> Column:
-        sampled = F.get(ids, i)
-        recorded = F.filter(
-            F.coalesce(F.get(entries, i), F.array()), lambda alt: alt["token_id"] == sampled
-        )
-        token = decoded_token(F.get(recorded, F.lit(0))["token"], sampled, texts)
-        return token_choice(token, choices).isNotNull()
-
-    chosen = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), spells_choice)
+    def spells(token: Column) -> Column:
+        # Most tokens hold no choice at all: look before stripping.
+        holds = F.contains(token, F.lit(choices[0]))
+        for choice in choices[1:]:
+            holds = holds | F.contains(token, F.lit(choice))
+        return holds & strip(token).isin(list(choices))
+
+    def spells_choice(token_id: Column, position: Column) -> Column:
+        entry = F.get(entries, position)
+        recorded = F.exists(entry, lambda alt: (alt["token_id"] == token_id)
+                            & spells(decoded_token(alt["token"], token_id, texts)))
+        listed = F.exists(entry, lambda alt: alt["token_id"] == token_id)
+        unlisted = spells(decode_id(token_id, texts)) & ~F.coalesce(listed, F.lit(False))
+        return F.coalesce(recorded, F.lit(False)) | unlisted
+
+    chosen = F.filter(
+        F.transform(ids, lambda token_id, i: F.when(spells_choice(token_id, i), i)),
+        lambda i: i.isNotNull(),
+    )
     return F.when(present, F.try_element_at(chosen, F.lit(-1)))
 
 

@@ -129,7 +129,7 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(
-    df: DataFrame, text: str, keep: list[str], shift: Column, vocabulary=VOCABULARY
+    df: DataFrame, text: str, keep: list[str], shift: Column | None, vocabulary=VOCABULARY
 ) -> DataFrame:
     """Turn texts into token sequences: one token per word, its id from its length.
 
@@ -138,24 +138,37 @@ def _generated(
     """
     ids = F.transform(F.split(text, " "), lambda w: F.pmod(F.length(w), F.lit(10)))
     spelled = F.array(*[F.lit(token) for token in vocabulary])
+    listed = F.array(*[_alternatives(i, vocabulary) for i in range(len(vocabulary))])
 
-    def alternatives(token_id: Column) -> Column:
-        ranks = F.sequence(F.lit(1), 1 + F.pmod(token_id, F.lit(3)))
-        return F.transform(ranks, lambda k: F.struct(
-            F.pmod(token_id + (k - 1) * 3, F.lit(10)).alias("token_id"),
-            F.when(k != 2, F.get(spelled, F.pmod(token_id + (k - 1) * 3, F.lit(10)))).alias("token"),
-            (k * -0.25 - shift * 0.125).alias("logprob"),
-            k.alias("rank"),
+    def shifted(alternatives: Column) -> Column:
+        return F.transform(alternatives, lambda alt: alt.withField(
+            "logprob", alt["logprob"] - shift * 0.125
         ))
 
+    entries = F.transform("token_ids", lambda i: F.get(listed, i))
+    if shift is not None:
+        entries = F.transform(entries, shifted)
     return df.withColumn("token_ids", ids).select(
         *keep,
         F.array_join(F.transform("token_ids", lambda i: F.get(spelled, i)), "").alias("text"),
         "token_ids",
-        F.transform("token_ids", alternatives).alias("logprobs"),
+        entries.alias("logprobs"),
     )
 
 
+def _alternatives(token_id: int, vocabulary) -> Column:
+    ids = [(token_id + 3 * k) % 10 for k in range(1 + token_id % 3)]
+    return F.array(*[
+        F.struct(
+            F.lit(i).alias("token_id"),
+            F.lit(None if k == 1 else vocabulary[i]).cast("string").alias("token"),
+            F.lit(-0.25 * (k + 1)).alias("logprob"),
+            F.lit(k + 1).alias("rank"),
+        )
+        for k, i in enumerate(ids)
+    ])
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generation per conversation turn, keyed by ``request_id``."""
     turns = table(spark, sf_dir, "conversations").withColumn(
@@ -167,7 +180,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generation per document, keyed by ``index``."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "index")
-    return _generated(docs, "text", ["index"], F.lit(0.0))
+    return _generated(docs, "text", ["index"], None)
 
 
 def pair_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +194,7 @@ def pair_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("a "), F.col("text"))
     )
     return _generated(
-        items.withColumn("text", later), "text", ["pair_index", "order"], F.lit(0.0),
+        items.withColumn("text", later), "text", ["pair_index", "order"], None,
         PAIR_VOCABULARY,
     )
 
