@@ -118,7 +118,7 @@ def extract_archives(
 
     reader = _reader(spark, False, split_bytes).option("paths", json.dumps(todo))
     records = stage(reader.load(), "records")
-    status = stage(archive_status(records, input_dir), "status")
+    status = stage(_with_silent(archive_status(records, input_dir), todo, input_dir), "status")
     sound = status.where(F.col("status") == WRITTEN)
     # Split files are numbered by byte offset, whole files by record.
     batches = carry_metadata(records, chunk=max(split_bytes // 64, 4096))
@@ -145,6 +145,18 @@ def extract_archives(
     return status.unionByName(skipped)
 
 
+def _with_silent(status: DataFrame, paths: list[str], root: str) -> DataFrame:
+    """Add archives that hold no record at all."""
+    spark = status.sparkSession
+    silent = spark.createDataFrame([(path,) for path in paths], "path string")
+    nothing = F.lit(0).cast("bigint")
+    return status.unionByName(silent.join(status, "path", "left_anti").select(
+        "path", *mirrored(F.col("path"), root), F.lit(FAILED).alias("status"),
+        nothing.alias("n_rows"), nothing.alias("n_samples"),
+        F.lit("no metadata record").alias("error"),
+    ))
+
+
 def _skipped(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     nothing = F.lit(0).cast("bigint")
     return spark.createDataFrame([(path,) for path in paths], "path string").select(
@@ -165,7 +177,7 @@ def _clear(spark: SparkSession, output_dir: str, emptied: DataFrame) -> None:
     stale = old.select("folder", "model_tag", F.col("_metadata.file_path").alias("file"))
     stale = stale.join(emptied.select("folder", "model_tag"), ["folder", "model_tag"], "left_semi")
     for row in stale.select("file").distinct().collect():
-        delete(spark, row.file)
+        delete(spark, row.file, encoded=True)
 
 
 def read_candidates(spark: SparkSession, output_dir: str) -> DataFrame:

@@ -36,9 +36,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str, encoded: bool = False) -> None:
+    """Remove a file or folder; ``encoded`` paths are URIs as Spark reports them."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if encoded else path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

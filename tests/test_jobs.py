@@ -1,0 +1,226 @@
+"""Stored stages: sinks, the prediction cache, scoring jobs and reports."""
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from ambilens.operators import evaluation, scoring
+from ambilens.operators.checks import InvalidInput
+from ambilens.plans import translation
+from ambilens.sinks import report, tables
+from ambilens.sinks.cache import PairCache, Run
+from ambilens.sources.tables import read_model_tables, read_table
+
+SCHEMA = "source_index bigint, source_text string, ambiguity tinyint, processed_text string"
+
+
+def share(one, two):
+    a, b = len(one) % 5 + 1, len(two) % 3 + 1
+    return [a / (a + b + 1), b / (a + b + 1), 1 / (a + b + 1)]
+
+
+def make_scorers():
+    """Local functions, which reach the workers by value."""
+
+    def score(ones, twos):
+        rows = []
+        for one, two in zip(ones, twos):
+            a, b = len(one) % 5 + 1, len(two) % 3 + 1
+            rows.append([a / (a + b + 1), b / (a + b + 1), 1 / (a + b + 1)])
+        return rows
+
+    def load_failing():
+        raise RuntimeError("the model was loaded")
+
+    return scoring.batch_scorer(lambda: score), scoring.batch_scorer(load_failing)
+
+
+SCORER, FAILING = make_scorers()
+
+
+def texts(*sources):
+    return [(s, f"s{s}", s % 2, t) for s, names in sources for t in names]
+
+
+FIRST = texts((1, ["a", "bb", "ccc", "dd dd"]), (2, ["a", "bb", "x"]), (3, ["lone"]))
+SECOND = FIRST + texts((4, ["ccc", "a", "zz"]), (5, ["bb", "a"]))
+
+
+def wanted(rows):
+    out = []
+    groups = {}
+    for s, text, flag, t in rows:
+        groups.setdefault((s, text, flag), []).append(t)
+    for (s, text, flag), names in groups.items():
+        for one, two in itertools.combinations(sorted(names), 2):
+            p = share(one, two)
+            label = ["Equivalent", "Neutral", "Contradiction"][p.index(max(p))]
+            out.append((s, text, flag, one, two, label, *p, label == "Equivalent", "org/m", "r1"))
+    return sorted(out, key=repr)
+
+
+def keys(rows):
+    return {(r[3], r[4]) for r in wanted(rows)}
+
+
+@pytest.fixture
+def cache(spark, tmp_path):
+    return PairCache(spark, str(tmp_path / "cache"), "org/m", "r1")
+
+
+@pytest.mark.parametrize("waves, block, shared", [(1, 512, 100_000), (3, 2, 100_000), (1, 1, 1)])
+def test_scoring_is_incremental(spark, tmp_path, cache, rows, waves, block, shared):
+    def run(data, scorer):
+        totals = translation.score_pairs(
+            spark.createDataFrame(data, SCHEMA), cache, scorer, str(tmp_path / "scored"),
+            waves=waves, block=block, shared_sources=shared)
+        assert rows(spark.read.parquet(str(tmp_path / "scored"))) == wanted(data)
+        return totals.total_pairs, totals.scored_pairs
+
+    assert run(FIRST, SCORER) == (9, len(keys(FIRST)))
+    before = rows(cache.entries())
+    assert run(SECOND, SCORER) == (13, len(keys(SECOND)) - len(keys(FIRST)))
+    assert set(before) <= set(rows(cache.entries()))
+    assert run(SECOND, FAILING) == (13, 0)
+    assert cache.entries().count() == len(keys(SECOND)) == cache.read().count()
+
+
+def test_hot_pairs_are_spread(spark, tmp_path, cache, rows):
+    data = texts(*[(s, ["a", "bb"]) for s in range(40)], (99, ["a", "q"]))
+    df = spark.createDataFrame(data, SCHEMA)
+    shared = scoring.shared_texts(df, 10)
+    assert len(shared) == 2
+    assert scoring.shared_texts(df) == []
+    keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
+    missing = scoring.missing_pairs(keyed, cache.keys(), shared)
+    assert rows(missing, "sentence1", "sentence2") == [("a", "bb"), ("a", "q")]
+    cache.append(scoring.predictions(SCORER(missing), "org/m", "r1"), Run.start())
+    spread = scoring.attach_predictions(keyed, cache.read(), shared, salts=4)
+    assert rows(spread) == rows(scoring.attach_predictions(keyed, cache.read())) == wanted(data)
+
+
+def test_keys_are_the_general_keys(spark, rows):
+    df = spark.createDataFrame(texts((1, ['q"', "w\\", "é\n", "是]"])), SCHEMA)
+    fast = scoring.keyed_translation_pairs(df, 'm"]', "r]")
+    plain = scoring.keyed_pairs(fast.drop("cache_key"), 'm"]', "r]")
+    assert rows(fast, "sentence1", "sentence2", "cache_key") == rows(
+        plain, "sentence1", "sentence2", "cache_key")
+
+
+def test_failed_scoring_leaves_no_output(spark, tmp_path, cache):
+    bad = scoring.batch_scorer(lambda: lambda ones, twos: [[0.5, 0.2, 0.1]] * len(ones))
+    short = scoring.batch_scorer(lambda: lambda ones, twos: [])
+    df = spark.createDataFrame(FIRST, SCHEMA)
+    for scorer, message in ((bad, "do not sum to one"), (short, "Scorer returned 0 rows"), (FAILING, "model was loaded")):
+        with pytest.raises(Exception, match=message):
+            translation.score_pairs(df, cache, scorer, str(tmp_path / "scored"))
+    assert not tables.exists(spark, str(tmp_path / "scored")) and cache.is_empty()
+    with pytest.raises(Exception, match="remain uncached"):
+        keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
+        scoring.attach_predictions(keyed, cache.read()).collect()
+
+
+def test_another_writer_came_first(spark, tmp_path, cache):
+    """A run that overlaps with ours keeps its predictions, in the output too."""
+    df = spark.createDataFrame(texts((1, ["a", "bb"])), SCHEMA)
+    fixed = [("a", "bb", 0.0, 1.0, 0.0)]
+    keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
+
+    def meanwhile(pairs):
+        other = keyed.select("cache_key", "sentence1", "sentence2").withColumn(
+            "probabilities", F.array(*[F.lit(p) for p in fixed[0][2:]]))
+        if cache.is_empty():
+            cache.append(scoring.predictions(other, "org/m", "r1"), Run(0, "other"))
+        return SCORER(pairs)
+
+    totals = translation.score_pairs(df, cache, meanwhile, str(tmp_path / "scored"))
+    row = spark.read.parquet(str(tmp_path / "scored")).first()
+    assert (row.prediction, row.neutral_prob) == ("Neutral", 1.0)
+    assert cache.entries().count() == 2 and cache.read().count() == 1 and totals.total_pairs == 1
+
+
+def test_cache_folders(spark, tmp_path, cache):
+    one = spark.createDataFrame([("k", "a", "b")], "cache_key string, sentence1 string, sentence2 string")
+    scored = one.withColumn("probabilities", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    cache.append(scoring.predictions(scored, "org/m", "r1"), Run.start())
+    other = PairCache(spark, cache.path, "org/m", "007")
+    assert other.is_empty()
+    other.append(scoring.predictions(scored, "org/m", "007"), Run.start())
+    assert other.read().first().nli_revision == "007" and cache.read().count() == 1
+    plan = other.entries()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(nli_model" in plan
+    hits = scoring.cached_hits(one, cache.read())
+    assert hits.first().prediction == "Equivalent" and cache.runs() != other.runs()
+    with pytest.raises(Exception, match="Null in a cache row"):
+        cache.append(scoring.predictions(scored, "org/m", "r1").withColumn("sentence1", F.lit(None)), Run.start())
+    with pytest.raises(ValueError):
+        PairCache(spark, cache.path, "org/m", "")
+
+
+def test_aggregate_job(spark, tmp_path):
+    schema = SCHEMA + ", model string"
+    folder = tmp_path / "extracted"
+    for n, model in enumerate(("m1", "m2")):
+        rows = [(1, "s", 0, t, model) for t in ("b", "a", "", f"only {n}")]
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / f"{model}.parquet"))
+    found = read_model_tables(spark, str(folder), ["source_index", "source_text", "ambiguity", "processed_text"])
+    totals = translation.aggregate_job(found, str(tmp_path / "unique"))
+    assert (totals.n_rows, totals.n_empty, totals.n_unique) == (8, 2, 4)
+    assert translation.aggregate_job(found, str(tmp_path / "unique")) == totals
+    stored = read_table(spark, str(tmp_path / "unique"), ["source_index", "processed_text"])
+    assert [r.processed_text for r in stored.collect()] == ["a", "b", "only 0", "only 1"]
+    scan = stored.select("source_index")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<source_index:bigint>" in scan
+    with pytest.raises(FileNotFoundError):
+        read_model_tables(spark, str(tmp_path / "nowhere"), ["source_index"])
+    with pytest.raises(InvalidInput):
+        read_table(spark, str(tmp_path / "unique"), ["other"])
+
+
+def test_outputs_are_not_overwritten_by_accident(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(3)
+    tables.write_table(df, path, "id int")
+    with pytest.raises(FileExistsError):
+        tables.write_table(df, path)
+    tables.write_table(spark.range(5), path, "id int", overwrite=True)
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "u.state.json").write_text("{}")
+    with pytest.raises(FileExistsError):
+        tables.write_table(df, str(tmp_path / "u"))
+    tables.write_table(df, str(tmp_path / "u"), overwrite=True)
+    assert not (tmp_path / "u.state.json").exists()
+    with pytest.raises(Exception, match="OVERFLOW"):
+        tables.write_table(spark.range(300, 301), str(tmp_path / "v"), "id tinyint")
+    tables.write_table(df.where("id < 0"), str(tmp_path / "empty"), "id int")
+    assert spark.read.schema("id int").parquet(str(tmp_path / "empty")).count() == 0
+
+
+def test_evaluation_reports(spark, tmp_path, rows):
+    corpus = spark.createDataFrame([(0, "句一", 1), (1, "句二", 0)], "index bigint, src string, ambiguity int")
+    logprobs = [[(0, "是", -0.1, 1), (1, "否", -2.0, 2)]]
+    kind = ("index bigint, text string, token_ids array<int>, "
+            "logprobs array<array<struct<token_id int, token string, logprob double, rank int>>>")
+    made = spark.createDataFrame([(0, " 是 ", [0], logprobs), (1, "?", [], [])], kind)
+    results = evaluation.identification_results(corpus, made)
+    by = {r["index"]: r for r in results.collect()}
+    assert (by[0].expected_answer, by[0].parsed_answer, by[0].response) == ("是", "是", "是")
+    assert by[0].choice_probability.normalized["是"] > 0.8 and by[1].decision_token_position is None
+    assert by[1].choice_probability.raw == {"是": None, "否": None} and by[0].input_text.endswith("句一")
+    header = {"model_id": "m", "prompt_template": "句子", "thinking": False}
+    report.write_report(results, header, str(tmp_path / "r"))
+    read, lines = report.read_report(spark, str(tmp_path / "r"))
+    assert read == header and lines.count() == 2
+    raw = "".join(p.read_text("utf-8") for p in (tmp_path / "r/results").glob("*.json"))
+    assert "句一" in raw
+    with pytest.raises(FileExistsError):
+        report.write_report(results, header, str(tmp_path / "r"))
+
+    pairs = spark.createDataFrame([(0, "甲", "乙")], "pair_index bigint, ambiguous string, unambiguous string")
+    both = spark.createDataFrame(
+        [(0, order, "1", [0], [[(0, "1", -0.5, 1)]]) for order in ("original", "reversed")],
+        kind.replace("index bigint", "pair_index bigint, order string"))
+    got = {r.order: r for r in evaluation.comparison_results(pairs, both).collect()}
+    assert (got["original"].expected_answer, got["reversed"].expected_answer) == ("1", "2")
+    assert got["reversed"].sentence_1 == "乙" and got["reversed"].choice_probability.normalized == {"1": 1.0, "2": 0.0}
