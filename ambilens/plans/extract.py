@@ -16,7 +16,7 @@ from ambilens.operators.archive import (
     flatten_candidates,
 )
 from ambilens.operators.skew import lookup_join
-from ambilens.session import stage
+from ambilens.session import scratch_path, stage
 from ambilens.sinks.tables import COMPRESSION, delete, read_or_none, to_schema
 from ambilens.sources.archive import FORMAT, SPLIT_BYTES, SUFFIX, list_archives, register
 
@@ -117,7 +117,8 @@ def extract_archives(
         return skipped
 
     reader = _reader(spark, False, split_bytes).option("paths", json.dumps(todo))
-    records = stage(reader.load(), "records")
+    folder = scratch_path(spark, "extract")
+    records = stage(reader.load(), path=f"{folder}/records")
     status = stage(_with_silent(archive_status(records, input_dir), todo, input_dir), "status")
     sound = status.where(F.col("status") == WRITTEN)
     # Split files are numbered by byte offset, whole files by record.
@@ -142,6 +143,7 @@ def extract_archives(
         .option("compression", COMPRESSION)
         .parquet(status_dir)
     )
+    delete(spark, folder)
     return status.unionByName(skipped)
 
 

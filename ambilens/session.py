@@ -42,13 +42,23 @@ def scratch_root(spark: SparkSession) -> str:
     return shared or current
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(
+    df: DataFrame, name: str = "stage", path: str | None = None, by: str | None = None
+) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a table feeds several jobs: later scans are columnar, pruned and
-    independent of the lineage that produced the table.
+    independent of the lineage that produced the table. ``by`` names a column with
+    few values to partition by. The folder stays for the lifetime of the scratch
+    space; jobs that give a ``path`` remove it themselves.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or scratch_path(spark, name)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
