@@ -19,7 +19,7 @@ UNIQUE_COLUMNS = ("source_index", "source_text", "ambiguity", "processed_text")
 
 
 class InvalidInput(ValueError):
-    """Input that the reference semantics reject."""
+    """Input that no result may be computed from."""
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> None:
@@ -46,12 +46,9 @@ def preview(df: DataFrame, bad: Column, position: str, limit: int = PREVIEW) ->
 
 
 def offending_labels(df: DataFrame, label: str) -> DataFrame:
-    """One row: the distinct labels outside the domain, sorted."""
+    """The distinct labels outside the domain, with their row counts."""
     bad = df.where(is_bad_label(label)).select(F.col(label).cast("string").alias("label"))
-    return bad.groupBy("label").count().agg(
-        F.array_sort(F.collect_list("label")).alias("labels"),
-        F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"),
-    )
+    return bad.groupBy("label").agg(F.count("*").alias("n_rows"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -60,14 +60,20 @@ def lookup_join(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
     condition: Column | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join facts to a lookup table; ``how`` is ``left`` or ``inner``.
 
     ``spread`` names fact columns that tell the rows of one key apart.
-    ``condition`` adds a residual over both sides.
+    ``condition`` adds a residual over both sides. ``known_rows`` is the size of a
+    narrow lookup table that is known without measuring it.
     """
     keys = list(on)
-    if fits_broadcast(lookup, max_rows, max_bytes):
+    if known_rows is None:
+        small = fits_broadcast(lookup, max_rows, max_bytes)
+    else:
+        small = known_rows <= max_rows
+    if small:
         return _join(facts, F.broadcast(lookup), keys, how, condition)
     spread = list(spread or [name for name in facts.columns if name not in keys])
     facts = facts.withColumn(_SALT, salt_of(spread, salts).cast("int"))

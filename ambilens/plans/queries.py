@@ -100,8 +100,7 @@ def label_checks(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
     label = F.when(F.col("lang") == "fr", "x").when(F.col("lang") == "de", "2")
     label = label.when(F.col("lang") == "es", "1").otherwise("0")
-    found = checks.offending_labels(docs.select(label.alias("label")), "label")
-    return found.select(F.array_join("labels", ",").alias("labels"), "n_rows")
+    return checks.offending_labels(docs.select(label.alias("label")), "label")
 
 
 def blank_preview(spark, sf_dir):
@@ -176,13 +175,24 @@ def pairs_per_source(spark, sf_dir):
     return pair_table(spark, sf_dir).groupBy("source_index").agg(F.count("*").alias("n_pairs"))
 
 
-def keyed(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
-    stored = stage(unique_table(spark, sf_dir), "unique")
-    return scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
+def paired(
+    spark: SparkSession, sf_dir: str, repeats: bool = False, ended: bool = False
+) -> tuple[DataFrame, list[int]]:
+    """Keyed pairs, and the texts that occur in very many sources.
+
+    ``ended`` keeps the candidates that ended by themselves, as an earlier run saw.
+    """
+    rows = processed(spark, sf_dir)
+    if ended:
+        rows = rows.where(F.col("finish_reason") == "stop")
+    stored = stage(unique.unique_translations(rows, orphans=False), "unique")
+    keyed = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
+    return keyed, scoring.shared_texts(stored)
 
 
 def cache_keys(spark, sf_dir):
-    return keyed(spark, sf_dir).select("source_index", "sentence1", "sentence2", "cache_key")
+    wanted, _ = paired(spark, sf_dir)
+    return wanted.select("source_index", "sentence1", "sentence2", "cache_key")
 
 
 SCORER = scoring.logit_scorer(inputs.pair_logits, inputs.LABEL_MAP)
@@ -193,27 +203,28 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of an earlier run, which saw the candidates that ended by themselves."""
-    rows = processed(spark, sf_dir).where(F.col("finish_reason") == "stop")
-    stored = stage(unique.unique_translations(rows, orphans=False), "earlier")
-    wanted = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION)
-    return stage(scored(wanted.dropDuplicates(["cache_key"])), "cache")
+    """Predictions of an earlier run."""
+    wanted, shared = paired(spark, sf_dir, ended=True)
+    nothing = spark.createDataFrame([], "cache_key string")
+    return stage(scored(scoring.missing_pairs(wanted, nothing, shared)), "cache")
 
 
 def cache_misses(spark, sf_dir):
-    return scoring.missing_pairs(keyed(spark, sf_dir), earlier_cache(spark, sf_dir))
+    wanted, shared = paired(spark, sf_dir)
+    return scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), shared)
 
 
 def cache_hits(spark, sf_dir):
-    hits = scoring.cached_hits(keyed(spark, sf_dir), earlier_cache(spark, sf_dir))
+    wanted, _ = paired(spark, sf_dir)
+    hits = scoring.cached_hits(wanted, earlier_cache(spark, sf_dir))
     return _micros(hits.drop("nli_model", "nli_revision"))
 
 
 def cache_upsert(spark, sf_dir):
     """Earlier entries and a run over all pairs, the first writer kept."""
     old = earlier_cache(spark, sf_dir).withColumn("run_seq", F.lit(0))
-    new = scored(keyed(spark, sf_dir))
-    entries = old.unionByName(new.withColumn("run_seq", F.lit(1)))
+    wanted, _ = paired(spark, sf_dir)
+    entries = old.unionByName(scored(wanted).withColumn("run_seq", F.lit(1)))
     kept = scoring.first_writer(entries, ["run_seq"])
     return kept.select("cache_key", "sentence1", "sentence2", "prediction", "run_seq")
 
@@ -229,8 +240,8 @@ def softmax_scores(spark, sf_dir):
 
 
 def label_scores(spark, sf_dir):
-    rows = scored(keyed(spark, sf_dir))
-    return rows.select("cache_key", "prediction", "is_equivalent")
+    wanted, _ = paired(spark, sf_dir)
+    return scored(wanted).select("cache_key", "prediction", "is_equivalent")
 
 
 def normalized_labels(spark, sf_dir):
@@ -254,25 +265,24 @@ def probability_checks(spark, sf_dir):
 
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
+    wanted, shared = paired(spark, sf_dir, repeats=True)
     resolved = scoring.resolve_pairs(
-        keyed(spark, sf_dir, repeats=True), earlier_cache(spark, sf_dir), SCORER,
-        inputs.MODEL, inputs.REVISION,
+        wanted, earlier_cache(spark, sf_dir), SCORER, inputs.MODEL, inputs.REVISION, shared
     )
     return _micros(scoring.scored_rows(resolved))
 
 
 def attached_predictions(spark, sf_dir):
     """Pairs of the earlier run's texts, joined to its cache."""
-    rows = processed(spark, sf_dir).where(F.col("finish_reason") == "stop")
-    stored = stage(unique.unique_translations(rows, orphans=False), "earlier")
-    wanted = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION)
-    return _micros(scoring.attach_predictions(wanted, earlier_cache(spark, sf_dir)))
+    wanted, shared = paired(spark, sf_dir, ended=True)
+    found = scoring.attach_predictions(wanted, earlier_cache(spark, sf_dir), shared)
+    return _micros(found)
 
 
 def scoring_totals(spark, sf_dir):
     """Pairs written, and pairs that had to be scored."""
-    wanted = keyed(spark, sf_dir)
-    fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir))
+    wanted, shared = paired(spark, sf_dir)
+    fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), shared)
     marks = wanted.select(F.lit(False).alias("fresh")).unionAll(fresh.select(F.lit(True)))
     return marks.agg(
         F.count_if(~F.col("fresh")).alias("total_pairs"),
