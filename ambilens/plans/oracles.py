@@ -284,6 +284,16 @@ from files""",
 with {STATUS}
 select status, count(*) as n_files, cast(sum(n_rows) as bigint) as n_rows
 from status group by status""",
+    "sampled_candidates": f"""
+with lines as (
+  select doc_id as source_index, doc_id + 2 as row_number, source as source_text,
+         cast(lang = 'en' as tinyint) as ambiguity, 'org/Qwen3-8B-Base' as model,
+         'base' as model_type,
+         unnest(range(len(string_split(text, chr(10))))) as candidate_index,
+         unnest(string_split(text, chr(10))) as raw_text, 'stop' as finish_reason
+  from documents)
+select * exclude (candidate_index), cast(candidate_index as int) as candidate_index
+from ({cleaned("lines")})""",
     "batch_records": """
 select lang, min(doc_id) as start_index, max(doc_id) + 1 as end_index, 'batch' as type,
        count(*) as n_samples, arg_min(text, doc_id) as first_src,

@@ -11,7 +11,7 @@ from ambilens.functions import names, prompts, scores, text, tokens
 from ambilens.operators import archive, checks, evaluation, pairs, scoring, unique
 from ambilens.operators.ordinals import with_ordinal
 from ambilens.operators.vocabulary import decode_tokens
-from ambilens.plans import extract, inputs
+from ambilens.plans import extract, inputs, sampling
 from ambilens.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,26 @@ def extract_summary(spark, sf_dir):
     return extract.status_summary(extract_status(spark, sf_dir))
 
 
+def sampled_candidates(spark, sf_dir):
+    """Lines of documents as completions, stored as batches and flattened again."""
+    docs = inputs.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "index")
+    requests = sampling.translation_requests(
+        docs.select(
+            "index", (F.col("index") + 2).alias("row_number"), F.col("source").alias("src"),
+            (F.col("lang") == "en").cast("tinyint").alias("ambiguity"),
+        ),
+        "org/Qwen3-8B-Base",
+    )
+    lines = docs.select("index", F.posexplode(F.split("text", "\n")).alias("candidate_index", "text"))
+    candidates = lines.select(
+        "index", "candidate_index",
+        F.struct("text", F.lit("stop").alias("finish_reason")).alias("candidate"),
+    )
+    config = {"model": "org/Qwen3-8B-Base", "model_type": "base"}
+    records = sampling.sample_records(sampling.samples(requests, candidates), config)
+    return archive.flatten_candidates(archive.carry_metadata(records))
+
+
 def batch_records(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
     samples = docs.select(F.col("doc_id").alias("index"), F.col("text").alias("src"), "lang")
@@ -448,6 +468,7 @@ QUERIES: dict[str, Query] = {
     "record_checks": record_checks,
     "extract_status": extract_status,
     "extract_summary": extract_summary,
+    "sampled_candidates": sampled_candidates,
     "batch_records": batch_records,
     "corpus_records": corpus_records,
     "label_checks": label_checks,
