@@ -286,10 +286,11 @@ def probability_checks(spark, sf_dir):
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
     wanted, shared = paired(spark, sf_dir, repeats=True)
-    resolved = scoring.resolve_pairs(
-        wanted, earlier_cache(spark, sf_dir), SCORER, inputs.MODEL, inputs.REVISION, shared
-    )
-    return _micros(scoring.scored_rows(resolved))
+    classified = scoring.classify_pairs(wanted, earlier_cache(spark, sf_dir), shared)
+    classified = stage(classified, "classified", by="state")
+    hits = classified.where(F.col("state") == scoring.HIT)
+    fresh = scoring.score_misses(classified, SCORER, inputs.MODEL, inputs.REVISION, shared)
+    return _micros(scoring.scored_rows(hits.unionByName(fresh)))
 
 
 def attached_predictions(spark, sf_dir):

@@ -31,12 +31,15 @@ def get_spark(name: str = "ambilens", master: str | None = None, **conf: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for staged tables: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without one (a local test) gets a folder of its own.
+    Only a local session without one (a test) gets a folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        shared = shared or tempfile.mkdtemp(prefix="ambilens-")
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors reach")
+            shared = tempfile.mkdtemp(prefix="ambilens-")
         spark.sparkContext.setCheckpointDir(shared)
         current = spark.sparkContext.getCheckpointDir()
     return shared or current

@@ -51,7 +51,7 @@ def ensure_available(spark: SparkSession, path: str, overwrite: bool = False) ->
     """Refuse an output that exists; an old state file counts as existing."""
     found = [p for p in (path, state_path(path)) if exists(spark, p)]
     if found and not overwrite:
-        raise FileExistsError(f"Output already exists: {', '.join(found)}")
+        raise FileExistsError(f"Refusing to replace {', '.join(found)}")
 
 
 def write_table(

@@ -82,6 +82,16 @@ def _text(value: Any) -> str | None:
     return None if value is None else str(value)
 
 
+def _integer(value: Any, bits: int = 64) -> int | None:
+    """An integer of the given width; anything else fails the file."""
+    if value is None:
+        return None
+    number = int(value)
+    if number != value or not -(1 << bits - 1) <= number < 1 << bits - 1:
+        raise ValueError(f"{value!r} is no {bits}-bit integer")
+    return number
+
+
 def _number(value: Any, kind: type) -> Any:
     return None if value is None else kind(value)
 
@@ -139,14 +149,14 @@ class RecordReader(DataSourceReader):
         return (
             path, seq, _text(record.get("type")),
             _number(record.get("created_at"), float), _text(record.get("hostname")),
-            flat, _number(record.get("start_index"), int),
-            _number(record.get("end_index"), int), samples, None,
+            flat, _integer(record.get("start_index")),
+            _integer(record.get("end_index")), samples, None,
         )
 
     def _sample(self, sample: dict[str, Any]) -> tuple:
         head = (
-            _number(sample.get("index"), int), _number(sample.get("row_number"), int),
-            _text(sample.get("src", "")), _number(sample.get("ambiguity"), int),
+            _integer(sample.get("index")), _integer(sample.get("row_number")),
+            _text(sample.get("src", "")), _integer(sample.get("ambiguity"), 8),
         )
         if self.tokens:
             head += (_text(sample.get("prompt")),)
@@ -163,15 +173,15 @@ class RecordReader(DataSourceReader):
             [int(i) for i in candidate.get("token_ids") or ()],
             [
                 (
-                    _number(token.get("token_id"), int),
+                    _integer(token.get("token_id"), 32),
                     _text(token.get("token")),
                     _number(token.get("sampled_logprob"), float),
                     None if token.get("top") is None else [
                         (
-                            _number(alt.get("token_id"), int),
+                            _integer(alt.get("token_id"), 32),
                             _text(alt.get("token")),
                             _number(alt.get("logprob"), float),
-                            _number(alt.get("rank"), int),
+                            _integer(alt.get("rank"), 32),
                         )
                         for alt in token["top"]
                     ],

@@ -51,6 +51,9 @@ def tree(tmp_path):
     write(root / "top.pkl.gz", metadata("x"))
     write(root / "bad/early.pkl.gz", batch(0, [["q"]]), metadata())
     write(root / "bad/none.pkl.gz")
+    wide = batch(0, [["w"]])
+    wide["samples"][0]["ambiguity"] = 300
+    write(root / "bad/wide.pkl.gz", metadata(), wide)
     write(root / "bad/kind.pkl.gz", metadata(), {"type": "other"})
     write(root / "bad/config.pkl.gz", {"type": "metadata", "config": "text"})
     write(root / "bad/list.pkl.gz", metadata(), batch(0, [["kept?"]]), [1, 2])
@@ -62,7 +65,7 @@ def tree(tmp_path):
 
 def test_listing(tree):
     names = [os.path.basename(p) for p, _ in list_archives(str(tree))]
-    assert len(names) == 10 and names[-2:] == ["m_2.pkl.gz", "top.pkl.gz"]
+    assert len(names) == 11 and names[-2:] == ["m_2.pkl.gz", "top.pkl.gz"]
     with pytest.raises(FileNotFoundError):
         list_archives(str(tree / "nowhere"))
 
@@ -80,6 +83,7 @@ def test_extraction(spark, tree, tmp_path, rows):
     assert reasons["bad/kind.pkl.gz"] == "unsupported record type"
     assert reasons["bad/config.pkl.gz"] == "invalid metadata config"
     assert "dictionary" in reasons["bad/list.pkl.gz"]
+    assert "300 is no 8-bit integer" in reasons["bad/wide.pkl.gz"]
     assert "Refused to load" in reasons["bad/code.pkl.gz"]
     assert reasons["bad/cut.pkl.gz"].startswith("unreadable record")
 
@@ -94,7 +98,7 @@ def test_extraction(spark, tree, tmp_path, rows):
 
     again = extract.extract_archives(spark, str(tree), out)
     counts = {r.status: r.n_files for r in extract.status_summary(again).collect()}
-    assert counts == {"skipped": 3, "failed": 7}
+    assert counts == {"skipped": 3, "failed": 8}
     assert extract.read_candidates(spark, out).count() == 5
 
     write(tree / "p/D/m_1.pkl.gz", metadata(), batch(0, [["new"]]))

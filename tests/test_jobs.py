@@ -112,11 +112,11 @@ def test_failed_scoring_leaves_no_output(spark, tmp_path, cache):
     bad = scoring.batch_scorer(lambda: lambda ones, twos: [[0.5, 0.2, 0.1]] * len(ones))
     short = scoring.batch_scorer(lambda: lambda ones, twos: [])
     df = spark.createDataFrame(FIRST, SCHEMA)
-    for scorer, message in ((bad, "do not sum to one"), (short, "Scorer returned 0 rows"), (FAILING, "model was loaded")):
+    for scorer, message in ((bad, "do not sum to one"), (short, "The scorer gave 0 rows"), (FAILING, "model was loaded")):
         with pytest.raises(Exception, match=message):
             translation.score_pairs(df, cache, scorer, str(tmp_path / "scored"))
     assert not tables.exists(spark, str(tmp_path / "scored")) and cache.is_empty()
-    with pytest.raises(Exception, match="remain uncached"):
+    with pytest.raises(Exception, match="no cached prediction"):
         keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
         scoring.attach_predictions(keyed, cache.read()).collect()
 
