@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambilens.operators.ordinals import with_ordinal
+from ambilens.operators.skew import lookup_join
 from ambilens.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,63 +68,131 @@ def source_targets(
     )
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
+def _facts(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``docs`` with what decides a row's copies: size, class and number u."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    return (
+        docs.withColumn("__size", word_count()).withColumn("__md5", digest)
+        .select(
+            *columns, "__size", _key("source").alias("__key"),
+            F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"),
+            (F.when(F.col("__size") > 0, F.length(F.bin("__size"))).otherwise(0) + 4).alias("__class"),
+            ((F.conv(F.substring("__md5", 1, 12), 16, 10).cast("long").cast("double") + 0.5)
+             / float(1 << 48)).alias("__u"),
+        )
+    )
+
+
+def _decided(facts: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
+    """Join the row of the source and add ``__whole``, ``__q`` (null: not ranked), ``__b``."""
+    joined = lookup_join(facts, sources, ["__key"], how="inner", spread=["__id", "__u"])
+    expected = joined.withColumn("__e", F.least(F.col("__rate") * F.col("__class"), F.lit(float(max_copies))))
+    part = F.col("__e") - F.floor(F.col("__e"))
+    odds = (F.col("__u") / (1 - F.col("__u"))) / (part / (1 - part))
+    some = F.col("__size") > 0
+    return (
+        expected.withColumn("__whole", F.when(some, F.floor(F.col("__e")).cast("long")).otherwise(0))
+        .withColumn("__q", F.when(some & (part > 0), odds / (1 + odds)))
+        .withColumn("__b", F.least((F.col("__q") * BUCKETS).cast("int"), F.lit(BUCKETS - 1)))
+    )
+
+
+def _cutoffs(ranked: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` with the place in the ranking up to which a source takes one more copy.
+
+    ``__cut`` is the bucket where the owed words are reached (null: all are taken) and
+    ``__last`` the last row taken in it (null: none).
+    """
+    buckets = ranked.groupBy("__key", F.coalesce("__b", F.lit(BUCKETS)).alias("__b")).agg(
+        F.sum(F.when(F.col("__q").isNotNull(), F.col("__size")).otherwise(0)).alias("__words"),
+        F.sum(F.col("__whole") * F.col("__size")).alias("__sure"), F.first("target").alias("target"),
+    )
+    # At most BUCKETS + 1 rows a source.
+    own = Window.partitionBy("__key")
+    upto = own.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = stage(
+        buckets.withColumn("__owed", F.col("target") - F.sum("__sure").over(own))
+        .withColumn("__end", F.sum("__words").over(upto))
+        .withColumn("__start", F.col("__end") - F.col("__words"))
+        .where((F.col("__b") < BUCKETS) & (F.col("__start") <= F.col("__owed")) & (F.col("__owed") < F.col("__end")))
+        .select("__key", "__b", "__owed", "__start"), "mix-cut",
+    )
+    # Only rows of the crossing buckets are put in order: 1 in BUCKETS of a source.
+    order = ["__q", "__id", "__u"]
+    inside = Window.partitionBy("__key", "__b").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    running = F.col("__start") + F.sum("__size").over(inside)
+    # The row that crosses is taken if that ends nearer to what is owed.
+    taken = (
+        ranked.where("__q is not null").join(cut, ["__key", "__b"])
+        .withColumn("__at", running - F.col("__owed"))
+        .where((F.col("__at") <= 0) | ((F.col("__at") < F.col("__size")) & (F.col("__at") < F.col("__size") - F.col("__at"))))
+    )
+    last = taken.groupBy("__key").agg(F.max(F.struct(*order)).alias("__last"))
+    return (
+        sources.join(cut.select("__key", F.col("__b").alias("__cut")), "__key", "left")
+        .join(last, "__key", "left")
+    )
+
+
+def _prepared(docs: DataFrame, columns: Sequence[str], weights: Sequence[int], max_copies: int) -> tuple[DataFrame, DataFrame]:
+    """Stored facts of the rows, and one row per source with its rate and cutoff."""
+    facts = stage(_facts(docs, columns), "mix-facts")
+    # At most 64 rows a source: the classes are numbers of bits.
+    classes = stage(
+        facts.groupBy("__key", "__class").agg(F.sum("__size").alias("__size"), F.first("source").alias("source")),
+        "mix-classes",
+    )
+    sources = stage(
+        classes.groupBy("__key").agg(F.first("source").alias("source"), F.sum("__size").alias("source_size"))
+        .drop("__key"), "mix-sizes",
+    )
+    rates = stage(_rates(classes, source_targets(sources, weights, max_copies), max_copies), "mix-rates")
+    ranked = stage(_decided(facts.drop("source"), rates, max_copies), "mix-ranked")
+    return ranked, stage(_cutoffs(ranked, rates), "mix-cutoffs")
+
+
+def _copies() -> Column:
+    here = F.struct("__q", "__id", "__u")
+    more = F.col("__cut").isNull() | (F.col("__b") < F.col("__cut")) | (
+        (F.col("__b") == F.col("__cut")) & F.coalesce(here <= F.col("__last"), F.lit(False))
+    )
+    return F.col("__whole") + (F.col("__q").isNotNull() & F.coalesce(more, F.lit(False))).cast("long")
 
 
 def mix(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of each document.
+    """``doc_id, size, source_size, target, copies, taken`` of each document.
 
     Documents need doc_id, text and source; other columns are ignored. The expected
     copies of a document grow with its length, by 4 + the bits of its word count, so
     that inclusion is unequal within a source, and are at most ``max_copies``. Null
     texts and texts without words have size 0 and no copy. Null sources are one
-    source. Rows with the same doc_id and text have the same rank and are taken in a
-    row. An empty table gives an empty one.
+    source. Rows with the same doc_id and text share a rank and are taken together.
+    An empty table gives an empty one.
     """
-    facts = stage(
-        docs.select(
-            "doc_id", "source", word_count().alias("size"),
-            F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary")).alias("__md5"),
-        ).select(
-            "doc_id", "source", "size",
-            (F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0) + 4).alias("__class"),
-            ((F.conv(F.substring("__md5", 1, 12), 16, 10).cast("long").cast("double") + 0.5)
-             / float(1 << 48)).alias("__u"),
-        ), "mix-facts",
+    ranked, sources = _prepared(docs, ["doc_id", "source"], weights, max_copies)
+    cutoffs = sources.select("__key", "__cut", "__last")
+    return lookup_join(ranked, cutoffs, ["__key"], how="inner", spread=["__id", "__u"]).select(
+        "doc_id", F.col("__size").alias("size"), "source_size", "target",
+        _copies().alias("copies"), (_copies() * F.col("__size")).alias("taken"),
     )
-    # At most 64 rows a source: the classes are numbers of bits.
-    classes = stage(facts.groupBy("source", "__class").agg(F.sum("size").alias("__size")), "mix-classes")
-    sources = stage(classes.groupBy("source").agg(F.sum("__size").alias("source_size")), "mix-sizes")
-    targets = stage(source_targets(sources, weights, max_copies), "mix-targets")
-    rates = stage(_rates(classes, targets, max_copies), "mix-rates")
-    expected = _joined(facts, rates).withColumn(
-        "__e", F.least(F.col("__rate") * F.col("__class"), F.lit(float(max_copies)))
-    )
-    whole = F.floor(F.col("__e")).cast("long")
-    part = F.col("__e") - F.floor(F.col("__e"))
-    odds = (F.col("__u") / (1 - F.col("__u"))) / (part / (1 - part))
-    ranked = expected.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, whole).otherwise(0).alias("__whole"),
-        F.when((F.col("size") > 0) & (part > 0), odds / (1 + odds)).alias("__q"), "__u",
-    )
-    open_ = stage(
-        ranked.withColumn("__b", F.least((F.col("__q") * BUCKETS).cast("int"), F.lit(BUCKETS - 1))), "mix-ranked"
-    )
-    return _chosen(open_)
 
 
-def _joined(facts: DataFrame, rates: DataFrame) -> DataFrame:
-    """Facts with the row of their source; a hot source is spread over salts."""
-    from ambilens.operators.skew import lookup_join
+def repeat(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES
+) -> DataFrame:
+    """Rows of ``docs``, each as often as :func:`mix` takes it (not at all, once or more).
 
-    named = rates.withColumn("__key", _key("source")).drop("source")
-    return lookup_join(
-        facts.withColumn("__key", _key("source")), named, ["__key"], how="inner", spread=["doc_id", "__u"]
-    ).drop("__key")
+    Whether a row is taken follows from the row and its source's cutoff, so texts are
+    not shuffled.
+    """
+    _, sources = _prepared(docs, ["doc_id", "source"], weights, max_copies)
+    rows = _decided(_facts(docs, docs.columns), sources.drop("source_size", "target"), max_copies)
+    copies = F.array_repeat(F.lit(0), _copies().cast("int"))
+    return rows.select(*docs.columns, F.explode(copies).alias("__copy")).drop("__copy")
 
 
 def _key(source: str) -> Column:
@@ -139,7 +208,7 @@ def _rates(classes: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame
     """
     top = Window.partitionBy("__key").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)
     rest = Window.partitionBy("__key").orderBy(F.desc("__class")).rowsBetween(0, Window.unboundedFollowing)
-    keyed = classes.withColumn("__key", _key("source")).drop("source")
+    keyed = classes.drop("source")
     cut = (
         keyed.join(targets.withColumn("__key", _key("source")), "__key")
         .withColumn("__limit", F.coalesce(F.sum("__size").over(top), F.lit(0)) * max_copies)
@@ -150,44 +219,5 @@ def _rates(classes: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame
     # The first class that fits has the largest number; where none does, all are at the limit.
     best = cut.groupBy("__key").agg(F.max_by("__c", "__class").alias("__rate"))
     return targets.withColumn("__key", _key("source")).join(best, "__key", "left").select(
-        "source", "source_size", "target", F.coalesce("__rate", F.lit(float(max_copies))).alias("__rate")
-    )
-
-
-def _chosen(ranked: DataFrame) -> DataFrame:
-    """Copies and words taken: whole copies, and one more for the first in rank."""
-    keyed = ranked.withColumn("__key", _key("source"))
-    buckets = keyed.groupBy("__key", F.coalesce("__b", F.lit(BUCKETS)).alias("__b")).agg(
-        F.sum(F.when(F.col("__q").isNotNull(), F.col("size")).otherwise(0)).alias("__words"),
-        F.sum(F.col("__whole") * F.col("size")).alias("__sure"), F.first("target").alias("__target"),
-    )
-    # At most BUCKETS + 1 rows a source.
-    all_ = Window.partitionBy("__key")
-    upto = all_.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        buckets.withColumn("__owed", F.col("__target") - F.sum("__sure").over(all_))
-        .withColumn("__end", F.sum("__words").over(upto))
-        .withColumn("__start", F.col("__end") - F.col("__words"))
-        .where(F.col("__b") < BUCKETS)
-        .select("__key", "__b", "__owed", "__start", "__end")
-    )
-    # Only in the bucket where the owed words are reached does the order of rows matter.
-    joined = keyed.join(cut, ["__key", "__b"], "left")
-    crossing = (F.col("__start") < F.col("__owed")) & (F.col("__owed") < F.col("__end"))
-    inside = Window.partitionBy("__key", "__b").orderBy("__q", "doc_id", "__u").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = F.col("__start") + F.sum("size").over(inside)
-    owed = F.col("__owed")
-    # The row that crosses is taken if that ends nearer to what is owed.
-    within = (running <= owed) | ((running - F.col("size") < owed) & (running - owed < owed - (running - F.col("size"))))
-    columns = ["doc_id", "source", "size", "source_size", "target", "__whole"]
-    settled = joined.where(F.coalesce(~crossing, F.lit(True))).select(
-        *columns, (F.col("__q").isNotNull() & F.coalesce(F.col("__end") <= owed, F.lit(False))).alias("__more")
-    )
-    decided = joined.where(crossing).withColumn("__more", within).select(*columns, "__more")
-    copies = F.col("__whole") + F.col("__more").cast("long")
-    return settled.unionAll(decided).select(
-        "doc_id", "source", "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        "__key", "source_size", "target", F.coalesce("__rate", F.lit(float(max_copies))).alias("__rate")
     )

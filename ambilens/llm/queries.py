@@ -5,10 +5,10 @@ Each runs its operator over whole tables and derives the columns that are report
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambilens.llm import language, mixing, packing, shards, simhash
+from ambilens.llm import identifiers, language, mixing, packing, pii, shards, simhash
 from ambilens.llm.common import crc32_mod
 
 
@@ -37,6 +37,32 @@ def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.detect(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", *[_count("spans", kind) for kind in identifiers.KINDS[:3]],
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir), columns=["doc_id"])
+    found = found.withColumn("base", F.filter("pii_spans", lambda s: s["base"]))
+    return found.select(
+        "doc_id", *[_count("base", kind) for kind in pii.KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -52,8 +78,8 @@ def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_min_cost_resharding, op7_simhash_gray, op8_pareto_mixing,
-        op9_shortest_pack_first,
+        op1_language_id, op2_min_cost_resharding, op4_markov_secrets, op6_weak_supervision_pii,
+        op7_simhash_gray, op8_pareto_mixing, op9_shortest_pack_first,
     )
 }
 
