@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambilens.llm import identifiers, language, mixing, packing, pii, shards, simhash
+from ambilens.llm import identifiers, language, mixing, packing, pii, pitman_yor, shards, simhash
 from ambilens.llm.common import crc32_mod
 
 
@@ -75,11 +75,15 @@ def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(documents(spark, sf_dir), crc32_mod("doc_id", 5) == 1)
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_min_cost_resharding, op4_markov_secrets, op6_weak_supervision_pii,
-        op7_simhash_gray, op8_pareto_mixing, op9_shortest_pack_first,
+        op7_simhash_gray, op8_pareto_mixing, op9_shortest_pack_first, op10_pitman_yor,
     )
 }
 
