@@ -15,7 +15,6 @@ document, not per token, go back to the chunk.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambilens.llm.words import dictionary, hashes, mixed, numbered
 from ambilens.session import stage
 
 CONTEXTS = 1 << 16
@@ -41,7 +40,6 @@ SAMPLE_DOCS = 64
 ROUNDS, BURN_IN, SAMPLES = 2, 8, 8
 ONE_BY_ONE = 32
 CHILD_STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-END = xxhash.xxh64_intdigest(b"\n", 0)  # no word holds white space
 
 _PIECES = (
     "shard int, chunk long, train int, words binary, counts binary, contexts binary, docs binary, "
@@ -53,13 +51,8 @@ _STATE = (
 )
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def _context_of(words: np.ndarray) -> np.ndarray:
-    return (_mixed(words) >> np.uint64(48)).astype(np.uint16)
+    return (mixed(words) >> np.uint64(48)).astype(np.uint16)
 
 
 @dataclass
@@ -71,33 +64,15 @@ class Layout:
 
     def shard_of(self, words: np.ndarray, contexts: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Shard of each token; ``which`` is its place in ``words``."""
-        home = (_mixed(words + np.uint64(1)) % np.uint64(self.shards)).astype(np.int32)[which]
+        home = (mixed(words + np.uint64(1)) % np.uint64(self.shards)).astype(np.int32)[which]
         if self.splits:
             parts = np.array([self.splits.get(int(w), 1) for w in words])
             many = np.flatnonzero(parts[which] > 1)
             part = (contexts[many].astype(np.uint64) * parts[which[many]].astype(np.uint64)) >> np.uint64(16)
-            home[many] = _mixed(words[which[many]] + _mixed(part)) % np.uint64(self.shards)
+            home[many] = mixed(words[which[many]] + mixed(part)) % np.uint64(self.shards)
         return home
 
 
-def _words(texts: Iterator[str | None], known: defaultdict) -> Iterator[np.ndarray]:
-    """Word numbers of each text, the end as number 0."""
-    for text in texts:
-        found = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
-        yield np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-
-
-def _dictionary() -> defaultdict:
-    known: defaultdict = defaultdict()
-    known.default_factory = known.__len__
-    known[b"\n"]
-    return known
-
-
-def _hashes(known: defaultdict) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in known), np.uint64, len(known))
-
-
 def plan_layout(docs: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) -> Layout:
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-(size // 6 + rows) // tokens_per_shard))
@@ -105,14 +80,14 @@ def plan_layout(docs: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) -> La
         return Layout(1, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = _dictionary(), np.zeros(0, np.int64)
+        known, sums = dictionary(), np.zeros(0, np.int64)
         for batch in batches:
-            for ids in _words((t.as_py() for t in batch.column("text")), known):
+            for ids in numbered((t.as_py() for t in batch.column("text")), known):
                 sums = np.pad(sums, (0, max(0, len(known) - len(sums))))
                 np.add.at(sums, np.append(ids, 0), 1)
         if len(sums):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_hashes(known).view(np.int64)), pa.array(sums)], ["word", "n"]
+                [pa.array(hashes(known).view(np.int64)), pa.array(sums)], ["word", "n"]
             )
 
     fraction = min(1.0, SAMPLE_DOCS * shards / max(rows, 1))
@@ -149,9 +124,9 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
     held = np.asarray(batch.column("held").to_pylist(), bool)
     order = np.argsort(held, kind="stable")  # training documents first
     train = int((~held).sum())
-    known = _dictionary()
+    known = dictionary()
     texts = batch.column("text")
-    lists = list(_words((texts[int(i)].as_py() for i in order), known))
+    lists = list(numbered((texts[int(i)].as_py() for i in order), known))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
     ends = np.cumsum(sizes)
     word = np.zeros(ends[-1], np.int64)
@@ -160,10 +135,10 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
     word[inner] = np.concatenate(lists)
     del lists
     before = np.concatenate([[0], word[:-1]])  # a text begins after an end
-    hashes = _hashes(known)
-    context = _context_of(hashes)[before]
+    word_hash = hashes(known)
+    context = _context_of(word_hash)[before]
     doc = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
-    shard = layout.shard_of(hashes, context, word)
+    shard = layout.shard_of(word_hash, context, word)
     place = np.argsort(shard.astype(np.int64) << 32 | word, kind="stable")
     shard, word, context, doc = shard[place], word[place], context[place], doc[place]
     first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (word[1:] != word[:-1])]))
@@ -173,7 +148,7 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
     for a, b in zip(cuts, np.append(cuts[1:], len(first))):
         lo, hi = first[a], first[b] if b < len(first) else len(word)
         rows.append((
-            int(shard[lo]), chunk, train, hashes[word[first[a:b]]].tobytes(), runs[a:b].tobytes(),
+            int(shard[lo]), chunk, train, word_hash[word[first[a:b]]].tobytes(), runs[a:b].tobytes(),
             context[lo:hi].tobytes(), doc[lo:hi].tobytes(), None, None,
         ))
     ids = batch.column("doc_id").take(pa.array(order)).to_pylist()

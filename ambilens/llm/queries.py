@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambilens.llm import identifiers, language, mixing, packing, pii, pitman_yor, shards, simhash
+from ambilens.llm import (
+    graph_search, identifiers, language, mixing, packing, pii, pitman_yor, shards, simhash, wand,
+)
 from ambilens.llm.common import crc32_mod
 
 
@@ -37,6 +39,16 @@ def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return graph_search.search(embeddings, F.col("vec_id") % 20 == 0)
+
+
+def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents nearest by BM25 to the whole text of every 50th document."""
+    return wand.search(documents(spark, sf_dir), F.col("doc_id") % 50 == 0)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -82,8 +94,9 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_min_cost_resharding, op4_markov_secrets, op6_weak_supervision_pii,
-        op7_simhash_gray, op8_pareto_mixing, op9_shortest_pack_first, op10_pitman_yor,
+        op1_language_id, op2_min_cost_resharding, op3_robust_pruned_graph, op4_markov_secrets,
+        op5_block_max_wand, op6_weak_supervision_pii, op7_simhash_gray, op8_pareto_mixing,
+        op9_shortest_pack_first, op10_pitman_yor,
     )
 }
 

@@ -48,8 +48,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by the name of its kind; no document goes."""
-    return pii.mask(docs).select(*docs.columns)
+    """Replace personal data in the texts by the name of its kind; no document goes.
+
+    n_chars, where there is one, is that of the new text; a null one stays null.
+    """
+    masked = pii.mask(docs)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))
+        masked = masked.withColumn("n_chars", length)
+    return masked.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
