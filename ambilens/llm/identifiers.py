@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambilens.llm.common import chunks
+from ambilens.llm.common import CHUNK_CHARS, chunks
 from ambilens.session import stage
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -79,9 +79,12 @@ def states(text: str) -> np.ndarray:
 
 
 def transitions(state: np.ndarray) -> np.ndarray:
-    """Counts of (state, next state)."""
-    state = state.astype(np.int64)
-    return np.bincount(state[:-1] * STATES + state[1:], minlength=CELLS)
+    """Counts of (state, next state), in blocks, as texts may be very long."""
+    counts = np.zeros(CELLS, np.int64)
+    for at in range(0, len(state) - 1, CHUNK_CHARS):
+        part = state[at : at + CHUNK_CHARS + 1].astype(np.int64)
+        counts += np.bincount(part[:-1] * STATES + part[1:], minlength=CELLS)
+    return counts
 
 
 def scan(docs: DataFrame) -> DataFrame:

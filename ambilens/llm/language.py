@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ambilens.llm.common import chunks
+from ambilens.llm.common import CHUNK_CHARS, chunks
 from ambilens.session import stage
 
 BUCKETS = 1 << 16
@@ -41,6 +41,39 @@ def letters() -> np.ndarray:
     return table
 
 
+def pieces(texts: list[str], limit: int = CHUNK_CHARS) -> tuple[list[str], np.ndarray]:
+    """``texts`` with long ones cut, where there is one, at a space, and whose piece each is.
+
+    Bounds the arrays that a very long text needs; n-grams across a cut are not counted.
+    """
+    parts, owner = [], []
+    for number, text in enumerate(texts):
+        begin = 0
+        while len(text) - begin > limit:
+            end = text.rfind(" ", begin + limit // 2, begin + limit)
+            end = end if end > 0 else begin + limit
+            parts.append(text[begin:end])
+            owner.append(number)
+            begin = end
+        parts.append(text[begin:])
+        owner.append(number)
+    return parts, np.array(owner, np.int64)
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets, their text's number and letters per text, for blocks of bounded size."""
+    parts, whose = pieces(texts)
+    begin = 0
+    while begin < len(parts):
+        end, size = begin, 0
+        while end < len(parts) and (end == begin or size + len(parts[end]) <= CHUNK_CHARS):
+            size += len(parts[end])
+            end += 1
+        buckets, owner, found = grams(parts[begin:end])
+        yield buckets, whose[begin:end][owner], np.bincount(whose[begin:end], found, len(texts))
+        begin = end
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of ``texts``, the text of each, and the texts' letter counts.
 
@@ -88,11 +121,11 @@ def train_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 langs = np.array(part.column("lang").to_pylist(), object)
-                buckets, owner, _ = grams(part.column("text").to_pylist())
                 names, which = np.unique(langs.astype(str), return_inverse=True)
-                both = np.bincount(which[owner] * BUCKETS + buckets, minlength=len(names) * BUCKETS)
-                for name, row in zip(names, both.reshape(-1, BUCKETS)):
-                    sums[name] = sums[name] + row if name in sums else row
+                for buckets, owner, _ in blocks(part.column("text").to_pylist()):
+                    both = np.bincount(which[owner] * BUCKETS + buckets, minlength=len(names) * BUCKETS)
+                    for name, row in zip(names, both.reshape(-1, BUCKETS)):
+                        sums[name] = sums[name] + row if name in sums else row
         for name, row in sums.items():
             at = np.flatnonzero(row)
             # A language without a letter is learned as well, with no counts.
@@ -118,11 +151,13 @@ class Model:
         The share comes from the mean log-probability per n-gram, so that it tells
         close languages from clear ones in long texts, too.
         """
-        buckets, owner, found = grams(texts)
-        sums = np.stack([
-            np.bincount(owner, self.weights[buckets, k], len(texts)) for k in range(len(self.langs))
-        ], axis=1)
-        n = np.bincount(owner, minlength=len(texts))[:, None]
+        sums = np.zeros((len(texts), len(self.langs)))
+        n, found = np.zeros((len(texts), 1)), np.zeros(len(texts))
+        for buckets, owner, letters_found in blocks(texts):
+            for k in range(len(self.langs)):
+                sums[:, k] += np.bincount(owner, self.weights[buckets, k], len(texts))
+            n[:, 0] += np.bincount(owner, minlength=len(texts))
+            found += letters_found
         mean = sums / np.maximum(n, 1)
         share = np.exp(mean - mean.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
@@ -149,8 +184,11 @@ def train(docs: DataFrame) -> Model:
     return Model(langs, np.log(dense / dense.sum(axis=0)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score`` of each row's whole text.
+def predict(
+    docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """Columns ``keep`` with the language and its score, called ``names``, of each whole text.
 
     ``und`` and 0 for a text that is null or has no letter, and for all texts if the
     model knows no language. Ties go to the first language by name.
@@ -159,7 +197,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        names = np.array([*known.langs, UNDETERMINED], object)
+        called = np.array([*known.langs, UNDETERMINED], object)
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -168,12 +206,12 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 else:
                     best, share = np.full(len(texts), -1), np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(share)],
-                    [*keep, "lang_pred", "score"],
+                    [*(part.column(c) for c in keep), pa.array(called[best], pa.string()), pa.array(share)],
+                    [*keep, *names],
                 )
 
     fields = [docs.schema[c] for c in keep]
-    schema = type(docs.schema)(fields).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema)(fields).add(names[0], "string").add(names[1], "double")
     columns = [*keep] if "text" in keep else [*keep, "text"]
     return docs.select(*columns).mapInArrow(score, schema)
 

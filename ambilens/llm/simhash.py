@@ -47,10 +47,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     if len(words) < shingle:
-        parts: list[bytes] = [b" ".join(words)]
-    else:
-        parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), dtype=">u8", count=len(parts))
+        words = [b" ".join(words)]
+        shingle = 1
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), dtype=">u8", count=len(words) - shingle + 1)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1)

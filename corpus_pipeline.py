@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     model = language.train(docs.select("text", "lang"))
     columns = tuple(docs.columns)
-    found = language.predict(docs, model, keep=columns)
-    filled = F.coalesce(F.col("lang"), F.col("lang_pred")).alias("lang")
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(
+    found = language.predict(docs, model, columns, ("__lang", "__score"))
+    filled = F.coalesce(F.col("lang"), F.col("__lang")).alias("lang")
+    return found.where(F.col("__lang") != language.UNDETERMINED).select(
         *[filled if c == "lang" else F.col(c) for c in columns]
     )
 
@@ -54,7 +54,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     masked = pii.mask(docs)
     if "n_chars" in docs.columns:
-        length = F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))
+        length = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
         masked = masked.withColumn("n_chars", length)
     return masked.select(*docs.columns)
 
