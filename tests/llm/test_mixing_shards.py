@@ -1,0 +1,149 @@
+import re
+from collections import Counter, defaultdict
+from itertools import product
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ambilens.llm import mixing, shards
+from ambilens.llm.queries import op2_min_cost_resharding, op8_pareto_mixing
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_targets(sizes):
+    """sizes: source (None last) -> words. Share again until no target is above 3 sizes."""
+    order = sorted(k for k in sizes if k is not None) + [k for k in sizes if k is None]
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        kept = sum(3 * sizes[k] for k in stopped)
+        open_ = sum(weight[k] for k in order if k not in stopped)
+        target = {k: 3.0 * sizes[k] if k in stopped else (total - kept) * weight[k] / open_ for k in order}
+        above = {k for k in order if target[k] > 3 * sizes[k] * (1 + 1e-12)}
+        if not above:
+            return target
+        stopped |= above
+
+
+def test_mix_near_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = op8_pareto_mixing(spark, SF).join(docs.select("doc_id", "source", "text"), "doc_id").collect()
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in found:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    targets = plain_targets(sizes)
+    for r in found:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source])
+    for source in sizes:
+        assert abs(taken[source] - targets[source]) <= largest[source] / 2 + 1
+    again = {(r.doc_id, r.taken) for r in op8_pareto_mixing(spark, SF).collect()}
+    assert again == {(r.doc_id, r.taken) for r in found}
+
+
+def test_inclusion_follows_length_and_stops_at_the_limit(spark):
+    rows = [(i, "w " * (2 ** (i % 10)), "only", "en") for i in range(300)] + [(1000, "w", "tiny", "en")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    by_size = defaultdict(list)
+    for r in found:
+        by_size[r.size].append(r.copies)
+    assert np.mean(by_size[512]) > np.mean(by_size[1])
+    tiny = [r for r in found if r.doc_id == 1000][0]
+    assert tiny.target == 3.0 and tiny.copies == 3
+
+
+def test_mix_odd_rows(odd_docs, no_docs):
+    rows = mixing.mix(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r.taken == 0 for r in rows if r.size == 0)
+    assert len({r.taken for r in rows if r.doc_id == 1}) == 1
+    assert sum(r.taken for r in rows) > 0
+    repeated = mixing.repeat(odd_docs)
+    assert repeated.columns == odd_docs.columns
+    assert Counter(r.doc_id for r in repeated.collect()) == Counter(
+        {d: n for d, n in Counter({k: sum(r.copies for r in rows if r.doc_id == k) for k in {r.doc_id for r in rows}}).items() if n}
+    )
+    assert mixing.mix(no_docs).count() == 0 and mixing.repeat(no_docs).count() == 0
+
+
+def cheapest(supply, capacity, cost):
+    """Least cost by trying all ways to ship, unit by unit."""
+    best = {tuple(capacity): 0}
+    for i, units in enumerate(supply):
+        for _ in range(units):
+            step = {}
+            for room, spent in best.items():
+                for j, r in enumerate(room):
+                    if r:
+                        key = (*room[:j], r - 1, *room[j + 1 :])
+                        step[key] = min(step.get(key, 10**9), spent + cost[i][j])
+            best = step
+    return min(best.values())
+
+
+def test_flow_is_cheapest():
+    rng = np.random.default_rng(3)
+    for n, m in product((1, 2, 3), (1, 3)):
+        supply = rng.integers(0, 4, n).tolist()
+        capacity = rng.integers(1, 4, m).tolist()
+        capacity[0] += max(0, sum(supply) - sum(capacity))
+        cost = rng.integers(0, 5, (n, m)).tolist()
+        flow = shards.min_cost_flow(supply, capacity, cost)
+        assert [sum(row) for row in flow] == supply
+        assert all(sum(row[j] for row in flow) <= capacity[j] for j in range(m))
+        assert sum(f * c for fr, cr in zip(flow, cost) for f, c in zip(fr, cr)) == cheapest(supply, capacity, cost)
+
+
+def test_reshard_law_slots_and_moves(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = op2_min_cost_resharding(spark, SF).collect()
+    assert Counter(r.doc_id for r in found) == Counter(texts.keys())
+    sizes, slots = Counter(), defaultdict(list)
+    stay = Counter()
+    for r in found:
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == crc32(raw) and r.law == "bytes" and r.grown_shard is None
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        stay[r.old_shard] += r.size * (r.shard == r.old_shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) == set(range(16))
+    mean = sum(sizes.values()) / 16
+    assert max(sizes.values()) - min(sizes.values()) < 0.01 * mean
+    old = Counter()
+    for r in found:
+        old[r.old_shard] += r.size
+    # No layout of equal shards keeps more in place than the lesser of size and capacity.
+    assert all(stay[s] >= 0.98 * min(n, mean) for s, n in old.items())
+
+
+def test_reshard_odd_rows(spark, odd_docs, no_docs):
+    placed, plan = shards.reshard(odd_docs, F.lit(0), shards=3)
+    rows = placed.collect()
+    assert len(rows) == odd_docs.count() and {r.shard for r in rows} <= {0, 1, 2}
+    assert sum(r.size for r in rows if r.doc_id is None) == len("le renard brun est vif") + 2
+    assert plan.moved_bytes == sum(r.size for r in rows if r.shard)
+    empty, plan = shards.reshard(no_docs, F.lit(0))
+    assert empty.count() == 0 and plan.affected == []
+
+
+def test_rewrite_touches_affected_shards_only(spark, tmp_path, sf_docs):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    where = F.when(F.col("doc_id") < 150, 0).otherwise(F.pmod("doc_id", F.lit(3)) + 1).cast("int")
+    sf_docs.withColumn("shard", where).write.partitionBy("shard").parquet(old)
+    placed, plan = shards.reshard(sf_docs, where, shards=5)
+    written = shards.rewrite(spark, old, new, plan)
+    rows = {r.doc_id: (r.shard, r.text) for r in spark.read.parquet(new).collect()}
+    wanted = {r.doc_id: r.shard for r in placed.collect()}
+    texts = {r.doc_id: r.text for r in sf_docs.collect()}
+    assert set(written) == {s for s, _ in rows.values()}
+    assert rows == {d: (s, texts[d]) for d, s in wanted.items() if s in written}
+    unchanged = {d for d, s in wanted.items() if s not in written}
+    before = {r.doc_id: r.shard for r in spark.read.parquet(old).collect()}
+    assert all(before[d] == wanted[d] for d in unchanged)
