@@ -194,8 +194,8 @@ def classes(embeddings: DataFrame, keep: int) -> DataFrame:
     )
     first = Window.partitionBy("hash", "vector").orderBy("vec_id")
     return (
-        rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= keep)
-        .groupBy("hash", "vector").agg(F.collect_list("vec_id").alias("ids"))
+        rows.withColumn("__n", F.dense_rank().over(first)).where(F.col("__n") <= keep)
+        .groupBy("hash", "vector").agg(F.collect_set("vec_id").alias("ids"))
         .withColumn("dim", F.size("vector"))
     )
 
@@ -236,7 +236,7 @@ def search(
     non-finite components, are neither queries nor found. Only vectors of the query's
     length are. Equal vectors are one node of the graph with its ``k + 1`` smallest
     vec_ids, which is all that a result can hold. With fewer rows than ``k``, all are
-    found. Repeated rows of a query give one result. Other columns are ignored.
+    found. Rows that repeat a vec_id and its vector count once. Other columns are ignored.
     """
     index, shards = build_index(embeddings, k + 1, shard_rows)
     asked = (

@@ -1,0 +1,157 @@
+import math
+from collections import Counter
+
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from ambilens.llm import graph_search, wand
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_bm25(rows, is_query, k):
+    """rows: (doc_id, text), null ids count for statistics only."""
+    bags = [(d, Counter((t or "").encode().lower().split())) for d, t in rows]
+    df = Counter(w for _, c in bags for w in c)
+    n = len(bags)
+    mean = sum(sum(c.values()) for _, c in bags) / max(n, 1)
+    out = {}
+    for q, query in bags:
+        if q is None or not is_query(q):
+            continue
+        found = []
+        for d, bag in bags:
+            if d is None or d == q:
+                continue
+            score = sum(
+                m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * 2.2
+                / (bag[w] + 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean))
+                for w, m in query.items() if w in bag
+            )
+            if score > 0:
+                found.append((-score, d))
+        out[q] = sorted(found, key=lambda x: (round(x[0], 8), x[1]))[:k]
+    return out
+
+
+def as_lists(df, key):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((-r.score, r[key]))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+def same(found, wanted):
+    assert set(found) == {q for q, v in wanted.items() if v}
+    for q, rows in found.items():
+        assert [d for _, d in rows] == [d for _, d in wanted[q]]
+        assert np.allclose([s for s, _ in rows], [s for s, _ in wanted[q]])
+
+
+def test_search_like_brute_force(sf_docs, plain_docs):
+    found = as_lists(wand.search(sf_docs, F.col("doc_id") % 50 == 0, k=7), "doc_id")
+    same(found, plain_bm25([(d, t) for d, t, *_ in plain_docs], lambda d: d % 50 == 0, 7))
+
+
+def test_search_over_many_small_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(80)]
+    share = 1 / np.arange(1, 81) / sum(1 / np.arange(1, 81))
+    rows = [(int(i), " ".join(rng.choice(words, rng.integers(1, 40), p=share))) for i in range(400)]
+    rows += [(1000 + i, rows[i % 5][1]) for i in range(60)]  # copies
+    for name, value in (("QUERY_BLOCK", 9), ("WORDS_PER_TASK", 50)):
+        monkeypatch.setattr(wand, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = as_lists(wand.search(docs, F.col("doc_id") % 9 == 0, k=10), "doc_id")
+    same(found, plain_bm25(rows, lambda d: d % 9 == 0, 10))
+
+
+def test_index_prunes_but_stays_exact():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30) % 500) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    row = {k: v[0] for k, v in wand._shard(batch, 0).to_pydict().items()}
+    sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+    index = wand.Index(row, [{"part": 0, "docs": sizes.tobytes()}], wand.Corpus(600, 30.0))
+    scored = 0
+    exact = index.exact
+
+    def counted(docs):
+        nonlocal scored
+        scored += len(docs)
+        return exact(docs)
+
+    index.exact = counted
+    words, counts = index.words[sizes < 40][:6], np.ones(6, np.uint32)
+    best, score = index.top(words, counts, 5, -1)
+    index.weight[np.searchsorted(index.words, words)] = 1
+    every = exact(np.arange(600))
+    order = np.lexsort((np.arange(600), -every))[:5]
+    assert best.tolist() == order.tolist() and np.allclose(score, every[order])
+    assert scored < 300
+
+
+def test_search_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    found = as_lists(wand.search(odd_docs, F.lit(True), k=5), "doc_id")
+    wanted = plain_bm25(rows, lambda d: True, 5)
+    same(found, wanted)
+    assert wand.search(no_docs, F.lit(True)).count() == 0
+
+
+def test_graph_recall_and_scores(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet' order by vec_id").fetchall()
+    ids = np.array([i for i, _ in rows])
+    vectors = np.array([v for _, v in rows], float)
+    found = as_lists(graph_search.search(table, F.col("vec_id") % 20 == 0, shard_rows=100), "vec_id")
+    hits = 0
+    for q, results in found.items():
+        scores = vectors @ vectors[q == ids][0]
+        other = ids != q
+        wanted = ids[other][np.lexsort((ids[other], -scores[other]))[:20]]
+        hits += len(set(wanted) & {d for _, d in results})
+        at = {int(i): n for n, i in enumerate(ids)}
+        assert np.allclose([-s for s, _ in results], [scores[at[d]] for _, d in results], rtol=1e-12)
+        assert results == sorted(results)
+    assert hits >= 0.95 * 20 * len(found) and set(found) == set(ids[ids % 20 == 0])
+
+
+def test_graph_recall_in_one_large_shard():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(20, 24))
+    vectors = centres[rng.integers(0, 20, 3000)] + 0.5 * rng.normal(size=(3000, 24))
+    vectors[::7] *= 5  # unequal norms
+    base = graph_search._unit(vectors)
+    edges, entry = graph_search.build_graph(base)
+    queries = vectors[::50]
+    flat = np.concatenate([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1)
+    nodes, _ = graph_search.beam_search(base, edges, entry, flat.astype(np.float32), 96)
+    wanted = np.argsort(-(queries @ vectors.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(nodes, wanted)]) > 0.95
+    assert ((edges >= 0).sum(axis=1) <= graph_search.DEGREE).all() and (edges != np.arange(3000)[:, None]).all()
+
+
+def test_pruning_keeps_diverse_neighbours():
+    base = np.array([[1, 0], [0.99, 0.14107], [0.985, 0.17255], [0.9, -0.43589]], np.float32)
+    kept = graph_search.robust_prune(base, np.array([0]), np.array([[1, 2, 3, -1]]), degree=3)
+    assert kept.tolist() == [[1, 3, -1]]
+
+
+def test_graph_odd_rows(spark):
+    rows = [(i, [1.0, float(i)], "x") for i in range(5)] + [(20 * i, [2.0, 3.0], "x") for i in range(1, 40)]
+    rows += [(2000, None, "x"), (2001, [0.0, 0.0], "x"), (2002, [1.0, None], "x"), (2003, [float("nan"), 1.0], "x"),
+             (2020, [float("inf"), 1.0], "x"), (2040, [], "x"), (None, [1.0, 1.0], "x"), (2060, [1.0, 2.0, 3.0], "x"),
+             (2061, [1.0, 2.0, 3.0], "x"), (20, [2.0, 3.0], "x"), (40, [2.0, 3.0], "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+    found = as_lists(graph_search.search(table, F.col("vec_id") % 20 == 0), "vec_id")
+    assert set(found) == {0, *range(20, 800, 20), 2060}
+    assert [d for _, d in found[2060]] == [2061]
+    assert [d for _, d in found[40]] == [4, 20, *range(60, 420, 20)]
+    assert len(found[0]) == 20 and found[0][0] == (-2.0, 20)
+    empty = graph_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))
+    assert empty.count() == 0 and empty.columns == ["query_id", "rank", "vec_id", "score"]
