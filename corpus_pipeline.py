@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = stage(simhash.near_duplicates(docs), "near-duplicates")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # One plan at every size: which ids go grows with the corpus, so it is never broadcast.
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
