@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambilens.operators.archive import (
@@ -18,39 +20,109 @@ from ambilens.operators.archive import (
 from ambilens.operators.skew import lookup_join
 from ambilens.session import scratch_path, stage
 from ambilens.sinks.tables import COMPRESSION, delete, read_or_none, to_schema
-from ambilens.sources.archive import FORMAT, SPLIT_BYTES, SUFFIX, list_archives, register
+from ambilens.sources.archive import (
+    END_OF_FILE,
+    FORMAT,
+    SPAN,
+    SPLIT_BYTES,
+    SUFFIX,
+    TABLE_SUFFIX,
+    list_archives,
+    list_tables,
+    register,
+)
 
 STATUS_SCHEMA = (
     "path string, folder string, model_tag string, status string, n_rows bigint, "
     "n_samples bigint, error string, run_id string"
 )
 WRITTEN, SKIPPED, FAILED = "written", "skipped", "failed"
+RECORD_COLUMNS = ("path", "seq", "type", "config", "samples")
+CONFIG_FIELDS = ("model", "model_type", "dataset", "json")
 
 
 def read_records(
     spark: SparkSession, path: str, tokens: bool = False, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """Archive records; see :mod:`ambilens.sources.archive`."""
-    return _reader(spark, tokens, split_bytes).option("path", path).load()
+    """Archive records; see :mod:`ambilens.sources.archive`.
+
+    Files above ``split_bytes`` are read by several tasks and stored; those whose
+    parts don't chain are read again as a whole, so the rows are the same at any
+    ``split_bytes``. Only ``seq`` differs: it orders the records of a path.
+    """
+    return _read(spark, list_archives(path), tokens, split_bytes)
 
 
-def _reader(spark: SparkSession, tokens: bool, split_bytes: int) -> DataFrameReader:
+def _read(
+    spark: SparkSession, files: list[tuple[str, int]], tokens: bool, split_bytes: int
+) -> DataFrame:
     register(spark)
-    reader = spark.read.format(FORMAT).option("tokens", str(tokens).lower())
-    return reader.option("split_bytes", split_bytes)
+    source = spark.read.format(FORMAT).option("tokens", str(tokens).lower())
+
+    def load(paths: list[str], limit: int) -> DataFrame:
+        return source.option("split_bytes", limit).option("paths", json.dumps(paths)).load()
+
+    small = [path for path, size in files if size <= split_bytes]
+    large = [path for path, size in files if size > split_bytes]
+    if not large:
+        return load(small, split_bytes)
+    parts = stage(load(large, split_bytes), "records")
+    broken = [row.path for row in broken_chains(parts).collect()]  # at most the large files
+    rows = parts.where(F.col("type").isNull() | (F.col("type") != SPAN))
+    if broken:
+        named = spark.createDataFrame([(path,) for path in broken], "path string")
+        rows = rows.join(named, "path", "left_anti").select(*parts.columns)
+    again = small + broken
+    return rows.unionByName(load(again, 1 << 62)) if again else rows
+
+
+def broken_chains(parts: DataFrame) -> DataFrame:
+    """Paths of split files whose spans don't chain from the first byte to the last.
+
+    A path has one fact row per span, in order of ``seq``; a span in which no member
+    starts only passes the chain on.
+    """
+    facts = parts.where(F.col("type") == SPAN).groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct(
+            "seq", F.col("start_index").alias("first"), F.col("end_index").alias("following"), "error"
+        ))).alias("spans")
+    )
+
+    def link(state: Column, span: Column) -> Column:
+        sound = span["error"].isNull() & (span["first"].isNull() | (span["first"] == state["at"]))
+        return F.struct(
+            F.coalesce(span["following"], state["at"]).alias("at"), (state["sound"] & sound).alias("sound")
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(True).alias("sound"))
+    chained = F.aggregate("spans", start, link, lambda state: state["sound"] & (state["at"] == END_OF_FILE))
+    return facts.where(~chained).select("path")
+
+
+def read_stored_records(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+    """Records stored by :func:`ambilens.plans.sampling.write_archive`, one path per table."""
+    stored = spark.read.parquet(*tables)
+    folder = F.regexp_extract("_metadata.file_path", rf"^(.*{TABLE_SUFFIX.replace('.', '[.]')})/[^/]*$", 1)
+    plain = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    return stored.withColumn("path", F.regexp_replace(plain, "^file:/+", "/"))
 
 
 def mirrored(path: Column, root: str) -> list[Column]:
     """Output place of an archive: its folder below the root, and its tag."""
-    base = root.rstrip("/") + "/"
-    relative = F.substring(path, len(base) + 1, 1 << 30)
-    relative = F.when(F.startswith(path, F.lit(base)), relative)
-    relative = F.coalesce(relative, F.substring_index(path, "/", -1))
+    root = root.rstrip("/")
+    relative = F.substring(path, len(root) + 2, 1 << 30)
+    outside = F.raise_error(F.concat(path, F.lit(f" is not below {root}"))).cast("string")
+    relative = (
+        F.when(F.startswith(path, F.lit(root + "/")), relative)
+        .when(path == root, F.substring_index(path, "/", -1))
+        .otherwise(outside)
+    )
     name = F.substring_index(relative, "/", -1)
     folder = F.substring(relative, F.lit(1), F.length(relative) - F.length(name) - 1)
+    endings = "|".join(ending.replace(".", "[.]") for ending in (SUFFIX, TABLE_SUFFIX))
     return [
         F.when(folder == "", ".").otherwise(folder).alias("folder"),
-        F.substring(name, F.lit(1), F.length(name) - len(SUFFIX)).alias("model_tag"),
+        F.regexp_replace(name, f"({endings})$", "").alias("model_tag"),
     ]
 
 
@@ -94,35 +166,46 @@ def extract_archives(
     overwrite: bool = False,
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """Extract all archives below ``input_dir``; returns the status of every file.
+    """Extract all archives below ``input_dir``; returns the status of every one.
 
+    Archives are ``*.pkl.gz`` files and ``*.records`` tables, as sampling stores them.
     Rows go to ``output_dir`` partitioned by folder and model tag, statuses to
     ``output_dir/_status``. An archive with any bad record is left out as a whole
     and reported; one that was written before is skipped unless ``overwrite``.
     Archives are decoded once, into a staged table. An archive without candidates
     counts as written; it has no partition.
     """
-    files = [path for path, _ in list_archives(input_dir)]
-    if not files:
+    input_dir = input_dir.rstrip("/")
+    files, tables = list_archives(input_dir), list_tables(input_dir)
+    if not files and not tables:
         raise FileNotFoundError(f"No {SUFFIX} files under {input_dir}")
     status_dir = f"{output_dir.rstrip('/')}/_status"
+    found = [(path, size, False) for path, size in files] + [(path, 0, True) for path in tables]
+    listed = spark.createDataFrame(found, "path string, size bigint, stored boolean")
     done = None if overwrite else read_or_none(spark, status_dir, STATUS_SCHEMA)
-    known = set()
+    skipped = _skipped(listed.limit(0), input_dir)
     if done is not None:
         written = done.where(F.col("status") == WRITTEN).select("path").distinct()
-        known = {row.path for row in written.collect()}
-    skipped = _skipped(spark, [path for path in files if path in known], input_dir)
-    todo = [path for path in files if path not in known]
+        skipped = _skipped(listed.join(written, "path", "left_semi"), input_dir)
+        listed = listed.join(written, "path", "left_anti")
+    todo = listed.orderBy("path").collect()
     if not todo:
         return skipped
 
-    reader = _reader(spark, False, split_bytes).option("paths", json.dumps(todo))
     folder = scratch_path(spark, "extract")
-    records = stage(reader.load(), path=f"{folder}/records")
-    status = stage(_with_silent(archive_status(records, input_dir), todo, input_dir), "status")
+    parts = []
+    if named := [(row.path, row.size) for row in todo if not row.stored]:
+        parts.append(_read(spark, named, False, split_bytes).select(*RECORD_COLUMNS, "error"))
+    if named := [row.path for row in todo if row.stored]:
+        config = F.struct(*[F.col(f"config.{name}") for name in CONFIG_FIELDS])
+        stored = read_stored_records(spark, named)
+        stored = stored.withColumn("config", F.when(F.col("config").isNotNull(), config))
+        parts.append(_text_records(stored).withColumn("error", F.lit(None).cast("string")))
+    records = stage(reduce(DataFrame.unionByName, parts), path=f"{folder}/records")
+    status = stage(_with_silent(archive_status(records, input_dir), [row.path for row in todo], input_dir), path=f"{folder}/status")
     sound = status.where(F.col("status") == WRITTEN)
-    # Split files are numbered by byte offset, whole files by record.
-    batches = carry_metadata(records, chunk=max(split_bytes // 64, 4096))
+    # Split files are numbered by byte offset and record, whole files by record.
+    batches = carry_metadata(records, chunk=max(split_bytes << 10, 4096))
     places = sound.select("path", "folder", "model_tag")
     batches = lookup_join(batches, places, ["path"], how="inner", spread=["seq"])
     rows = flatten_candidates(batches, keep=["folder", "model_tag"])
@@ -143,8 +226,25 @@ def extract_archives(
         .option("compression", COMPRESSION)
         .parquet(status_dir)
     )
+    # The statuses, one row per archive, are what the caller gets; the stage can go.
+    told = spark.createDataFrame(status.collect(), status.schema).unionByName(skipped)
     delete(spark, folder)
-    return status.unionByName(skipped)
+    return told
+
+
+def _text_records(stored: DataFrame) -> DataFrame:
+    """Stored records with the text-level payload only, as the archive source gives it."""
+
+    def candidate(c: Column) -> Column:
+        return F.struct(c["text"].alias("text"), F.lit(True).alias("is_text"), c["finish_reason"].alias("finish_reason"))
+
+    def sample(s: Column) -> Column:
+        return F.struct(
+            *[s[name].alias(name) for name in ("index", "row_number", "src", "ambiguity")],
+            F.transform(s["candidates"], candidate).alias("candidates"),
+        )
+
+    return stored.withColumn("samples", F.transform("samples", sample)).select(*RECORD_COLUMNS)
 
 
 def _with_silent(status: DataFrame, paths: list[str], root: str) -> DataFrame:
@@ -159,9 +259,9 @@ def _with_silent(status: DataFrame, paths: list[str], root: str) -> DataFrame:
     ))
 
 
-def _skipped(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
+def _skipped(listed: DataFrame, root: str) -> DataFrame:
     nothing = F.lit(0).cast("bigint")
-    return spark.createDataFrame([(path,) for path in paths], "path string").select(
+    return listed.select(
         "path", *mirrored(F.col("path"), root), F.lit(SKIPPED).alias("status"),
         nothing.alias("n_rows"), nothing.alias("n_samples"),
         F.lit(None).cast("string").alias("error"),

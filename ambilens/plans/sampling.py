@@ -21,6 +21,7 @@ from ambilens.functions.prompts import translation_prompt
 from ambilens.functions.tokens import candidate
 from ambilens.operators.archive import METADATA, batch_records
 from ambilens.sinks.tables import write_table
+from ambilens.sources.archive import TABLE_SUFFIX
 
 BATCH_SIZE = 128
 CONFIG = "struct<model:string, model_type:string, dataset:string, json:string>"
@@ -98,5 +99,10 @@ def sample_records(
 
 
 def write_archive(records: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Store records as a nested table; an existing archive is refused or replaced."""
+    """Store records as a nested table; an existing archive is refused or replaced.
+
+    ``path`` ends in ``.records``, by which the extraction finds the table.
+    """
+    if not path.endswith(TABLE_SUFFIX):
+        raise ValueError(f"The path of a stored archive ends in {TABLE_SUFFIX}: {path}")
     write_table(records, path, overwrite=overwrite)

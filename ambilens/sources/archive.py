@@ -8,8 +8,14 @@ row with ``error`` and does not stop the others.
 Options: ``path`` (folder or file; any filesystem Arrow can open), ``paths`` (a JSON
 list of files, instead), ``tokens``
 (``true`` adds the token-level payload), ``split_bytes`` (files larger than this
-are read by several tasks, each taking the members that start in its range; needs
-one record per member, which is how the archives are written).
+are read by several tasks, each taking the members that start in its range).
+
+A split file also gives one row of type ``span`` per task: where its first member
+starts (``start_index``) and where the one after its last would (``end_index``, -1 at
+the end of the file), or an ``error``. Only where these facts chain from the file's
+first byte to its last did the tasks read what a single pass reads; any other file
+(records across members, a corrupt or truncated member, a refused class) has to be
+read again as a whole. ``ambilens.plans.extract.read_records`` does both.
 
 Usage::
 
@@ -33,10 +39,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SUFFIX = ".pkl.gz"
+TABLE_SUFFIX = ".records"
 FORMAT = "gzip_records"
 SPLIT_BYTES = 256 * 1024 * 1024
 _MEMBER = b"\x1f\x8b\x08"
 _READ = 1024 * 1024
+SPAN = "span"
+END_OF_FILE = -1
+# Records of one member are numbered below these bits.
+_RECORD_BITS = 16
 
 _TEXT_CANDIDATE = "text string, is_text boolean, finish_reason string"
 _TOKEN_CANDIDATE = (
@@ -115,18 +126,36 @@ class RecordReader(DataSourceReader):
         return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        seq = partition.start
+        return self._read_whole(partition) if partition.whole else self._read_span(partition)
+
+    def _read_whole(self, partition: Span) -> Iterator[tuple]:
+        seq = -1
         try:
-            source, _ = open_filesystem(partition.path)
-            with source.open_input_file(local_path(partition.path)) as stream:
-                records = (
-                    _whole(stream) if partition.whole else _members(stream, partition)
-                )
-                for seq, record in records:
+            source, inner = open_filesystem(partition.path)
+            with source.open_input_file(inner) as stream:
+                for seq, record in _whole(stream):
                     yield self._row(partition.path, seq, record)
         except Exception as error:  # a bad file must not stop the other files
-            after = seq + 1 if partition.whole else seq
-            yield self._failure(partition.path, after, f"{type(error).__name__}: {error}")
+            yield self._failure(partition.path, seq + 1, f"{type(error).__name__}: {error}")
+
+    def _read_span(self, span: Span) -> Iterator[tuple]:
+        """Records of the members that start inside the span, then the span's facts."""
+        first = at = None
+        problem = None
+        try:
+            source, inner = open_filesystem(span.path)
+            with source.open_input_file(inner) as stream:
+                first = at = 0 if span.start == 0 else _next_member(stream, span.start, span.end)
+                while at is not None and END_OF_FILE < at < span.end:
+                    member = _Member(stream, at)
+                    for number, record in enumerate(_records(member)):
+                        if number >> _RECORD_BITS:
+                            raise ValueError("Too many records in one member")
+                        yield self._row(span.path, at << _RECORD_BITS | number, record)
+                    at = member.following()
+        except Exception as error:  # the file is read again as a whole
+            problem = f"{type(error).__name__}: {error}"
+        yield (span.path, span.start, SPAN, None, None, None, first, at, None, problem)
 
     def _failure(self, path: str, seq: int, message: str) -> tuple:
         return (path, seq, None, None, None, None, None, None, None, message)
@@ -195,57 +224,75 @@ class RecordReader(DataSourceReader):
 def _whole(stream: BinaryIO) -> Iterator[tuple[int, Any]]:
     """Records of a file in order, numbered from 0."""
     with gzip.GzipFile(fileobj=stream, mode="rb") as plain:
-        buffered = io.BufferedReader(plain)
-        seq = 0
-        while buffered.peek(1):
-            yield seq, PlainUnpickler(buffered).load()
-            seq += 1
+        yield from enumerate(_records(plain))
 
 
-def _members(stream: BinaryIO, span: Span) -> Iterator[tuple[int, Any]]:
-    """Records of the members that start inside the span, numbered by offset.
+def _records(plain: Any) -> Iterator[Any]:
+    buffered = io.BufferedReader(plain)
+    while buffered.peek(1):
+        yield PlainUnpickler(buffered).load()
 
-    Compressed data may contain a member's signature by chance; a start counts
-    only if a member with a valid checksum and one whole record follows it.
-    """
-    at = 0 if span.start == 0 else _next_member(stream, span.start, span.end)
-    while at is not None and at < span.end:
-        data, following = _inflate(stream, at)
-        yield at, PlainUnpickler(io.BytesIO(data)).load()
-        at = following
+
+class _Member(io.RawIOBase):
+    """The plain bytes of the gzip member at ``start``, inflated as they are read."""
+
+    def __init__(self, stream: BinaryIO, start: int) -> None:
+        self._stream, self._at = stream, start
+        self._inflater = zlib.decompressobj(wbits=zlib.MAX_WBITS | 16)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: Any) -> int:
+        while not self._inflater.eof:
+            block = self._inflater.unconsumed_tail
+            if not block:
+                self._stream.seek(self._at)
+                block = self._stream.read(_READ)
+                if not block:
+                    raise EOFError("Truncated archive member")
+                self._at += len(block)
+            plain = self._inflater.decompress(block, len(buffer))
+            if plain:
+                buffer[: len(plain)] = plain
+                return len(plain)
+        return 0
+
+    def following(self) -> int:
+        """Where the next member starts, once this one is drained."""
+        at = self._at - len(self._inflater.unused_data)
+        self._stream.seek(at)
+        return at if self._stream.read(1) else END_OF_FILE
 
 
 def _next_member(stream: BinaryIO, start: int, end: int) -> int | None:
+    """First place in the range where a whole member with a valid checksum starts.
+
+    Compressed data may hold a member's signature by chance, and a damaged member
+    may be passed over: the chain of facts tells.
+    """
     position = start
     while position < end:
         stream.seek(position)
         window = stream.read(min(_READ, end - position) + len(_MEMBER) - 1)
         found = window.find(_MEMBER)
         while found >= 0 and position + found < end:
-            try:
-                data, _ = _inflate(stream, position + found)
-                PlainUnpickler(io.BytesIO(data)).load()
+            if _is_member(stream, position + found):
                 return position + found
-            except (zlib.error, EOFError, pickle.UnpicklingError, ValueError, IndexError):
-                found = window.find(_MEMBER, found + 1)
+            found = window.find(_MEMBER, found + 1)
         position += _READ
     return None
 
 
-def _inflate(stream: BinaryIO, start: int) -> tuple[bytes, int | None]:
-    """One member's data and the start of the next (None at the end of the file)."""
-    member = zlib.decompressobj(wbits=zlib.MAX_WBITS | 16)
-    stream.seek(start)
-    parts, taken = [], 0
-    while not member.eof:
-        block = stream.read(_READ)
-        if not block:
-            raise EOFError("Truncated archive member")
-        parts.append(member.decompress(block))
-        taken += len(block)
-    following = start + taken - len(member.unused_data)
-    stream.seek(following)
-    return b"".join(parts), following if stream.read(1) else None
+def _is_member(stream: BinaryIO, at: int) -> bool:
+    member = _Member(stream, at)
+    buffer = bytearray(_READ)
+    try:
+        while member.readinto(buffer):
+            pass
+    except (zlib.error, EOFError):
+        return False
+    return True
 
 
 def open_filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -254,25 +301,32 @@ def open_filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path.removeprefix("file:")
 
 
-def local_path(path: str) -> str:
-    return open_filesystem(path)[1]
-
-
 def list_archives(path: str) -> list[tuple[str, int]]:
     """Archives at or below ``path``, sorted, with their sizes."""
+    return [(found, size) for found, size in _listed(path, directories=False) if found.endswith(SUFFIX)]
+
+
+def list_tables(path: str) -> list[str]:
+    """Stored record tables (folders) at or below ``path``, sorted."""
+    return [found for found, _ in _listed(path, directories=True) if found.endswith(TABLE_SUFFIX)]
+
+
+def _listed(path: str, directories: bool) -> list[tuple[str, int]]:
+    """Entries at or below ``path`` under the scheme and authority it was given with."""
+    path = path.rstrip("/")
     source, inner = open_filesystem(path)
+    inner = inner.rstrip("/")
+    if not path.endswith(inner):
+        raise ValueError(f"Can't tell the store from the folder in {path}")
+    prefix = path[: len(path) - len(inner)]
     info = source.get_file_info(inner)
     if info.type == arrow_fs.FileType.NotFound:
         raise FileNotFoundError(f"No archive folder {path}")
     found = [info]
     if info.type == arrow_fs.FileType.Directory:
-        found = source.get_file_info(arrow_fs.FileSelector(inner, recursive=True))
-    prefix = path[: path.index("://") + 3] if "://" in path else ""
-    return sorted(
-        (prefix + entry.path, entry.size)
-        for entry in found
-        if entry.type == arrow_fs.FileType.File and entry.path.endswith(SUFFIX)
-    )
+        found += source.get_file_info(arrow_fs.FileSelector(inner, recursive=True))
+    wanted = arrow_fs.FileType.Directory if directories else arrow_fs.FileType.File
+    return sorted((prefix + entry.path, entry.size) for entry in found if entry.type == wanted)
 
 
 class RecordSource(DataSource):

@@ -160,7 +160,105 @@ def test_split_files_read_the_same(spark, tmp_path, rows, split):
     extract.extract_archives(spark, str(tmp_path / "raw"), str(tmp_path / "parts"), split_bytes=split)
     assert len(whole) == 120
     assert rows(extract.read_candidates(spark, str(tmp_path / "parts")), *columns) == whole
-    assert extract.read_records(spark, str(tmp_path / "raw"), split_bytes=200).rdd.getNumPartitions() > 10
+
+
+def packed(*records, level=9):
+    """One member with several records."""
+    return gzip.compress(b"".join(pickle.dumps(r) for r in records), level)
+
+
+def sound_parts():
+    return [packed(metadata("a"))] + [packed(batch(i, [[f"text {i} " + "xyz" * (i % 5)]])) for i in range(6)]
+
+
+def cases():
+    sound = sound_parts()
+    damaged = [bytes(b ^ 0x55 if 12 < i < 20 else b for i, b in enumerate(part)) for part in sound]
+    crossing = pickle.dumps(batch(7, [["across members"]]))
+    yield "sound", sound
+    yield "several records", [packed(metadata("a"), batch(0, [["x"]]), batch(1, [["y"]])), *sound[1:], packed(batch(9, [["z"]]), batch(10, [["w"]]))]
+    yield "one member", [packed(metadata("a"), *[batch(i, [[f"t{i}"]]) for i in range(30)])]
+    yield "across members", [*sound, gzip.compress(crossing[:40]), gzip.compress(crossing[40:])]
+    for at in (0, 1, 3, 6):
+        yield f"damaged {at}", sound[:at] + [damaged[at]] + sound[at + 1 :]
+    yield "truncated", [*sound[:-1], sound[-1][:-9]]
+    yield "refused", [*sound[:3], packed({"type": "batch", "samples": [], "x": Planted()}), *sound[3:]]
+    yield "garbage", [*sound, b"\x1f\x8b\x08 and more"]
+    yield "padded", [*sound, bytes(30)]
+
+
+def test_every_split_reads_the_same(spark, tmp_path):
+    """Whole files and files cut at every member boundary, and one byte beside it."""
+    wanted, sizes = {}, {}
+    root = tmp_path / "raw"
+    root.mkdir()
+    for name, parts in cases():
+        (root / f"{name}.pkl.gz").write_bytes(b"".join(parts))
+        sizes[name] = {sum(map(len, parts[:n])) + d for n in range(1, len(parts)) for d in (-1, 0, 1)}
+
+    def read(split):
+        records = extract.read_records(spark, str(root), split_bytes=split)
+        found = {}
+        for r in sorted(records.collect(), key=lambda r: (r.path, r.seq)):
+            texts = [c.text for s in r.samples or () for c in s.candidates]
+            found.setdefault(os.path.basename(r.path), []).append((r.type, texts, r.error))
+        return found
+
+    wanted = read(1 << 40)
+    assert sum(any(e for *_, e in rows) for rows in wanted.values()) == 7
+    for split in sorted(set().union(*sizes.values()))[::9] + [len(sound_parts()[0]), 37]:
+        assert read(max(split, 20)) == wanted, split
+
+
+def test_split_facts_show_what_is_missing(spark, tmp_path):
+    from ambilens.sources.archive import FORMAT, register
+
+    for name, parts in cases():
+        (tmp_path / f"{name}.pkl.gz").write_bytes(b"".join(parts))
+    register(spark)
+    loaded = spark.read.format(FORMAT).option("path", str(tmp_path)).option("split_bytes", 90).load()
+    broken = {os.path.basename(r.path)[:-7] for r in extract.broken_chains(loaded).collect()}
+    assert broken == {name for name, _ in cases()} - {"sound", "several records", "one member"}
+
+
+def test_roots_keep_their_store(tree, spark, tmp_path):
+    write(tree / "a/m.pkl.gz", metadata(), batch(0, [["in a"]]))
+    write(tree / "b/m.pkl.gz", metadata(), batch(0, [["in b"]]))
+    for root in (f"file:{tree}", f"file://{tree}/", str(tree)):
+        assert all(p.startswith(root.rstrip("/") + "/") for p, _ in list_archives(root))
+        out = str(tmp_path / f"out{len(root)}")
+        extract.extract_archives(spark, root, out)
+        kept = extract.read_candidates(spark, out).where("model_tag = 'm'")
+        assert {(r.folder, r.raw_text) for r in kept.collect()} == {("a", "in a"), ("b", "in b")}
+    outside = spark.createDataFrame([("/else/x.pkl.gz",)], "path string")
+    with pytest.raises(Exception, match="is not below"):
+        outside.select(*extract.mirrored(F.col("path"), str(tree))).collect()
+
+
+def test_sampled_archives_are_extracted(spark, tmp_path, rows):
+    from ambilens.operators.unique import aggregate_candidates
+    from ambilens.plans import sampling
+
+    corpus = spark.createDataFrame([(i, i + 2, f"s{i}", i % 2) for i in range(5)],
+                                   "index long, row_number long, src string, ambiguity tinyint")
+    made = spark.createDataFrame(
+        [(i, k, f"text {i} {k % 2}", -1.0, [1], [[(1, "t", -0.5, 1)]], "stop", None) for i in range(5) for k in range(3)],
+        "index long, candidate_index int, text string, cumulative_logprob double, token_ids array<int>, "
+        "logprobs array<array<struct<token_id:int,token:string,logprob:double,rank:int>>>, "
+        "finish_reason string, stop_reason string")
+    requests = sampling.translation_requests(corpus, "org/M-Base", "base")
+    records = sampling.sample_records(
+        sampling.samples(requests, sampling.completion_candidates(made)), {"model": "org/M-Base", "model_type": "base"}, 2)
+    with pytest.raises(ValueError):
+        sampling.write_archive(records, str(tmp_path / "raw/p/m"))
+    sampling.write_archive(records, str(tmp_path / "raw/p/m b+1.records"))
+    write(tmp_path / "raw/q.pkl.gz", metadata(), batch(9, [["file"]]))
+    status = extract.extract_archives(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert rows(status, "folder", "model_tag", "status", "n_rows", "n_samples") == [
+        (".", "q", "written", 1, 1), ("p", "m b+1", "written", 15, 5)]
+    assert aggregate_candidates(extract.read_candidates(spark, str(tmp_path / "out"))).count() == 11
+    again = extract.extract_archives(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert rows(again, "status") == [("skipped",), ("skipped",)]
 
 
 RECORDS = "path string, seq bigint, type string, config struct<model:string>, samples array<struct<index:bigint>>"
