@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -78,13 +79,20 @@ def token_choice(token: Column | str, choices: Sequence[str]) -> Column:
 def parse_answer(response: Column | str, choices: Sequence[str]) -> Column:
     """Last choice that stands alone in the response, else null.
 
-    A response that is nothing but a choice counts too, whatever its characters.
+    Words are what lies between other characters. A response that is nothing but a
+    choice counts too, whatever its characters.
     """
     response = as_column(response)
-    by_length = sorted(choices, key=len, reverse=True)
-    alternatives = "|".join(rf"\Q{choice}\E" for choice in by_length)
-    alone = rf"(?<!{WORD})(?:{alternatives})(?!{WORD})"
-    found = F.regexp_extract_all(response, F.lit(alone), F.lit(0))
-    return F.coalesce(
-        F.try_element_at(found, F.lit(-1)), token_choice(response, choices)
-    )
+    if all(re.fullmatch(r"\w+", choice) for choice in choices):
+        words = F.split(response, f"[^{WORD[1:-1]}]+")
+        alone = F.filter(words, lambda word: word.isin(list(choices)))
+    else:  # choices with other characters lie across such words
+        longest_first = sorted(map(quoted, choices), key=len, reverse=True)
+        pattern = f"(?<!{WORD})(?:{'|'.join(longest_first)})(?!{WORD})"
+        alone = F.regexp_extract_all(response, F.lit(pattern), F.lit(0))
+    return F.coalesce(F.try_element_at(alone, F.lit(-1)), token_choice(response, choices))
+
+
+def quoted(text: str) -> str:
+    """A pattern that matches the text itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", text)

@@ -56,14 +56,20 @@ def decision_position(
     choices: Sequence[str],
     think_end_ids: Sequence[int] = (),
     texts: Column | None = None,
+    spelled: Column | str | None = None,
 ) -> Column:
     """Position (0-based) of the token that carries the decision, else null.
 
     ``default``: the first token. ``cot``: the last token that is exactly a
     choice. ``thinking``: the first token after the last end-of-thinking ids
-    whose text is not blank.
+    whose text is not blank. ``spelled``, the text at each position, takes the place
+    of ``texts`` where the vocabulary was joined.
     """
     ids, entries = as_column(token_ids), as_column(logprobs)
+
+    def text_at(token_id: Column, position: Column) -> Column:
+        return decode_id(token_id, texts) if spelled is None else F.get(as_column(spelled), position)
+
     if mode not in MODES:
         raise ValueError(f"Unknown mode {mode!r}; known: {', '.join(MODES)}")
     present = (F.size(ids) > 0) & (F.size(entries) > 0)
@@ -75,7 +81,7 @@ def decision_position(
             after = start + len(think_end_ids)
             spoken = F.filter(
                 F.sequence(after, F.greatest(after, F.size(ids) - 1)),
-                lambda i: strip(decode_id(F.get(ids, i), texts)) != "",
+                lambda i: strip(text_at(F.get(ids, i), i)) != "",
             )
             return F.try_element_at(spoken, F.lit(1))
 
@@ -93,7 +99,7 @@ def decision_position(
         recorded = F.exists(entry, lambda alt: (alt["token_id"] == token_id)
                             & spells(decoded_token(alt["token"], token_id, texts)))
         listed = F.exists(entry, lambda alt: alt["token_id"] == token_id)
-        unlisted = spells(decode_id(token_id, texts)) & ~F.coalesce(listed, F.lit(False))
+        unlisted = spells(text_at(token_id, position)) & ~F.coalesce(listed, F.lit(False))
         return F.coalesce(recorded, F.lit(False)) | unlisted
 
     chosen = F.filter(

@@ -17,6 +17,7 @@ from ambilens.functions.prompts import (
 )
 from ambilens.functions.text import parse_answer, strip
 from ambilens.functions.tokens import choice_probabilities, decision_position
+from ambilens.operators.checks import InvalidInput, assert_same_keys, duplicate_keys
 
 PREDICTION_FIELDS = (
     "input_text", "response", "parsed_answer", "decision_token_position",
@@ -48,9 +49,13 @@ def process_generations(
     """Add answer, decision position and choice probabilities to generations.
 
     ``generations`` has ``text``, ``token_ids`` and ``logprobs``; the token-level
-    payload is dropped from the result.
+    payload is dropped from the result. Token texts come from ``texts``, or from a
+    column ``spelled`` (see :func:`ambilens.operators.vocabulary.spell_generations`).
     """
-    position = decision_position("token_ids", "logprobs", mode, choices, think_end_ids, texts)
+    spelled = "spelled" if "spelled" in generations.columns else None
+    position = decision_position(
+        "token_ids", "logprobs", mode, choices, think_end_ids, texts, spelled
+    )
     placed = generations.withColumn("decision_token_position", position)
     return (
         placed.withColumn("response", strip("text"))
@@ -59,15 +64,21 @@ def process_generations(
             "choice_probability",
             choice_probabilities("logprobs", "decision_token_position", choices, texts),
         )
-        .drop("text", "token_ids", "logprobs")
+        .drop("text", "token_ids", "logprobs", "spelled")
     )
 
 
-def join_outputs(
-    requests: DataFrame, outputs: DataFrame, on: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Match outputs to requests by request id."""
-    return requests.join(outputs, list(on), how)
+def join_outputs(requests: DataFrame, outputs: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Match outputs to requests by request id; each request has exactly one output.
+
+    Missing, repeated and surplus outputs stop the job. Only keys are compared, so the
+    payload moves once, in the join.
+    """
+    assert_same_keys(requests, outputs, on)
+    twice = duplicate_keys(requests, list(on)).limit(1).collect()
+    if twice:
+        raise InvalidInput(f"Repeated request {twice[0].asDict()}")
+    return requests.join(outputs, list(on))
 
 
 def identification_results(
@@ -81,11 +92,12 @@ def identification_results(
     """Per-sentence report rows; both inputs are keyed by ``index``."""
     style = "cot" if mode == "cot" else "default"
     requests = identification_requests(corpus, style)
+    matched = join_outputs(requests, generations, ["index"])
     processed = process_generations(
-        generations, mode, IDENTIFICATION_CHOICES, think_end_ids, texts
+        matched, mode, IDENTIFICATION_CHOICES, think_end_ids, texts
     )
     prompt = F.col("prompt")
-    return join_outputs(requests, processed, ["index"]).select(
+    return processed.select(
         "index",
         F.col("src").alias("sentence"),
         F.col("ambiguity").alias("label"),
@@ -106,11 +118,10 @@ def comparison_results(
     """Per-order report rows; generations are keyed by ``pair_index, order``."""
     style = "cot" if mode == "cot" else "default"
     requests = comparison_requests(pairs, style)
-    processed = process_generations(
-        generations, mode, COMPARISON_CHOICES, think_end_ids, texts
-    )
+    matched = join_outputs(requests, generations, ["pair_index", "order"])
+    processed = process_generations(matched, mode, COMPARISON_CHOICES, think_end_ids, texts)
     prompt = F.col("prompt")
-    return join_outputs(requests, processed, ["pair_index", "order"]).select(
+    return processed.select(
         "pair_index", "order",
         F.col("ambiguous").alias("ambiguous_sentence"),
         F.col("unambiguous").alias("unambiguous_sentence"),

@@ -3,35 +3,69 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambilens.operators.checks import InvalidInput
 from ambilens.operators.skew import fits_broadcast, lookup_join
 
 MAX_VOCABULARY = 1_000_000
 
 
-def vocabulary_texts(vocabulary: DataFrame, max_rows: int = MAX_VOCABULARY) -> Column | None:
+def vocabulary_texts(vocabulary: DataFrame, max_rows: int = MAX_VOCABULARY) -> Column:
     """The vocabulary as one literal ``array<string>`` indexed by token id.
 
-    A model's vocabulary does not grow with the data; its size is measured all
-    the same. Beyond the bound, or with ids outside it, the result is None and
-    :func:`decode_tokens` is the way.
+    A model's vocabulary does not grow with the data; its size is measured all the
+    same. Beyond the bound, or with ids outside it, this raises: use
+    :func:`spell_generations`, which joins.
     """
     vocabulary = vocabulary.select("token_id", "token")
-    if not fits_broadcast(vocabulary, max_rows):
-        return None
-    top = vocabulary.agg(F.max("token_id")).first()[0]
-    if top is None or top >= max_rows:
-        return None
-    texts: list[str | None] = [None] * (int(top) + 1)
+    low, top = vocabulary.agg(F.min("token_id"), F.max("token_id")).first()
+    if low is not None and (low < 0 or top >= max_rows) or not fits_broadcast(vocabulary, max_rows):
+        raise InvalidInput(f"The vocabulary is larger than {max_rows} ids from 0; join it instead")
+    texts: list[str | None] = [None] * (0 if top is None else int(top) + 1)
     for row in vocabulary.collect():
-        if row["token_id"] >= 0:
-            texts[row["token_id"]] = row["token"]
+        texts[row["token_id"]] = row["token"]
     return F.from_json(F.lit(json.dumps(texts, ensure_ascii=False)), "array<string>")
 
 
+def spell_generations(
+    generations: DataFrame, vocabulary: DataFrame, key: Sequence[str], max_rows: int = MAX_VOCABULARY
+) -> DataFrame:
+    """Generations with every alternative's ``token`` filled in, and ``spelled``.
+
+    ``spelled`` holds the text of each generated id. For vocabularies of any size: ids
+    are joined, not looked up in a literal. ``key`` identifies a generation; its tokens
+    come together again by it, so a generation has to fit in a row, as it did before.
+    """
+    key = list(key)
+    parts = generations.select(*key, F.posexplode("logprobs").alias("__at", "__entry"))
+    alternatives = parts.select(*key, "__at", F.posexplode("__entry").alias("__k", "__alt"))
+    flat = alternatives.select(*key, "__at", "__k", "__alt", "__alt.token_id", "__alt.token")
+    named = decode_tokens(flat, vocabulary, max_rows)
+    filled = F.col("__alt").withField("token", F.col("token"))
+    entries = named.groupBy(*key, "__at").agg(
+        F.sort_array(F.collect_list(F.struct("__k", filled.alias("alt")))).alias("alts")
+    )
+    entries = entries.groupBy(*key).agg(F.map_from_entries(F.collect_list(
+        F.struct("__at", F.transform("alts", lambda a: a["alt"]))
+    )).alias("__entries"))
+    ids = generations.select(*key, F.posexplode("token_ids").alias("__at", "token_id"))
+    spelled = decode_tokens(ids, vocabulary, max_rows).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("__at", "token"))).alias("__spelled")
+    )
+    joined = generations.join(entries, key, "left").join(spelled, key, "left")
+    # Entries without alternatives, null or empty, stay as they are.
+    restored = F.transform("logprobs", lambda entry, at: F.coalesce(F.try_element_at("__entries", at), entry))
+    return (
+        joined.withColumn("logprobs", F.when(F.col("__entries").isNull(), F.col("logprobs")).otherwise(restored))
+        .withColumn("spelled", F.coalesce(F.transform("__spelled", lambda t: t["token"]), F.array()))
+        .drop("__entries", "__spelled")
+    )
+
+
 def decode_tokens(
     tokens: DataFrame, vocabulary: DataFrame, max_rows: int = MAX_VOCABULARY
 ) -> DataFrame:

@@ -177,16 +177,17 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generated(turns, "text", ["request_id"], F.col("turn").cast("double"))
 
 
-def document_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generation per document, keyed by ``index``."""
+def labelled_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generations of labelled documents: one per corpus row."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("index"))
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "index")
-    return _generated(docs, "text", ["index"], None)
+    return _generated(docs.join(labels, "index", "left_semi"), "text", ["index"], None)
 
 
 def pair_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two generations per benchmark text, keyed by ``pair_index, order``."""
-    items = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("pair_index"), "text",
+    """Two generations per sentence pair, keyed by ``pair_index, order``."""
+    items = sentence_pairs(spark, sf_dir).select(
+        "pair_index", F.col("ambiguous").alias("text"),
         F.explode(F.array(F.lit("original"), F.lit("reversed"))).alias("order"),
     )
     # The reversed order starts one word later, so the two answers differ.

@@ -262,11 +262,15 @@ from ({cleaned("lines")})""",
     "carry_metadata": f"""
 with {CONVERSATIONS} select path, seq, model from carried where not is_meta""",
     "carried_candidates": f"""
-with {CONVERSATIONS}, rows as (
-  select path, seq, seq as source_index, model, 'instruct' as model_type,
-         cast(0 as int) as candidate_index, text
-  from carried where not is_meta and model is not null)
-select * exclude (text) from ({cleaned("rows", "text")})""",
+with {CONVERSATIONS}, sound as (
+  select path from records group by path
+  having min(seq) filter (where is_meta) < coalesce(min(seq) filter (where not is_meta), 1e9)),
+rows as (
+  select path, seq, seq as source_index, cast(null as bigint) as row_number, '' as source_text,
+         cast(null as tinyint) as ambiguity, coalesce(model, '') as model, 'instruct' as model_type,
+         cast(0 as int) as candidate_index, text as raw_text, cast(null as varchar) as finish_reason
+  from carried where not is_meta and path in (select path from sound))
+select * from ({cleaned("rows")})""",
     "record_checks": """
 with files as (
   select cast(conv_id as varchar) as path,
@@ -309,8 +313,8 @@ select case lang when 'fr' then 'x' else '2' end as label, count(*) as n_rows
 from documents where lang in ('fr', 'de') group by 1""",
     "blank_preview": f"""
 with {PROCESSED}
-select candidate_index, source_index from processed
-where model_type = 'instruct' and {BLANK} order by candidate_index limit 20""",
+select candidate_index, model, source_index from processed
+where {BLANK} order by candidate_index, model limit 20""",
     "source_consistency": """
 with rows as (
   select cast(substr(source, 4) as bigint) as source_index,
@@ -515,6 +519,56 @@ select a.pair_index, a."order", ambiguous as ambiguous_sentence,
 from arranged a join massed g on a.pair_index = g.pair_index and a."order" = g."order" """,
 }
 
+ARCHIVED = f"""
+files as (
+  select lang, source || '_' || cast(doc_id // 2000 as varchar) as name from documents group by all)"""
+
+ORACLES |= {
+    "extracted_archives": f"""
+with lines as (
+  select doc_id as source_index, doc_id + 2 as row_number, source as source_text,
+         cast(lang = 'en' as tinyint) as ambiguity, 'org/' || lang as model, 'base' as model_type,
+         unnest(range(len(string_split(text, chr(10))))) as candidate_index,
+         unnest(string_split(text, chr(10))) as raw_text,
+         case when n_chars > 2000 then 'length' end as finish_reason, lang as folder
+  from documents)
+select * exclude (candidate_index), cast(candidate_index as int) as candidate_index
+from ({cleaned("lines")})""",
+    "extraction_reruns": f"""
+with {ARCHIVED}, n as (select count(*) as n from files)
+select 0 as run, 'written' as status, n as n_files from n
+union all select 1, 'skipped', n from n
+union all select 1, 'written', 1 union all select 1, 'failed', 1
+union all select 2, 'written', n + 1 from n union all select 2, 'failed', 1""",
+    "corpus_csv_strict": f"""
+with {CORPUS} select src, cast(ambiguity as tinyint) as ambiguity, 2 as first_row from corpus""",
+    "corpus_csv_lenient": f"""
+with {CORPUS} select src, cast(ambiguity as tinyint) as ambiguity, 2 as first_row from corpus""",
+    "sentence_pair_csv": f"""
+with {SENTENCES} select ambiguous, unambiguous from sentences""",
+    "aggregated_models": f"""
+with {UNIQUE}
+select source_index, source_text, ambiguity, processed_text,
+       (select count(*) from processed) as n_rows,
+       (select count(*) from processed where {BLANK}) as n_empty,
+       (select count(*) from u) as n_unique
+from u""",
+    "scoring_job": f"""
+with {KEYED}, total as (select count(distinct cache_key) as cached from keyed)
+select source_index, source_text, ambiguity, sentence1, sentence2, prediction, {PROBABILITIES},
+       is_equivalent = 1 as is_equivalent, '{inputs.MODEL}' as nli_model,
+       '{inputs.REVISION}' as nli_revision, 0 as scored_again, cached, 1 as from_cache
+from ({scored("select * from keyed", "source_index, source_text, ambiguity,")}) cross join total""",
+    "pair_keys": f"""
+with {SENTENCES}, ordered as (
+  select pair_index, least(ambiguous, unambiguous) as sentence1,
+         greatest(ambiguous, unambiguous) as sentence2
+  from sentences where ambiguous <> unambiguous)
+select *, true as same, {KEY} as cache_key from ordered""",
+    "evaluation_job": f"select *, 'org/m' as model_id from ({ORACLES['identification_results']})",
+    "spelled_results": ORACLES["identification_results"],
+}
+
 for _mode, _position in POSITIONS.items():
     ORACLES[f"decision_position_{_mode}"] = (
         f"with {GENERATIONS} select request_id, cast({_position} as int) as position from gen"

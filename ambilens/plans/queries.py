@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ambilens.functions import names, prompts, scores, text, tokens
 from ambilens.operators import archive, checks, evaluation, pairs, scoring, unique
 from ambilens.operators.ordinals import with_ordinal
+from ambilens.operators.skew import lookup_join
 from ambilens.operators.vocabulary import decode_tokens
 from ambilens.plans import extract, inputs, sampling
+from ambilens.plans.stored import STORED_QUERIES
 from ambilens.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,13 +53,11 @@ def carry_metadata(spark, sf_dir):
 
 
 def carried_candidates(spark, sf_dir):
-    carried = archive.carry_metadata(inputs.conversation_records(spark, sf_dir))
-    rows = archive.flatten_candidates(
-        carried.where(F.col("config").isNotNull()), keep=["path", "seq"]
-    )
-    return rows.select(
-        "path", "seq", "source_index", "model", "model_type", "candidate_index", "processed_text"
-    )
+    """Candidates of the archives whose records are sound."""
+    records = inputs.conversation_records(spark, sf_dir)
+    sound = archive.archive_errors(records).where("reason is null").select("path")
+    whole = lookup_join(records, sound, ["path"], how="inner", spread=["seq"])
+    return archive.flatten_candidates(archive.carry_metadata(whole), keep=["path", "seq"])
 
 
 def record_checks(spark, sf_dir):
@@ -85,10 +85,15 @@ def sampled_candidates(spark, sf_dir):
         "org/Qwen3-8B-Base",
     )
     lines = docs.select("index", F.posexplode(F.split("text", "\n")).alias("candidate_index", "text"))
-    candidates = lines.select(
-        "index", "candidate_index",
-        F.struct("text", F.lit("stop").alias("finish_reason")).alias("candidate"),
+    alternative = F.struct(
+        F.lit(0).alias("token_id"), F.lit("t").alias("token"), F.lit(-0.5).alias("logprob"), F.lit(1).alias("rank")
+    )
+    completions = lines.select(
+        "*", F.lit(-1.0).alias("cumulative_logprob"), F.array(F.lit(0)).alias("token_ids"),
+        F.array(F.array(alternative)).alias("logprobs"), F.lit("stop").alias("finish_reason"),
+        F.lit(None).cast("string").alias("stop_reason"),
     )
+    candidates = sampling.completion_candidates(completions)
     config = {"model": "org/Qwen3-8B-Base", "model_type": "base"}
     records = sampling.sample_records(sampling.samples(requests, candidates), config)
     return archive.flatten_candidates(archive.carry_metadata(records))
@@ -124,9 +129,11 @@ def label_checks(spark, sf_dir):
 
 
 def blank_preview(spark, sf_dir):
-    rows = processed(spark, sf_dir).where(F.col("model") == inputs.MODELS[1][0])
-    bad = checks.preview(rows, text.is_blank("processed_text"), "candidate_index")
-    return bad.select("candidate_index", "source_index")
+    rows = processed(spark, sf_dir)
+    # One position for both models' rows of a document.
+    place = F.struct("candidate_index", "model")
+    bad = checks.preview(rows.withColumn("at", place), text.is_blank("processed_text"), "at")
+    return bad.select("candidate_index", "model", "source_index")
 
 
 # -- unique translations ------------------------------------------------------
@@ -446,7 +453,7 @@ def _report(df: DataFrame, choices) -> DataFrame:
 
 def identification_results(spark, sf_dir):
     found = evaluation.identification_results(
-        inputs.corpus(spark, sf_dir), inputs.document_generations(spark, sf_dir), "cot",
+        inputs.corpus(spark, sf_dir), inputs.labelled_generations(spark, sf_dir), "cot",
         texts=vocabulary(),
     )
     return _report(found, prompts.IDENTIFICATION_CHOICES)
@@ -510,4 +517,5 @@ QUERIES: dict[str, Query] = {
     "decoded_tokens": decoded_tokens,
     "identification_results": identification_results,
     "comparison_results": comparison_results,
+    **STORED_QUERIES,
 }

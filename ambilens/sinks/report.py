@@ -9,8 +9,9 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from ambilens.sinks.tables import ensure_available
+from ambilens.sinks.tables import replacing
 
 
 def write_report(
@@ -18,15 +19,16 @@ def write_report(
 ) -> None:
     """``path/header`` holds one line, ``path/results`` one line per row."""
     spark = results.sparkSession
-    ensure_available(spark, path, overwrite)
-    mode = "overwrite" if overwrite else "errorifexists"
     line = json.dumps(header, ensure_ascii=False)
-    results.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/results")
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode(mode).text(
-        f"{path}/header"
-    )
+    with replacing(spark, path, overwrite) as new:
+        results.write.option("ignoreNullFields", False).json(f"{new}/results")
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{new}/header")
 
 
-def read_report(spark: SparkSession, path: str) -> tuple[dict[str, Any], DataFrame]:
+def read_report(
+    spark: SparkSession, path: str, schema: StructType | str | None = None
+) -> tuple[dict[str, Any], DataFrame]:
+    """Header and result rows; pass their ``schema`` so that maps stay maps."""
     header = json.loads(spark.read.text(f"{path}/header").first()[0])
-    return header, spark.read.json(f"{path}/results")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return header, reader.json(f"{path}/results")

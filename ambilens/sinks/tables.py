@@ -1,10 +1,17 @@
 """Parquet outputs with declared schemas.
 
-Spark's commit protocol makes each write all-or-nothing.
+A new table is all-or-nothing by Spark's commit protocol. A table that is replaced is
+written beside the old one first and takes its place by renames, so a job that fails
+leaves the old rows. Between the two renames the path is briefly missing; on a store
+without cheap renames, write to a new path instead.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +61,44 @@ def ensure_available(spark: SparkSession, path: str, overwrite: bool = False) ->
         raise FileExistsError(f"Refusing to replace {', '.join(found)}")
 
 
+@contextmanager
+def replacing(spark: SparkSession, path: str, overwrite: bool) -> Iterator[str]:
+    """A place to write what becomes ``path`` when the block ends without an error."""
+    ensure_available(spark, path, overwrite)
+    path = path.rstrip("/")
+    name = uuid.uuid4().hex
+    parent, _, base = path.rpartition("/")
+    beside = f"{parent}/_{base}-{{}}-{name}" if parent else f"_{base}-{{}}-{name}"
+    new, old = beside.format("new"), beside.format("old")
+    try:
+        yield new
+    except BaseException:
+        delete(spark, new)
+        raise
+    had = exists(spark, path)
+    if had:
+        rename(spark, path, old)
+    rename(spark, new, path)
+    if had:
+        delete(spark, old)
+    if exists(spark, state_path(path)):
+        delete(spark, state_path(path))
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    jvm = spark.sparkContext._jvm
+    one, two = (jvm.org.apache.hadoop.fs.Path(path) for path in (source, target))
+    if not one.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(one, two):
+        raise OSError(f"Could not rename {source} to {target}")
+
+
 def write_table(
     df: DataFrame, path: str, schema: str | None = None, overwrite: bool = False
 ) -> None:
     """One table at ``path``; an existing one is refused or replaced."""
-    ensure_available(df.sparkSession, path, overwrite)
     table = to_schema(df, schema) if schema else df
-    mode = "overwrite" if overwrite else "errorifexists"
-    table.write.mode(mode).option("compression", COMPRESSION).parquet(path)
-    if overwrite and exists(df.sparkSession, state_path(path)):
-        delete(df.sparkSession, state_path(path))
+    with replacing(df.sparkSession, path, overwrite) as new:
+        table.write.mode("errorifexists").option("compression", COMPRESSION).parquet(new)
 
 
 def write_unique(df: DataFrame, path: str) -> None:

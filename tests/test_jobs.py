@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ambilens.operators import evaluation, scoring
 from ambilens.operators.checks import InvalidInput
-from ambilens.plans import translation
+from ambilens.plans import evaluate, translation
 from ambilens.sinks import report, tables
 from ambilens.sinks.cache import PairCache, Run
 from ambilens.sources.tables import read_model_tables, read_table
@@ -197,6 +197,50 @@ def test_outputs_are_not_overwritten_by_accident(spark, tmp_path):
     assert spark.read.schema("id int").parquet(str(tmp_path / "empty")).count() == 0
 
 
+def test_failed_overwrite_keeps_the_old_rows(spark, tmp_path):
+    path, other = str(tmp_path / "t"), str(tmp_path / "r")
+    tables.write_table(spark.range(3), path, "id int")
+    stop = spark.range(5).withColumn("id", F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        tables.write_table(stop, path, "id int", overwrite=True)
+    report.write_report(spark.range(2), {"model_id": "old"}, other)
+    with pytest.raises(Exception, match="no"):
+        report.write_report(stop, {"model_id": "new"}, other, overwrite=True)
+    assert spark.read.parquet(path).count() == 3
+    header, lines = report.read_report(spark, other, "id long")
+    assert header == {"model_id": "old"} and lines.count() == 2
+    report.write_report(spark.range(4), {"model_id": "new"}, other, overwrite=True)
+    assert report.read_report(spark, other)[1].count() == 4
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r", "t"]
+
+
+GENERATION = ("index bigint, text string, token_ids array<int>, "
+              "logprobs array<array<struct<token_id int, token string, logprob double, rank int>>>")
+
+
+def test_evaluation_job_needs_one_generation_each(spark, tmp_path):
+    corpus = spark.createDataFrame([(0, "句一", 1), (1, "句二", 0)], "index bigint, src string, ambiguity int")
+    entry = [[(0, "是", -0.1, 1), (1, "否", -2.0, 2)]]
+
+    def run(*indexes, overwrite=False):
+        made = spark.createDataFrame([(i, "是", [0], entry) for i in indexes], GENERATION)
+        return evaluate.evaluate(evaluate.IDENTIFICATION, corpus, made, str(tmp_path / "r"), "org/m", "D",
+                                 sampling_config={"n": 1}, overwrite=overwrite).first()
+
+    for bad in ((0,), (0, 1, 1), (0, 1, 2), (0, 0, 1)):
+        with pytest.raises(InvalidInput):
+            run(*bad)
+    assert not tables.exists(spark, str(tmp_path / "r"))
+    assert tuple(run(0, 1)) == (2, 2, 1)
+    header, _ = report.read_report(spark, str(tmp_path / "r"))
+    assert header["model_id"] == "org/m" and header["dataset"] == "D" and header["prompt_style"] == "default"
+    assert header["sampling_config"] == {"n": 1} and not header["thinking"] and "{" in header["prompt_template"]
+    both = evaluate.report_header(evaluate.COMPARISON, "m", "D", "cot")
+    assert both["evaluate_both_orders"] is True and both["prompt_style"] == "cot"
+    with pytest.raises(ValueError):
+        evaluate.evaluate("other", corpus, corpus, "x", "m", "D")
+
+
 def test_evaluation_reports(spark, tmp_path, rows):
     corpus = spark.createDataFrame([(0, "句一", 1), (1, "句二", 0)], "index bigint, src string, ambiguity int")
     logprobs = [[(0, "是", -0.1, 1), (1, "否", -2.0, 2)]]

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ambilens.functions import tokens
+from ambilens.operators.checks import InvalidInput
 from ambilens.operators.evaluation import process_generations
-from ambilens.operators.vocabulary import decode_tokens, vocabulary_texts
+from ambilens.operators.vocabulary import decode_tokens, spell_generations, vocabulary_texts
 
 VOCABULARY = ["是", "否", " ", "。", "x", " 是", "　", "否 ", "</", "think>"]
 END = (8, 9)
@@ -144,7 +145,12 @@ def test_vocabulary(spark):
     df = spark.createDataFrame([([0, 1, 2, 9],)], "ids array<int>")
     decoded = df.select(tokens.decode_ids("ids", texts_column)).first()[0]
     assert decoded == ["a", "1", "]\"c,", "9"]
-    assert vocabulary_texts(entries, max_rows=1) is None
+    with pytest.raises(InvalidInput):
+        vocabulary_texts(entries, max_rows=1)
+    with pytest.raises(InvalidInput):
+        vocabulary_texts(entries.unionByName(spark.createDataFrame([(-1, "x")], entries.schema)))
+    with pytest.raises(InvalidInput):
+        vocabulary_texts(entries.unionByName(spark.createDataFrame([(10**7, "x")], entries.schema)))
     flat = spark.createDataFrame(
         [(i, i % 4, "given" if i % 7 == 0 else None) for i in range(200)],
         "n int, token_id int, token string")
@@ -152,3 +158,26 @@ def test_vocabulary(spark):
     salted = {r.n: r.token for r in decode_tokens(flat, entries, max_rows=1).collect()}
     names = {0: "a", 1: "1", 2: "]\"c,", 3: "3"}
     assert wide == salted == {i: "given" if i % 7 == 0 else names[i % 4] for i in range(200)}
+
+
+def test_joined_vocabulary_gives_the_same(spark):
+    """Random generations, with entries null, empty and without recorded texts."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(120):
+        ids = [rng.randrange(len(VOCABULARY) + 2) for _ in range(rng.randrange(9))]
+        entries = []
+        for i in ids:
+            kind = rng.randrange(6)
+            alts = [(j, rng.choice([None, None, "是"]), -0.1 * j, j) for j in {i, rng.randrange(12)}]
+            entries.append(None if kind == 0 else [] if kind == 1 else alts)
+        rows.append((n, "", ids, entries if n % 10 else None))
+    made = spark.createDataFrame(rows, SCHEMA)
+    entries = spark.createDataFrame(list(enumerate(VOCABULARY)), "token_id int, token string")
+    texts = vocabulary_texts(entries)
+    spelled = spell_generations(made, entries, ["id"], max_rows=1)
+    for mode in tokens.MODES:
+        fields = ["id", "decision_token_position", F.to_json("choice_probability").alias("p")]
+        one = process_generations(made, mode, CHOICES, END, texts).select(*fields)
+        two = process_generations(spelled, mode, CHOICES, END).select(*fields)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
