@@ -54,15 +54,12 @@ def group_ordinal(
 ) -> DataFrame:
     """Number rows by ``key`` within ``group``; hot groups spread over tasks.
 
-    (group, key) must be unique and not null. The rank is the global position
-    minus the first position of the group, so no group has to fit in one task.
+    (group, key) must be unique and not null. Rows are sorted once, with all their
+    columns, and checkpointed; the rank is the global position minus the first position
+    of the group, so no group has to fit in one task and nothing is joined back.
     """
     scratch_root(df.sparkSession)
-    order = [group, *key]
-    placed = _position(df.select(*order).orderBy(*order), "__at")
+    placed = _position(df.orderBy(group, *key), "__at")
     starts = placed.groupBy(group).agg(F.min("__at").alias("__start"))
     located = lookup_join(placed, starts, [group], how="inner", spread=["__at"])
-    numbered = located.select(*order, (F.col("__at") - F.col("__start")).alias(name))
-    if set(df.columns) == set(order):
-        return numbered
-    return df.join(numbered, order)
+    return located.withColumn(name, F.col("__at") - F.col("__start")).select(*df.columns, name)

@@ -202,23 +202,22 @@ def pairs_per_source(spark, sf_dir):
     return pair_table(spark, sf_dir).groupBy("source_index").agg(F.count("*").alias("n_pairs"))
 
 
-def paired(
-    spark: SparkSession, sf_dir: str, repeats: bool = False, ended: bool = False
-) -> tuple[DataFrame, list[int]]:
-    """Keyed pairs, and the texts that occur in very many sources.
-
-    ``ended`` keeps the candidates that ended by themselves, as an earlier run saw.
-    """
+def unique_stored(spark: SparkSession, sf_dir: str, ended: bool = False) -> DataFrame:
+    """The unique table, stored. ``ended`` keeps the candidates that ended by
+    themselves, as an earlier run saw."""
     rows = processed(spark, sf_dir)
     if ended:
         rows = rows.where(F.col("finish_reason") == "stop")
-    stored = stage(unique.unique_translations(rows, orphans=False), "unique")
-    keyed = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
-    return keyed, scoring.shared_texts(stored)
+    return stage(unique.unique_translations(rows, orphans=False), "unique")
+
+
+def paired(stored: DataFrame, repeats: bool = False) -> DataFrame:
+    """Keyed pairs of a stored unique table."""
+    return scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
 
 
 def cache_keys(spark, sf_dir):
-    wanted, _ = paired(spark, sf_dir)
+    wanted = paired(unique_stored(spark, sf_dir))
     return wanted.select("source_index", "sentence1", "sentence2", "cache_key")
 
 
@@ -231,18 +230,18 @@ def scored(df: DataFrame) -> DataFrame:
 
 def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of an earlier run."""
-    wanted, shared = paired(spark, sf_dir, ended=True)
+    stored = unique_stored(spark, sf_dir, ended=True)
     nothing = spark.createDataFrame([], "cache_key string")
-    return stage(scored(scoring.missing_pairs(wanted, nothing, shared)), "cache")
+    return stage(scored(scoring.missing_pairs(paired(stored), nothing, stored)), "cache")
 
 
 def cache_misses(spark, sf_dir):
-    wanted, shared = paired(spark, sf_dir)
-    return scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), shared)
+    stored = unique_stored(spark, sf_dir)
+    return scoring.missing_pairs(paired(stored), earlier_cache(spark, sf_dir), stored)
 
 
 def cache_hits(spark, sf_dir):
-    wanted, _ = paired(spark, sf_dir)
+    wanted = paired(unique_stored(spark, sf_dir))
     hits = scoring.cached_hits(wanted, earlier_cache(spark, sf_dir))
     return _micros(hits.drop("nli_model", "nli_revision"))
 
@@ -250,7 +249,7 @@ def cache_hits(spark, sf_dir):
 def cache_upsert(spark, sf_dir):
     """Earlier entries and a run over all pairs, the first writer kept."""
     old = earlier_cache(spark, sf_dir).withColumn("run_seq", F.lit(0))
-    wanted, _ = paired(spark, sf_dir)
+    wanted = paired(unique_stored(spark, sf_dir))
     entries = old.unionByName(scored(wanted).withColumn("run_seq", F.lit(1)))
     kept = scoring.first_writer(entries, ["run_seq"])
     return kept.select("cache_key", "sentence1", "sentence2", "prediction", "run_seq")
@@ -267,7 +266,7 @@ def softmax_scores(spark, sf_dir):
 
 
 def label_scores(spark, sf_dir):
-    wanted, _ = paired(spark, sf_dir)
+    wanted = paired(unique_stored(spark, sf_dir))
     return scored(wanted).select("cache_key", "prediction", "is_equivalent")
 
 
@@ -292,7 +291,8 @@ def probability_checks(spark, sf_dir):
 
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
-    wanted, shared = paired(spark, sf_dir, repeats=True)
+    stored = unique_stored(spark, sf_dir)
+    wanted, shared = paired(stored, repeats=True), scoring.shared_texts(stored)
     classified = scoring.classify_pairs(wanted, earlier_cache(spark, sf_dir), shared)
     classified = stage(classified, "classified", by="state")
     hits = classified.where(F.col("state") == scoring.HIT)
@@ -302,15 +302,17 @@ def scored_pairs(spark, sf_dir):
 
 def attached_predictions(spark, sf_dir):
     """Pairs of the earlier run's texts, joined to its cache."""
-    wanted, shared = paired(spark, sf_dir, ended=True)
+    stored = unique_stored(spark, sf_dir, ended=True)
+    wanted, shared = paired(stored), scoring.shared_texts(stored)
     found = scoring.attach_predictions(wanted, earlier_cache(spark, sf_dir), shared)
     return _micros(found)
 
 
 def scoring_totals(spark, sf_dir):
     """Pairs written, and pairs that had to be scored."""
-    wanted, shared = paired(spark, sf_dir)
-    fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), shared)
+    stored = unique_stored(spark, sf_dir)
+    wanted = paired(stored)
+    fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), stored)
     marks = wanted.select(F.lit(False).alias("fresh")).unionAll(fresh.select(F.lit(True)))
     return marks.agg(
         F.count_if(~F.col("fresh")).alias("total_pairs"),

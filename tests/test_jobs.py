@@ -93,13 +93,40 @@ def test_hot_pairs_are_spread(spark, tmp_path, cache, rows):
     assert len(shared) == 2
     assert scoring.shared_texts(df) == []
     keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
-    missing = scoring.missing_pairs(keyed, cache.keys(), shared)
+    missing = scoring.missing_pairs(keyed, cache.keys(), df)
     assert rows(missing, "sentence1", "sentence2") == [("a", "bb"), ("a", "q")]
     cache.append(scoring.predictions(SCORER(missing), "org/m", "r1"), Run.start())
     spread = scoring.attach_predictions(keyed, cache.read(), shared, salts=4)
     assert rows(spread) == rows(scoring.attach_predictions(keyed, cache.read())) == wanted(data)
 
 
+def test_texts_stay_out_of_the_miss_join(spark, tmp_path):
+    """Exchanges of the pair rows hold keys and ids; texts move in the pair join and at the end."""
+    df = spark.createDataFrame(FIRST, SCHEMA)
+    keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
+    missing = scoring.missing_pairs(keyed, spark.createDataFrame([("k",)], "cache_key string"), df)
+    plan = missing._jdf.queryExecution().optimizedPlan().toString()
+    anti = plan[plan.index("LeftAnti"):].splitlines()[1]
+    assert "sentence" not in anti.split("AS __key")[0].split("[")[0] and "__one" in anti and anti.count(" AS ") <= 3
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    counter = str(tmp_path / "loads")
+
+    def load():
+        with open(counter, "a") as f:
+            f.write("x")
+        return lambda ones, twos: [[1.0, 0.0, 0.0]] * len(ones)
+
+    pairs = spark.range(0, 40, 1, 8).select(F.col("id").cast("string").alias("sentence1"), F.lit("b").alias("sentence2"), F.lit("k").alias("other"))
+    scored = scoring.batch_scorer(load, batch_size=3)(pairs)
+    assert scored.columns == ["sentence1", "sentence2", "other", "probabilities"]
+    for _ in range(3):
+        assert {tuple(r.probabilities) for r in scored.collect()} == {(1.0, 0.0, 0.0)}
+    with open(counter) as f:
+        assert len(f.read()) <= 8  # workers, not 3 * 8 tasks
+
+
 def test_keys_are_the_general_keys(spark, rows):
     df = spark.createDataFrame(texts((1, ['q"', "w\\", "é\n", "是]"])), SCHEMA)
     fast = scoring.keyed_translation_pairs(df, 'm"]', "r]")
