@@ -46,7 +46,8 @@ def op3_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents nearest by BM25 to the whole text of every 50th document."""
-    return wand.search(documents(spark, sf_dir), F.col("doc_id") % 50 == 0)
+    found = wand.search(documents(spark, sf_dir), F.col("doc_id") % 50 == 0)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _joined(spans: Column) -> Column:
@@ -100,4 +101,86 @@ LLM_QUERIES = {
     )
 }
 
-LLM_ORACLES: dict[str, str] = {}
+WORDS = r"string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[ \t\n\x0b\f\r]+')".format(
+    upper="ABCDEFGHIJKLMNOPQRSTUVWXYZ", lower="abcdefghijklmnopqrstuvwxyz"
+)
+
+LLM_ORACLES: dict[str, str] = {
+    "op5_block_max_wand": f"""
+with words as (
+  select doc_id, word, count(*) as tf
+  from (select doc_id, unnest({WORDS}) as word from documents) where word <> '' group by all),
+lengths as (select doc_id, sum(tf) as n from words group by all),
+corpus as (
+  select (select count(*) from documents) as n_docs,
+         (select sum(n) from lengths) / (select count(*) from documents)::double as mean),
+frequency as (select word, count(*) as df from words group by all),
+scored as (
+  select q.doc_id as query_id, d.doc_id,
+         sum(q.tf * ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * d.tf * 2.2::double
+             / (d.tf + 1.2::double * (0.25::double + 0.75::double * n / mean))) as score
+  from words q join words d on q.word = d.word join frequency f on f.word = q.word
+  join lengths l on l.doc_id = d.doc_id cross join corpus
+  where q.doc_id % 50 = 0 and d.doc_id <> q.doc_id
+  group by all),
+ranked as (
+  select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank
+  from scored)
+select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score
+from ranked where rank <= 20""",
+    "op8_pareto_mixing": f"""
+with facts as (
+  select doc_id, source, len(list_filter({WORDS}, lambda w: w <> '')) as size,
+         (('0x' || substr(md5(concat_ws(':', cast(doc_id as varchar), text)), 1, 12))::bigint::double
+          + 0.5::double) / 281474976710656::double as u
+  from documents),
+classed as (select *, case when size > 0 then length(bin(size)) else 0 end + 4 as class from facts),
+sources as (
+  select source, sum(size)::bigint as source_size,
+         case (row_number() over (order by source is null, encode(source)) - 1) % 3
+           when 0 then 5 when 1 then 2 else 1 end as w
+  from facts group by source),
+filled as (
+  select *, 3 * source_size as most,
+         (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3.0 * source_size / w
+           rows between unbounded preceding and 1 preceding), 0))::double
+         / (sum(w) over (order by 3.0 * source_size / w
+           rows between current row and unbounded following))::double as share
+  from sources),
+shared as (select arg_min(share, 3.0 * source_size / w) as share from filled where share * w <= most),
+targets as (
+  select source, source_size, least(most::double, s.share * w) as target from filled cross join shared s),
+classes as (
+  select c.source, class, sum(size)::bigint as size, any_value(target) as target
+  from classed c join targets t on t.source is not distinct from c.source group by 1, 2),
+bounds as (
+  select *, coalesce(sum(size) over (partition by source order by class desc
+              rows between unbounded preceding and 1 preceding), 0)::bigint * 3 as stopped,
+         sum(size * class) over (partition by source order by class desc
+              rows between current row and unbounded following)::bigint as mass
+  from classes),
+rates as (
+  select source, arg_max(c, class) as rate from (
+    select *, case when mass > 0 then (target - stopped::double) / mass::double else 0 end as c from bounds)
+  where c * class <= 3 * (1 + 1e-12::double) group by source),
+expected as (
+  select f.*, t.source_size, t.target, least(coalesce(rate, 3.0::double) * class, 3.0::double) as e
+  from classed f join targets t on t.source is not distinct from f.source
+  left join rates r on r.source is not distinct from f.source),
+ranked as (
+  select *, case when size > 0 then floor(e)::bigint else 0 end as whole,
+         case when size > 0 and e > floor(e)
+           then (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) end as odds
+  from expected),
+placed as (
+  select *, odds / (1 + odds) as q, target - (sum(whole * size) over (partition by source))::double as owed
+  from ranked),
+summed as (
+  select *, (sum(case when q is null then 0 else size end) over (
+      partition by source order by q nulls last, doc_id, u rows unbounded preceding))::double - owed as past
+  from placed)
+select doc_id, size::bigint as size, source_size, target,
+       ((whole + case when q is not null and (past <= 0 or (past < size and past < size - past)) then 1 else 0 end)
+        * size)::bigint as taken
+from summed""",
+}
