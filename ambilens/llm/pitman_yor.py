@@ -248,37 +248,60 @@ class Tables:
         self.size[chosen] += 1
         self._tidy()
 
-    def add_many(self, dish: int, customers: int, opening: float) -> None:
-        """Seat many customers of one dish, in blocks of a quarter of those seated."""
-        lo, hi = self.first[dish], self.last[dish]
-        sizes = self.size[lo:hi]
-        sizes = sizes[sizes > 0].astype(np.int64)
+    def _sizes(self, dish: int) -> np.ndarray:
+        sizes = self.size[self.first[dish] : self.last[dish]]
+        return sizes[sizes > 0]
+
+    def _seated(self, sizes: np.ndarray, customers: int, opening: float) -> np.ndarray:
+        """Tables of one dish after many more customers, in blocks of a quarter of those seated."""
         while customers:
             block = min(customers, max(1, int(sizes.sum()) // 4))
             weight = np.append(sizes - self.discount, opening)
             drawn = self.rng.multinomial(block, weight / weight.sum())
             sizes = np.concatenate([sizes + drawn[:-1], np.ones(drawn[-1], np.int64)])
             customers -= block
-        self._pending.append((dish, sizes))
+        return sizes
+
+    def _left(self, sizes: np.ndarray, customers: int) -> np.ndarray:
+        """Tables of one dish after so many random customers have gone."""
+        gone = self.rng.multivariate_hypergeometric(sizes, customers, method="marginals")
+        sizes = sizes - gone
+        return sizes[sizes > 0]
+
+    def _replace(self, dishes: np.ndarray, tables: list[np.ndarray]) -> None:
+        drop = np.zeros(self.n, bool)
+        drop[dishes] = True
+        keep = ~drop[self.owner]
+        owner = np.concatenate([self.owner[keep], *[np.full(len(t) + 1, d) for d, t in zip(dishes, tables)]])
+        size = np.concatenate([self.size[keep], *[np.append(t, 0) for t in tables]])
+        place = np.argsort(owner, kind="stable")
+        self.owner, self.size = owner[place], size[place]
+        self._index()
 
     def fill(self, customers: np.ndarray, opening: np.ndarray) -> None:
         """Seat all customers: the first ONE_BY_ONE of each dish singly, then in blocks."""
         for k in range(min(int(customers.max(initial=0)), ONE_BY_ONE)):
             dishes = np.flatnonzero(customers > k)
             self.add(dishes, opening[dishes])
-        self._pending: list[tuple[int, np.ndarray]] = []
         large = np.flatnonzero(customers > ONE_BY_ONE)
-        for dish in large:
-            self.add_many(int(dish), int(customers[dish]) - ONE_BY_ONE, float(opening[dish]))
         if len(large):
-            drop = np.zeros(self.n, bool)
-            drop[large] = True
-            keep = ~drop[self.owner]
-            owner = np.concatenate([self.owner[keep], *[np.full(len(s) + 1, d) for d, s in self._pending]])
-            size = np.concatenate([self.size[keep], *[np.append(s, 0) for _, s in self._pending]])
-            place = np.argsort(owner, kind="stable")
-            self.owner, self.size = owner[place], size[place]
-            self._index()
+            self._replace(large, [
+                self._seated(self._sizes(d), int(customers[d]) - ONE_BY_ONE, float(opening[d])) for d in large
+            ])
+
+    def change(self, customers: np.ndarray, opening: float) -> None:
+        """Seat (or, where negative, take away) so many customers of each dish."""
+        many = np.flatnonzero(np.abs(customers) > 2)
+        if len(many):
+            self._replace(many, [
+                self._left(self._sizes(d), -n) if n < 0 else self._seated(self._sizes(d), n, opening)
+                for d, n in zip(many, customers[many].tolist())
+            ])
+        for k in (1, 2):
+            if len(gone := np.flatnonzero((customers <= -k) & (customers >= -2))):
+                self.remove(gone)
+            if len(come := np.flatnonzero((customers >= k) & (customers <= 2))):
+                self.add(come, np.full(len(come), opening))
 
     def _tidy(self) -> None:
         """Drop empty tables but the last of each dish, and give taken ones a new last."""
@@ -368,13 +391,7 @@ class Chain:
             self.t[self.open] = child.tables()
             served = np.bincount(self.dish, self.t, len(self.words)).astype(np.int64)
             change = (served - self.root_c)[several]
-            while (change != 0).any():
-                if len(gone := np.flatnonzero(change < 0)):
-                    parent.remove(gone)
-                    change[gone] += 1
-                if len(come := np.flatnonzero(change > 0)):
-                    parent.add(come, np.full(len(come), opening))
-                    change[come] -= 1
+            parent.change(change, opening)
             self.root_c = served
             seated = np.flatnonzero(self.root_c[several] > 1)
             parent.move(seated, np.full(len(seated), opening))
@@ -495,7 +512,7 @@ def _part(row: dict, totals: Totals) -> pd.DataFrame:
     cuts = np.searchsorted(docs >> 16, np.arange(len(row["chunks"]) + 1))
     return pd.DataFrame([
         (chunk, (docs[a:b] & 0xFFFF).astype(np.uint16).tobytes(), sums[0][a:b].astype(np.uint32).tobytes(),
-         sums[1][a:b].tobytes(), sums[2][a:b].astype(np.float32).tobytes(), None, None, None)
+         sums[1][a:b].astype(np.float32).tobytes(), sums[2][a:b].astype(np.float32).tobytes(), None, None, None)
         for chunk, a, b in zip(row["chunks"], cuts[:-1], cuts[1:]) if b > a
     ], columns=[part.split()[0] for part in _PARTS.split(", ")])
 
@@ -530,7 +547,7 @@ def score_documents(
         sums = np.zeros((3, len(n)))
         for row in group[group["n"].isna()].itertuples():
             at = np.frombuffer(row.docs, np.uint16)
-            for k, (blob, kind) in enumerate(((row.known, np.uint32), (row.base, np.float64), (row.score, np.float32))):
+            for k, (blob, kind) in enumerate(((row.known, np.uint32), (row.base, np.float32), (row.score, np.float32))):
                 sums[k][at] += np.frombuffer(blob, kind)
         return pd.DataFrame({
             "doc_id": pd.array(list(info["ids"]), "Int64"), "held_out": np.arange(len(n)) >= info["train"], "n_tokens": n,
