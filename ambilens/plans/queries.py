@@ -211,9 +211,9 @@ def unique_stored(spark: SparkSession, sf_dir: str, ended: bool = False) -> Data
     return stage(unique.unique_translations(rows, orphans=False), "unique")
 
 
-def paired(stored: DataFrame, repeats: bool = False) -> DataFrame:
+def paired(stored: DataFrame) -> DataFrame:
     """Keyed pairs of a stored unique table."""
-    return scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, repeats)
+    return scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION)
 
 
 def cache_keys(spark, sf_dir):
@@ -232,12 +232,13 @@ def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of an earlier run."""
     stored = unique_stored(spark, sf_dir, ended=True)
     nothing = spark.createDataFrame([], "cache_key string")
-    return stage(scored(scoring.missing_pairs(paired(stored), nothing, stored)), "cache")
+    return stage(scored(scoring.missing_pairs(scoring.narrow_pairs(paired(stored)), nothing, stored)), "cache")
 
 
 def cache_misses(spark, sf_dir):
     stored = unique_stored(spark, sf_dir)
-    return scoring.missing_pairs(paired(stored), earlier_cache(spark, sf_dir), stored)
+    narrow = scoring.narrow_pairs(paired(stored))
+    return scoring.missing_pairs(narrow, earlier_cache(spark, sf_dir), stored)
 
 
 def cache_hits(spark, sf_dir):
@@ -291,27 +292,23 @@ def probability_checks(spark, sf_dir):
 
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
-    stored = unique_stored(spark, sf_dir)
-    wanted, shared = paired(stored, repeats=True), scoring.shared_texts(stored)
-    classified = scoring.classify_pairs(wanted, earlier_cache(spark, sf_dir), shared)
-    classified = stage(classified, "classified", by="state")
-    hits = classified.where(F.col("state") == scoring.HIT)
-    fresh = scoring.score_misses(classified, SCORER, inputs.MODEL, inputs.REVISION, shared)
-    return _micros(scoring.scored_rows(hits.unionByName(fresh)))
+    stored, known = unique_stored(spark, sf_dir), earlier_cache(spark, sf_dir)
+    narrow = stage(scoring.narrow_pairs(paired(stored)), "pairs")
+    fresh = stage(scored(scoring.missing_pairs(narrow, known, stored)), "fresh")
+    return _micros(scoring.attach_predictions(narrow, known.unionByName(fresh), stored))
 
 
 def attached_predictions(spark, sf_dir):
     """Pairs of the earlier run's texts, joined to its cache."""
     stored = unique_stored(spark, sf_dir, ended=True)
-    wanted, shared = paired(stored), scoring.shared_texts(stored)
-    found = scoring.attach_predictions(wanted, earlier_cache(spark, sf_dir), shared)
-    return _micros(found)
+    narrow = scoring.narrow_pairs(paired(stored))
+    return _micros(scoring.attach_predictions(narrow, earlier_cache(spark, sf_dir), stored))
 
 
 def scoring_totals(spark, sf_dir):
     """Pairs written, and pairs that had to be scored."""
     stored = unique_stored(spark, sf_dir)
-    wanted = paired(stored)
+    wanted = stage(scoring.narrow_pairs(paired(stored)), "pairs")
     fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), stored)
     marks = wanted.select(F.lit(False).alias("fresh")).unionAll(fresh.select(F.lit(True)))
     return marks.agg(

@@ -69,12 +69,12 @@ def cache(spark, tmp_path):
     return PairCache(spark, str(tmp_path / "cache"), "org/m", "r1")
 
 
-@pytest.mark.parametrize("waves, block, shared", [(1, 512, 100_000), (3, 2, 100_000), (1, 1, 1)])
-def test_scoring_is_incremental(spark, tmp_path, cache, rows, waves, block, shared):
+@pytest.mark.parametrize("waves, block", [(None, 512), (3, 2)])
+def test_scoring_is_incremental(spark, tmp_path, cache, rows, waves, block):
     def run(data, scorer):
         totals = translation.score_pairs(
             spark.createDataFrame(data, SCHEMA), cache, scorer, str(tmp_path / "scored"),
-            waves=waves, block=block, shared_sources=shared)
+            waves=waves, block=block)
         assert rows(spark.read.parquet(str(tmp_path / "scored"))) == wanted(data)
         return totals.total_pairs, totals.scored_pairs
 
@@ -86,28 +86,56 @@ def test_scoring_is_incremental(spark, tmp_path, cache, rows, waves, block, shar
     assert cache.entries().count() == len(keys(SECOND)) == cache.read().count()
 
 
-def test_hot_pairs_are_spread(spark, tmp_path, cache, rows):
+def test_repeated_pairs_are_scored_once(spark, tmp_path, cache, rows):
     data = texts(*[(s, ["a", "bb"]) for s in range(40)], (99, ["a", "q"]))
     df = spark.createDataFrame(data, SCHEMA)
-    shared = scoring.shared_texts(df, 10)
-    assert len(shared) == 2
-    assert scoring.shared_texts(df) == []
-    keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
-    missing = scoring.missing_pairs(keyed, cache.keys(), df)
+    narrow = scoring.narrow_pairs(scoring.keyed_translation_pairs(df, "org/m", "r1"))
+    missing = scoring.missing_pairs(narrow, cache.keys(), df)
     assert rows(missing, "sentence1", "sentence2") == [("a", "bb"), ("a", "q")]
     cache.append(scoring.predictions(SCORER(missing), "org/m", "r1"), Run.start())
-    spread = scoring.attach_predictions(keyed, cache.read(), shared, salts=4)
-    assert rows(spread) == rows(scoring.attach_predictions(keyed, cache.read())) == wanted(data)
+    assert rows(scoring.attach_predictions(narrow, cache.read(), df)) == wanted(data)
+    assert rows(missing, "cache_key") == rows(cache.keys())
+
+
+def test_a_failed_wave_keeps_the_waves_before(spark, tmp_path, cache, rows):
+    df = spark.createDataFrame(texts((1, [f"text {i}" for i in range(9)])), SCHEMA)
+    calls = []
+
+    def fails_third(pairs):
+        calls.append(pairs.count())
+        if len(calls) == 3:
+            raise RuntimeError("third wave")
+        return SCORER(pairs)
+
+    with pytest.raises(RuntimeError, match="third wave"):
+        translation.score_pairs(df, cache, fails_third, str(tmp_path / "s"), waves=4)
+    assert cache.entries().count() == sum(calls[:2]) > 0 and sum(calls) < 36
+    totals = translation.score_pairs(df, cache, SCORER, str(tmp_path / "s"), waves=4)
+    assert (totals.total_pairs, totals.scored_pairs) == (36, 36 - sum(calls[:2]))
+    before = rows(cache.read())
+    cache.append(cache.read(), Run.start())
+    assert cache.entries().count() == 72
+    cache.compact()
+    assert rows(cache.read()) == before and cache.entries().count() == 36
+
+
+def test_a_wave_reads_its_buckets(spark, cache):
+    df = spark.createDataFrame(texts((1, [f"text {i}" for i in range(30)])), SCHEMA)
+    narrow = scoring.narrow_pairs(scoring.keyed_translation_pairs(df, "org/m", "r1"))
+    cache.append(scoring.predictions(SCORER(scoring.missing_pairs(narrow, cache.keys(), df)), "org/m", "r1"), Run.start())
+    some = cache.keys(range(10, 20))
+    assert all(10 <= int(r.cache_key[:2], 16) // 4 < 20 for r in some.collect())
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_texts_stay_out_of_the_miss_join(spark, tmp_path):
     """Exchanges of the pair rows hold keys and ids; texts move in the pair join and at the end."""
     df = spark.createDataFrame(FIRST, SCHEMA)
     keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
-    missing = scoring.missing_pairs(keyed, spark.createDataFrame([("k",)], "cache_key string"), df)
-    plan = missing._jdf.queryExecution().optimizedPlan().toString()
-    anti = plan[plan.index("LeftAnti"):].splitlines()[1]
-    assert "sentence" not in anti.split("AS __key")[0].split("[")[0] and "__one" in anti and anti.count(" AS ") <= 3
+    missing = scoring.missing_pairs(scoring.narrow_pairs(keyed), spark.createDataFrame([("k",)], "cache_key string"), df)
+    shuffled = [line for line in missing._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(key" in line]
+    assert shuffled and "sentence" not in str(shuffled)
 
 
 def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
@@ -144,8 +172,8 @@ def test_failed_scoring_leaves_no_output(spark, tmp_path, cache):
             translation.score_pairs(df, cache, scorer, str(tmp_path / "scored"))
     assert not tables.exists(spark, str(tmp_path / "scored")) and cache.is_empty()
     with pytest.raises(Exception, match="no cached prediction"):
-        keyed = scoring.keyed_translation_pairs(df, "org/m", "r1")
-        scoring.attach_predictions(keyed, cache.read()).collect()
+        narrow = scoring.narrow_pairs(scoring.keyed_translation_pairs(df, "org/m", "r1"))
+        scoring.attach_predictions(narrow, cache.read(), df).collect()
 
 
 def test_another_writer_came_first(spark, tmp_path, cache):
