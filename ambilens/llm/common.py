@@ -38,16 +38,20 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS)
         yield batch.slice(begin)
 
 
-def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def rank_within(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, buckets: Column | None = None
+) -> DataFrame:
     """Number the rows of each group from 0, without a task that sees a whole group.
 
     Rows of a group spread over hash buckets of the order columns. The counts of the
     buckets (at most ``RANK_BUCKETS`` rows a group) give each bucket its first number;
     within a bucket, rows are numbered by the order columns. Equal rows get different
-    numbers. ``df`` is read twice, so it should be a stored table.
+    numbers. ``df`` is read twice, so it should be a stored table. ``buckets`` is the
+    number for the row's group where it is known to need fewer.
     """
     hashed = F.xxhash64(*[F.col(c) for c in order])
-    dealt = df.withColumn("__bucket", F.pmod(hashed, F.lit(RANK_BUCKETS)).cast("int"))
+    count = F.lit(RANK_BUCKETS) if buckets is None else F.least(buckets, F.lit(RANK_BUCKETS))
+    dealt = df.withColumn("__bucket", F.pmod(hashed, count).cast("int"))
     keys = [*group, "__bucket"]
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (

@@ -23,6 +23,8 @@ from ambilens.session import stage
 
 SEQUENCE = 2048
 END_ID = 1
+#: Pieces of one length that are put in order together, while that takes few buckets.
+RANKED_ROWS = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 Pattern = tuple[int, ...]
@@ -147,7 +149,13 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     table = pieces.sparkSession.createDataFrame(
         places, "length long, places array<struct<lo: long, hi: long, sequence: long, at: long>>"
     )
-    ranked = rank_within(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "__rank")
+    sizes = pieces.sparkSession.createDataFrame(
+        [(row.length, 1 + row.n // RANKED_ROWS) for row in counted], "length long, __buckets long"
+    )
+    ranked = rank_within(
+        pieces.join(F.broadcast(sizes), "length"), ["length"], ["doc_id", "start", "ids_crc32"], "__rank",
+        F.col("__buckets"),
+    )
     # One row for each length: at most ``size`` rows.
     placed = ranked.join(F.broadcast(table), "length").withColumn(
         "__place", F.filter("places", lambda p: (p.lo <= F.col("__rank")) & (F.col("__rank") < p.hi))[0]
