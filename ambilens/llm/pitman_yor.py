@@ -38,7 +38,9 @@ CHUNK_DOCS, CHUNK_TOKENS = 1 << 16, 4_000_000
 SPLIT_SHARE = 0.25
 SAMPLE_DOCS = 64
 ROUNDS, BURN_IN, SAMPLES = 2, 8, 8
-ONE_BY_ONE = 32
+FEW, ONE_BY_ONE = 4, 32
+#: Moves of each dish in the rounds that only pass totals on.
+ROUND_MOVES = 3
 CHILD_STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 
 _PIECES = (
@@ -129,16 +131,17 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
     lists = list(numbered((texts[int(i)].as_py() for i in order), known))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
     ends = np.cumsum(sizes)
-    word = np.zeros(ends[-1], np.int64)
+    word = np.zeros(ends[-1], np.int32)
     inner = np.ones(len(word), bool)
     inner[ends - 1] = False
     word[inner] = np.concatenate(lists)
     del lists
-    before = np.concatenate([[0], word[:-1]])  # a text begins after an end
+    before = np.concatenate([np.zeros(1, np.int32), word[:-1]])  # a text begins after an end
     word_hash = hashes(known)
     context = _context_of(word_hash)[before]
     doc = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
     shard = layout.shard_of(word_hash, context, word)
+    del before
     place = np.argsort(shard.astype(np.int64) << 32 | word, kind="stable")
     shard, word, context, doc = shard[place], word[place], context[place], doc[place]
     first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (word[1:] != word[:-1])]))
@@ -279,15 +282,36 @@ class Tables:
         self._index()
 
     def fill(self, customers: np.ndarray, opening: np.ndarray) -> None:
-        """Seat all customers: the first ONE_BY_ONE of each dish singly, then in blocks."""
-        for k in range(min(int(customers.max(initial=0)), ONE_BY_ONE)):
-            dishes = np.flatnonzero(customers > k)
-            self.add(dishes, opening[dishes])
-        large = np.flatnonzero(customers > ONE_BY_ONE)
+        """Seat all customers: the first ONE_BY_ONE of each dish singly, then in blocks.
+
+        The few dishes with many customers are filled apart, so that their rounds don't
+        pass over the tables of all others.
+        """
+        many = np.flatnonzero(customers > FEW)
+        for k in range(FEW):
+            dishes = np.flatnonzero((customers > k) & (customers <= FEW))
+            if len(dishes):
+                self.add(dishes, opening[dishes])
+        if not len(many):
+            return
+        own, open_ = customers[many], opening[many]
+        apart = Tables(len(many), self.discount, self.rng)
+        for k in range(min(int(own.max()), ONE_BY_ONE)):
+            dishes = np.flatnonzero(own > k)
+            apart.add(dishes, open_[dishes])
+        large = np.flatnonzero(own > ONE_BY_ONE)
         if len(large):
-            self._replace(large, [
-                self._seated(self._sizes(d), int(customers[d]) - ONE_BY_ONE, float(opening[d])) for d in large
+            apart._replace(large, [
+                apart._seated(apart._sizes(d), int(own[d]) - ONE_BY_ONE, float(open_[d])) for d in large
             ])
+        drop = np.zeros(self.n, bool)
+        drop[many] = True
+        keep = ~drop[self.owner]
+        owner = np.concatenate([self.owner[keep], many[apart.owner]])
+        size = np.concatenate([self.size[keep], apart.size])
+        place = np.argsort(owner, kind="stable")
+        self.owner, self.size = owner[place], size[place]
+        self._index()
 
     def change(self, customers: np.ndarray, opening: float) -> None:
         """Seat (or, where negative, take away) so many customers of each dish."""
@@ -424,7 +448,7 @@ def _sums(state: DataFrame, totals: Totals | None, splits: frozenset[int]) -> di
                     continue
                 chain = Chain(row, totals or _nothing())
                 if totals:
-                    for _ in chain.run(BURN_IN, 1):
+                    for _ in chain.run(ROUND_MOVES, 1):
                         pass
                 used = chain.count > 0
                 customers = np.bincount(chain.context, chain.count, CONTEXTS).astype(np.int64)

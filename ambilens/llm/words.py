@@ -24,7 +24,7 @@ def numbered(texts: Iterable[str | None], known: defaultdict) -> Iterator[np.nda
     """Word numbers of each text; a null text has none."""
     for text in texts:
         found = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
-        yield np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        yield np.fromiter(map(known.__getitem__, found), np.int32, len(found))
 
 
 def hashes(known: defaultdict) -> np.ndarray:
