@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
