@@ -61,7 +61,7 @@ def test_search_over_many_small_shards_and_blocks(spark, monkeypatch):
     share = 1 / np.arange(1, 81) / sum(1 / np.arange(1, 81))
     rows = [(int(i), " ".join(rng.choice(words, rng.integers(1, 40), p=share))) for i in range(400)]
     rows += [(1000 + i, rows[i % 5][1]) for i in range(60)]  # copies
-    for name, value in (("QUERY_BLOCK", 9), ("WORDS_PER_TASK", 50)):
+    for name, value in (("QUERY_BYTES", 2000), ("WORDS_PER_TASK", 50)):
         monkeypatch.setattr(wand, name, value)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     found = as_lists(wand.search(docs, F.col("doc_id") % 9 == 0, k=10), "doc_id")
