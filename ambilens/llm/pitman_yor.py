@@ -1,14 +1,15 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
 Each word has a restaurant for what follows it; all of these share the root restaurant,
-whose base is uniform over the vocabulary and one unknown word. Following words hash to
-CONTEXTS restaurants, so that totals of all restaurants are vectors of a fixed size.
+whose base is uniform over the vocabulary and one unknown word. There are as many
+restaurants as words. Their totals are summed by word in a stored table, and each shard
+joins those of the restaurants that it has customers or texts to score in.
 
 The corpus is read once. Tasks cut it into chunks and send each token, as (word,
 context, document), to the shard of its word. A shard holds every (context, word) pair
 of its words and with it the tables where that word is served, in the contexts and in
 the root. Words with many tokens are split over shards by context. A shard seats its
-customers and resamples them by Gibbs moves, given the totals of all restaurants; rounds
+customers and resamples them by Gibbs moves, given the totals of its restaurants; rounds
 pass new totals on. Predictive probabilities are averaged over samples, and sums per
 document, not per token, go back to the chunk.
 """
@@ -16,7 +17,7 @@ document, not per token, go back to the chunk.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from ambilens.llm.words import dictionary, hashes, mixed, numbered
 from ambilens.session import stage
 
-CONTEXTS = 1 << 16
 TOKENS_PER_SHARD = 2_000_000
+#: Totals that one task sums, as (shard, restaurant) pairs.
+PAIRS_PER_HOME = 1_000_000
 #: Documents and tokens of a chunk; document numbers in a chunk are 16 bits.
 CHUNK_DOCS, CHUNK_TOKENS = 1 << 16, 4_000_000
 #: A word is split when it may hold more than this share of a shard. Shares come from a
@@ -44,17 +46,22 @@ ROUND_MOVES = 3
 CHILD_STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 
 _PIECES = (
-    "shard int, chunk long, train int, words binary, counts binary, contexts binary, docs binary, "
+    "shard int, chunk long, train int, words binary, counts binary, restaurants binary, contexts binary, docs binary, "
     "ids array<long>, tokens binary"
 )
 _STATE = (
-    "shard int, words binary, types binary, contexts binary, counts binary, tokens binary, "
+    "shard int, words binary, types binary, restaurants binary, contexts binary, counts binary, tokens binary, "
     "token_chunks binary, token_docs binary, chunks array<long>, chunk long, train int, ids array<long>, n binary"
 )
 
 
-def _context_of(words: np.ndarray) -> np.ndarray:
-    return (mixed(words) >> np.uint64(48)).astype(np.uint16)
+def _places(places: np.ndarray, restaurants: int) -> bytes:
+    """Places in a list of restaurants, in two bytes each where they fit."""
+    return places.astype(np.uint16 if restaurants <= 1 << 16 else np.uint32).tobytes()
+
+
+def _read_places(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint16)
 
 
 @dataclass
@@ -70,7 +77,8 @@ class Layout:
         if self.splits:
             parts = np.array([self.splits.get(int(w), 1) for w in words])
             many = np.flatnonzero(parts[which] > 1)
-            part = (contexts[many].astype(np.uint64) * parts[which[many]].astype(np.uint64)) >> np.uint64(16)
+            part = mixed(contexts[many].astype(np.uint64)) >> np.uint64(32)
+            part = (part * parts[which[many]].astype(np.uint64)) >> np.uint64(32)
             home[many] = mixed(words[which[many]] + mixed(part)) % np.uint64(self.shards)
         return home
 
@@ -101,7 +109,7 @@ def plan_layout(docs: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) -> La
     limit = SPLIT_SHARE / shards
     # Shares of more than ``limit``: at most shards / SPLIT_SHARE words.
     often = counted.where(F.col("n") > total * limit).collect() if total else []
-    return Layout(shards, {row.word % (1 << 64): min(CONTEXTS, 1 + int(row.n / total / limit)) for row in often})
+    return Layout(shards, {row.word % (1 << 64): 1 + int(row.n / total / limit) for row in often})
 
 
 def deal(docs: DataFrame, held_out: Column, layout: Layout) -> DataFrame:
@@ -138,25 +146,24 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
     del lists
     before = np.concatenate([np.zeros(1, np.int32), word[:-1]])  # a text begins after an end
     word_hash = hashes(known)
-    context = _context_of(word_hash)[before]
     doc = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
-    shard = layout.shard_of(word_hash, context, word)
-    del before
+    shard = layout.shard_of(word_hash, word_hash[before], word)
     place = np.argsort(shard.astype(np.int64) << 32 | word, kind="stable")
-    shard, word, context, doc = shard[place], word[place], context[place], doc[place]
+    shard, word, before, doc = shard[place], word[place], before[place], doc[place]
     first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (word[1:] != word[:-1])]))
     runs = np.diff(np.append(first, len(word))).astype(np.uint32)
     cuts = np.flatnonzero(np.concatenate([[True], shard[first][1:] != shard[first][:-1]]))
     rows = []
     for a, b in zip(cuts, np.append(cuts[1:], len(first))):
         lo, hi = first[a], first[b] if b < len(first) else len(word)
+        own, context = np.unique(before[lo:hi], return_inverse=True)
         rows.append((
             int(shard[lo]), chunk, train, word_hash[word[first[a:b]]].tobytes(), runs[a:b].tobytes(),
-            context[lo:hi].tobytes(), doc[lo:hi].tobytes(), None, None,
+            word_hash[own].tobytes(), _places(context, len(own)), doc[lo:hi].tobytes(), None, None,
         ))
     ids = batch.column("doc_id").take(pa.array(order)).to_pylist()
-    rows.append((chunk % layout.shards, chunk, train, None, None, None, None, ids, sizes.astype(np.uint32).tobytes()))
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.binary()]
+    rows.append((chunk % layout.shards, chunk, train, None, None, None, None, None, ids, sizes.astype(np.uint32).tobytes()))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.binary()]
     names = [part.split()[0] for part in _PIECES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -169,7 +176,7 @@ def gather(dealt: DataFrame, shards: int) -> DataFrame:
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = [
-            (key[0], *[None] * 8, r.chunk, r.train, r.ids, r.tokens)
+            (key[0], *[None] * 9, r.chunk, r.train, r.ids, r.tokens)
             for r in group[group["words"].isna()].itertuples()
         ]
         group = group[group["words"].notna()].sort_values("chunk", kind="stable")
@@ -186,9 +193,14 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
     words = [np.frombuffer(b, np.uint64) for b in group["words"]]
     all_words, dish = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])
-    key = np.repeat(dish, counts) << 16 | np.concatenate([np.frombuffer(b, np.uint16) for b in group["contexts"]])
     docs = np.concatenate([np.frombuffer(b, np.uint16) for b in group["docs"]])
     sizes = [len(b) // 2 for b in group["docs"]]
+    lists = [np.frombuffer(b, np.uint64) for b in group["restaurants"]]
+    restaurants, at = np.unique(np.concatenate(lists), return_inverse=True)
+    ends = np.cumsum([len(r) for r in lists])
+    key = np.repeat(dish, counts) << 32 | np.concatenate([
+        at[end - len(r) : end][_read_places(b, n)] for r, end, b, n in zip(lists, ends, group["contexts"], sizes)
+    ])
     chunk = np.repeat(inverse, sizes).astype(np.uint32)
     train = docs < np.repeat(group["train"].to_numpy(), sizes)
     place = np.argsort(key, kind="stable")
@@ -196,9 +208,10 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     tokens = np.diff(np.append(first, len(key)))
     known = np.add.reduceat(train[place].astype(np.int64), first)
-    types = np.bincount(key[first] >> 16, minlength=len(all_words))
+    types = np.bincount(key[first] >> 32, minlength=len(all_words))
     return (
-        shard, all_words.tobytes(), types.astype(np.uint32).tobytes(), (key[first] & 0xFFFF).astype(np.uint16).tobytes(),
+        shard, all_words.tobytes(), types.astype(np.uint32).tobytes(), restaurants.tobytes(),
+        _places(key[first] & 0xFFFFFFFF, len(restaurants)),
         known.astype(np.uint32).tobytes(), tokens.astype(np.uint32).tobytes(),
         chunk[place].tobytes(), docs[place].tobytes(), chunks.tolist(), None, None, None, None,
     )
@@ -349,9 +362,9 @@ class Tables:
 
 @dataclass
 class Totals:
-    """What all shards share: fixed-size vectors and numbers, and parts of split words."""
+    """What all shards share: numbers and parts of split words; and a shard's restaurants."""
 
-    customers: np.ndarray  # of each context restaurant
+    customers: np.ndarray  # of each restaurant of the shard
     tables: np.ndarray
     tokens: int
     vocabulary: int
@@ -370,7 +383,7 @@ class Chain:
         self.words = np.frombuffer(row["words"], np.uint64)
         per_word = np.frombuffer(row["types"], np.uint32)
         self.dish = np.repeat(np.arange(len(self.words)), per_word)
-        self.context = np.frombuffer(row["contexts"], np.uint16)
+        self.context = _read_places(row["contexts"], len(self.dish))
         self.count = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
         self.rng = np.random.default_rng(row["shard"])
         self.known = np.bincount(self.dish, self.count, len(self.words)).astype(np.int64)
@@ -432,61 +445,107 @@ class Chain:
         return (own + back * self.root()[self.dish]) / (CHILD_STRENGTH + c_u)
 
 
-_SUMS = "kind int, key long, a long, b long, c long"
+_SUMS = "shard int, home int, restaurants binary, customers binary, tables binary, kind int, key long, a long, b long, c long"
+_LIGHT = ["shard", "words", "types", "restaurants", "contexts", "counts"]
+
+
+def _homes(restaurants: np.ndarray, homes: int) -> np.ndarray:
+    """The task that sums a restaurant's totals."""
+    return (mixed(restaurants + np.uint64(2)) % np.uint64(homes)).astype(np.int64)
 
 
-def _sums(state: DataFrame, totals: Totals | None, splits: frozenset[int]) -> dict[int, dict[int, tuple[int, int, int]]]:
-    """Totals over shards: contexts (customers, tables), split words, and plain numbers.
+def _own_totals(row: dict, totals: Totals, homes: int) -> Totals:
+    """Totals with those of the shard's restaurants, which come by home."""
+    place = np.argsort(_homes(np.frombuffer(row["restaurants"], np.uint64), homes), kind="stable")
+    own = np.zeros((2, len(place)), np.int64)
+    for k, name in enumerate(("customers", "tables")):
+        own[k][place] = np.concatenate([np.frombuffer(b, np.int64) for b in row[name]])
+    return replace(totals, customers=own[0], tables=own[1])
 
-    At most CONTEXTS rows and one per split word reach the driver.
+
+def _sums(
+    state: DataFrame, totals: Totals | None, splits: frozenset[int], homes: int
+) -> tuple[DataFrame, dict[int, dict[int, tuple[int, int, int]]]]:
+    """Totals over shards: of restaurants, as a stored table by shard and home; and split
+    words and plain numbers, at most one row per split word, at the driver.
+
+    ``state`` holds the restaurants' totals of the round before where ``totals`` is given.
     """
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                if row["words"] is None:
-                    continue
-                chain = Chain(row, totals or _nothing())
+                chain = Chain(row, _own_totals(row, totals, homes) if totals else _nothing())
                 if totals:
                     for _ in chain.run(ROUND_MOVES, 1):
                         pass
+                restaurants = np.frombuffer(row["restaurants"], np.uint64)
+                sums = [
+                    np.bincount(chain.context, n, len(restaurants)).astype(np.uint32) for n in (chain.count, chain.t)
+                ]
+                home = _homes(restaurants, homes)
+                place = np.argsort(home, kind="stable")
+                cuts = np.searchsorted(home[place], np.arange(homes + 1))
+                sent = [
+                    (row["shard"], h, *[x[place[lo:hi]].tobytes() for x in (restaurants, *sums)])
+                    for h, lo, hi in zip(range(homes), cuts[:-1], cuts[1:]) if hi > lo
+                ]
+                yield pd.DataFrame(sent, columns=names[:5]).reindex(columns=names)
                 used = chain.count > 0
-                customers = np.bincount(chain.context, chain.count, CONTEXTS).astype(np.int64)
-                tables = np.bincount(chain.context, chain.t, CONTEXTS).astype(np.int64)
-                at = np.flatnonzero(customers)
                 split = np.fromiter((int(w) in splits for w in chain.words), bool, len(chain.words))
                 whole = ~split & (chain.known > 0)
                 c = chain.root_c
                 rows = [
-                    pd.DataFrame({"kind": 0, "key": at, "a": customers[at], "b": tables[at], "c": 0}),
                     pd.DataFrame({"kind": 1, "key": chain.words[split].view(np.int64), "a": chain.known[split],
                                   "b": c[split], "c": chain.root_t[split]}),
                     pd.DataFrame({"kind": 2, "key": range(4), "c": 0, "a": [
                         int(whole.sum()), int(c[whole].sum()), int((chain.count[used] == 1).sum()), int((c[whole] == 1).sum())],
                         "b": [int(chain.known.sum()), int(chain.root_t[whole].sum()), int((chain.count == 2).sum()), int((c[whole] == 2).sum())]}),
                 ]
-                yield pd.concat(rows)[["kind", "key", "a", "b", "c"]]
+                yield pd.concat(rows).reindex(columns=names)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(b) // 4 for b in group["customers"]]
+        ends = np.cumsum(sizes)
+        found, at = np.unique(np.frombuffer(b"".join(group["restaurants"]), np.uint64), return_inverse=True)
+        sums = [
+            np.bincount(at, np.frombuffer(b"".join(group[name]), np.uint32), len(found)).astype(np.int64)[at]
+            for name in ("customers", "tables")
+        ]
+        return pd.DataFrame({
+            "shard": group["shard"], "home": group["home"],
+            **{name: [x[e - n : e].tobytes() for e, n in zip(ends, sizes)] for name, x in zip(("customers", "tables"), sums)},
+        })
 
-    columns = ["shard", "words", "types", "contexts", "counts"]
+    names = [part.split()[0] for part in _SUMS.split(", ")]
+    columns = [*_LIGHT, *(["customers", "tables"] if totals else [])]
+    sent = stage(state.select(*columns).mapInPandas(add_up, _SUMS), "lm-sums")
     summed = (
-        state.where("words is not null").select(*columns).mapInPandas(add_up, _SUMS)
+        sent.where("kind is not null")
         .groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
     )
-    found: dict[int, dict[int, tuple[int, int, int]]] = {0: {}, 1: {}, 2: {}}
+    found: dict[int, dict[int, tuple[int, int, int]]] = {1: {}, 2: {}}
     for row in summed.collect():
         found[row.kind][row.key] = (row.a, row.b, row.c)
-    return found
+    parts = sent.where("home is not null").select("shard", "home", "restaurants", "customers", "tables")
+    spread = parts.repartition(homes, "home") if homes > 1 else parts
+    merged = spread.groupBy("home").applyInPandas(merge, "shard int, home int, customers binary, tables binary")
+    return stage(merged, "lm-totals"), found
+
+
+def _joined(state: DataFrame, merged: DataFrame) -> DataFrame:
+    """Shards with the totals of their restaurants: one blob per home, by home."""
+    by_home = F.array_sort(F.collect_list(F.struct("home", "customers", "tables")))
+    own = merged.groupBy("shard").agg(by_home.alias("own"))
+    return state.join(own.select("shard", "own.customers", "own.tables"), "shard")
 
 
 def _nothing() -> Totals:
-    zero = np.zeros(CONTEXTS, np.int64)
+    zero = np.zeros(0, np.int64)
     return Totals(zero, zero, 0, 0, 0, 0, 0.5, 0.5, {})
 
 
 def _totals(found: dict[int, dict[int, tuple[int, int, int]]], before: Totals | None) -> Totals:
-    customers, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-    for key, (a, b, _) in found[0].items():
-        customers[key], tables[key] = a, b
     split = {k % (1 << 64): v for k, v in found[1].items() if v[0]}
     plain = {k: found[2].get(k, (0, 0, 0)) for k in range(4)}
 
@@ -494,8 +553,8 @@ def _totals(found: dict[int, dict[int, tuple[int, int, int]]], before: Totals |
         once, twice = plain[k][:2]
         return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-    return Totals(
-        customers, tables, tokens=plain[0][1], vocabulary=plain[0][0] + len(split),
+    return replace(
+        _nothing(), tokens=plain[0][1], vocabulary=plain[0][0] + len(split),
         root_customers=plain[1][0] + sum(v[1] for v in split.values()),
         root_tables=plain[1][1] + sum(v[2] for v in split.values()),
         discount=before.discount if before else discount(2),
@@ -506,17 +565,17 @@ def _totals(found: dict[int, dict[int, tuple[int, int, int]]], before: Totals |
 _PARTS = "chunk long, docs binary, known binary, base binary, score binary, train int, ids array<long>, n binary"
 
 
-def _parts(state: DataFrame, totals: Totals) -> DataFrame:
+def _parts(state: DataFrame, totals: Totals, homes: int) -> DataFrame:
     """Sums per (shard, document), packed by chunk."""
     shared = state.sparkSession.sparkContext.broadcast(totals)
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                yield _part(row, shared.value)
+                yield _part(row, _own_totals(row, shared.value, homes))
 
-    columns = ["shard", "words", "types", "contexts", "counts", "tokens", "token_chunks", "token_docs", "chunks"]
-    return state.where("words is not null").select(*columns).mapInPandas(total, _PARTS)
+    columns = [*_LIGHT, "customers", "tables", "tokens", "token_chunks", "token_docs", "chunks"]
+    return state.select(*columns).mapInPandas(total, _PARTS)
 
 
 def _part(row: dict, totals: Totals) -> pd.DataFrame:
@@ -557,9 +616,14 @@ def score_documents(
     layout = plan_layout(docs, tokens_per_shard)
     state = gather(deal(docs, F.coalesce(held_out, F.lit(False)), layout), layout.shards)
     splits = frozenset(layout.splits)
-    totals = _totals(_sums(state, None, splits), None)
+    seated = state.where("words is not null")
+    pairs = seated.agg(F.coalesce(F.sum(F.octet_length("restaurants")), F.lit(0))).first()[0] // 8
+    homes = max(1, -(-pairs // PAIRS_PER_HOME))
+    merged, found = _sums(seated, None, splits, homes)
+    totals = _totals(found, None)
     for _ in range(ROUNDS - 1):
-        totals = _totals(_sums(state, totals, splits), totals)
+        merged, found = _sums(_joined(seated.select(*_LIGHT), merged), totals, splits, homes)
+        totals = _totals(found, totals)
     n_train = totals.tokens
     infos = state.where("words is null").select(
         "chunk", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "known", "base", "score")], "train", "ids", "n"
@@ -578,6 +642,6 @@ def score_documents(
             "n_known": sums[0].astype(np.int64), "train_tokens": n_train, "base_score": sums[1], "score": sums[2],
         })
 
-    return _parts(state, totals).unionByName(infos).groupBy("chunk").applyInPandas(
+    return _parts(_joined(seated, merged), totals, homes).unionByName(infos).groupBy("chunk").applyInPandas(
         total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -4,6 +4,8 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from ambilens.llm import pitman_yor
 from ambilens.llm.common import crc32_mod
@@ -125,3 +127,23 @@ def test_split_words_keep_their_totals():
     where = layout.shard_of(words, contexts, np.zeros(len(contexts), np.int64))
     assert 1 < len(set(where.tolist())) <= 4
     assert len(set(layout.shard_of(words, contexts, np.ones(len(contexts), np.int64)).tolist())) == 1
+
+
+def test_every_word_has_its_own_restaurant(spark):
+    """More words than any 16-bit number: a rare word keeps what followed it, and only that."""
+    words = [f"w{k}" for k in range(70_000)]
+    rows = [(k, " ".join(words[k : k + 1000])) for k in range(0, len(words), 1000)]
+    rows += [(10**6 + k, "often then " * 300) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    layout = pitman_yor.plan_layout(docs, 40_000)
+    state = pitman_yor.gather(pitman_yor.deal(docs, F.lit(False), layout), layout.shards)
+    seated = state.where("words is not null")
+    merged, found = pitman_yor._sums(seated, None, frozenset(layout.splits), 3)
+    counts = Counter()
+    for d, t in rows:
+        counts.update([b"\n", *t.encode().split()])
+    got = {}
+    for row in pitman_yor._joined(seated, merged).collect():
+        own = pitman_yor._own_totals(row.asDict(), pitman_yor._totals(found, None), 3)
+        got |= dict(zip(np.frombuffer(row["restaurants"], np.uint64).tolist(), own.customers.tolist()))
+    assert got == {xxhash.xxh64_intdigest(w, 0): n for w, n in counts.items()}
