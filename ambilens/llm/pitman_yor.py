@@ -9,8 +9,8 @@ The corpus is read once. Tasks cut it into chunks and send each token, as (word,
 context, document), to the shard of its word. A shard holds every (context, word) pair
 of its words and with it the tables where that word is served, in the contexts and in
 the root. Words with many tokens are split over shards by context. A shard seats its
-customers and resamples them by Gibbs moves, given the totals of its restaurants; rounds
-pass new totals on. Predictive probabilities are averaged over samples, and sums per
+customers and resamples all of them in every Gibbs step, given the totals of its
+restaurants; rounds pass new totals on. Predictive probabilities are averaged over samples, and sums per
 document, not per token, go back to the chunk.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,9 @@ SPLIT_SHARE = 0.25
 SAMPLE_DOCS = 64
 ROUNDS, BURN_IN, SAMPLES = 2, 8, 8
 FEW, ONE_BY_ONE = 4, 32
-#: Moves of each dish in the rounds that only pass totals on.
-ROUND_MOVES = 3
+#: Up to so many customers, the law of a dish's number of tables is tabulated; beyond, it
+#: comes from the saddle point of its generating function, corrected by the last tabulated row.
+EXACT = 1024
 CHILD_STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 
 _PIECES = (
@@ -217,10 +219,105 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
     )
 
 
+@lru_cache(4)
+def _seatings(discount: float, most: int) -> list[np.ndarray]:
+    """For c customers, the logarithms of the generalized Stirling numbers S(c, 1..c)."""
+    rows = [np.zeros(0), np.zeros(1)]
+    for c in range(1, most):
+        stay = np.log(c - discount * np.arange(1, c + 1)) + rows[c]
+        rows.append(np.logaddexp(np.append(stay, -np.inf), np.append(-np.inf, rows[c])))
+    return rows
+
+
+@lru_cache(4)
+def _saddles(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log of customers per table, saddle point) for f(x) = 1 - (1 - x)^discount.
+
+    S(c, t) is c! / (t! discount^t) times the coefficient of x^c in f^t. The saddle point
+    is kept as u = log(1 - x).
+    """
+    u = -np.geomspace(1e-6, 600, 20_000)
+    return np.log(-np.expm1(u) * discount * np.exp((discount - 1) * u) / -np.expm1(discount * u)), u
+
+
+def _saddle_terms(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) by its saddle point, without log(c! / t!)."""
+    r = c / t
+    u = np.interp(np.log(r), *_saddles(discount))
+    x = -np.expm1(u)
+    spread = r * np.maximum(1 + x * (1 - discount) * np.exp(-u) - r, 1e-12)
+    return t * np.log(-np.expm1(discount * u) / discount) - c * np.log(x) - 0.5 * np.log(t * spread)
+
+
+@lru_cache(4)
+def _correction(discount: float) -> np.ndarray:
+    """What the saddle point lacks for t = 0, 1, .. tables; it depends on t alone where t << c."""
+    t = np.arange(1, EXACT // 4 + 1)
+    lacks = _seatings(discount, EXACT)[EXACT][: len(t)] + np.cumsum(np.log(t)) - _saddle_terms(np.full(len(t), EXACT), t, discount)
+    return np.append(0.0, lacks - lacks[-1])
+
+
+def _draw(log_weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A place in each row."""
+    upto = np.cumsum(np.exp(log_weight - log_weight.max(axis=1, keepdims=True)), axis=1)
+    return (upto[:, :-1] <= rng.random((len(upto), 1)) * upto[:, -1:]).sum(axis=1)
+
+
+def _draw_large(c: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """``draw_tables`` for dishes of more than EXACT customers."""
+    low, high = np.zeros(len(c)), np.log(c)
+    for _ in range(30):  # the peak: the weight's growth per table falls with t
+        t = np.exp((low + high) / 2)
+        u = np.interp(np.log(c / t), *_saddles(discount))
+        rises = opening * -np.expm1(discount * u) > discount * t
+        low, high = np.where(rises, np.log(t), low), np.where(rises, high, np.log(t))
+    peak = np.exp(low)
+    reach = 12 * np.sqrt(peak) + 24  # the law is no wider than Poisson's
+    first = np.maximum(1, peak - reach).astype(np.int64)
+    width = np.minimum(c, (peak + reach).astype(np.int64)) - first + 1
+    tables = np.zeros(len(c), np.int64)
+    correction = _correction(discount)
+    order, at = np.argsort(width), 0
+    while at < len(order):
+        n = 1  # dishes of similar widths together
+        while at + n < len(order) and width[order[at + n]] <= 1.2 * width[order[at]] and n * width[order[at]] < 1 << 18:
+            n += 1
+        some = order[at : at + n]
+        t = first[some][:, None] + np.arange(width[some[-1]])
+        many = np.broadcast_to(c[some][:, None], t.shape)
+        inside = t <= many
+        t = np.minimum(t, many)
+        weight = _saddle_terms(many, t, discount) + t * np.log(opening[some])[:, None] - np.cumsum(np.log(t), axis=1)
+        weight += correction[np.where(t < len(correction), t, 0)]
+        tables[some] = first[some] + _draw(np.where(inside, weight, -np.inf), rng)
+        at += n
+    return tables
+
+
+def draw_tables(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Number of tables of each dish by its law: t tables have weight opening^t S(c, t).
+
+    This reseats every customer of the dish: it is what any number of single moves tends to.
+    """
+    tables = np.minimum(customers, 1)
+    large = np.flatnonzero(customers > EXACT)
+    tables[large] = _draw_large(customers[large], opening[large], discount, rng)
+    several = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    place = several[np.argsort(customers[several], kind="stable")]
+    counts, first = np.unique(customers[place], return_index=True)
+    rows = _seatings(discount, EXACT)
+    for c, lo, hi in zip(counts.tolist(), first, np.append(first[1:], len(place))):
+        width = max(1, (1 << 20) // c)
+        for at in range(lo, hi, width):
+            dishes = place[at : min(at + width, hi)]
+            tables[dishes] += _draw(rows[c] + np.log(opening[dishes])[:, None] * np.arange(1, c + 1), rng)
+    return tables
+
+
 class Tables:
     """Tables of many dishes, each with its customers; one empty table always at the end.
 
-    Tables of a dish are next to each other. ``move`` takes one customer of each given
+    Single moves: the plain form of ``draw_tables``, which the tests compare. Tables of a dish are next to each other. ``move`` takes one customer of each given
     dish away and seats it anew: the Gibbs step of a Pitman-Yor restaurant, for as many
     dishes at a time as there are.
     """
@@ -278,12 +375,6 @@ class Tables:
             customers -= block
         return sizes
 
-    def _left(self, sizes: np.ndarray, customers: int) -> np.ndarray:
-        """Tables of one dish after so many random customers have gone."""
-        gone = self.rng.multivariate_hypergeometric(sizes, customers, method="marginals")
-        sizes = sizes - gone
-        return sizes[sizes > 0]
-
     def _replace(self, dishes: np.ndarray, tables: list[np.ndarray]) -> None:
         drop = np.zeros(self.n, bool)
         drop[dishes] = True
@@ -326,20 +417,6 @@ class Tables:
         self.owner, self.size = owner[place], size[place]
         self._index()
 
-    def change(self, customers: np.ndarray, opening: float) -> None:
-        """Seat (or, where negative, take away) so many customers of each dish."""
-        many = np.flatnonzero(np.abs(customers) > 2)
-        if len(many):
-            self._replace(many, [
-                self._left(self._sizes(d), -n) if n < 0 else self._seated(self._sizes(d), n, opening)
-                for d, n in zip(many, customers[many].tolist())
-            ])
-        for k in (1, 2):
-            if len(gone := np.flatnonzero((customers <= -k) & (customers >= -2))):
-                self.remove(gone)
-            if len(come := np.flatnonzero((customers >= k) & (customers <= 2))):
-                self.add(come, np.full(len(come), opening))
-
     def _tidy(self) -> None:
         """Drop empty tables but the last of each dish, and give taken ones a new last."""
         keep = self.size > 0
@@ -412,27 +489,15 @@ class Chain:
         for i, (_, c, tables) in self.share:
             # What the word's other parts had, in proportion, less this part.
             self.others[:, i] = max(0, c - self.root_c[i]), max(0, tables - self.root_t[i])
-        strength = CHILD_STRENGTH + t.discount * t.tables[self.context[self.open]]
-        child = Tables(len(self.open), t.discount, self.rng)
-        child.fill(self.count[self.open], strength * self.root()[self.dish[self.open]])
-        self.t[self.open] = child.tables()
-        self.root_c = np.bincount(self.dish, self.t, len(self.words)).astype(np.int64)
-        several = np.flatnonzero(self.known > 1)
-        parent = Tables(len(several), t.root_discount, self.rng)
+        strength = CHILD_STRENGTH + t.discount * t.tables[self.context]
         opening = (ROOT_STRENGTH + t.root_discount * t.root_tables) * self.base
-        parent.fill(self.root_c[several], np.full(len(several), opening))
-        self.root_t[several] = parent.tables()
-        every = np.arange(len(self.open))
+        several = np.flatnonzero(self.known > 1)
+        every = np.full(len(several), opening)
         for step in range(burn_in + samples):
-            child.move(every, strength * self.root()[self.dish[self.open]])
-            self.t[self.open] = child.tables()
-            served = np.bincount(self.dish, self.t, len(self.words)).astype(np.int64)
-            change = (served - self.root_c)[several]
-            parent.change(change, opening)
-            self.root_c = served
-            seated = np.flatnonzero(self.root_c[several] > 1)
-            parent.move(seated, np.full(len(seated), opening))
-            self.root_t[several] = parent.tables()
+            weight = strength[self.open] * self.root()[self.dish[self.open]]
+            self.t[self.open] = draw_tables(self.count[self.open], weight, t.discount, self.rng)
+            self.root_c = np.bincount(self.dish, self.t, len(self.words)).astype(np.int64)
+            self.root_t[several] = draw_tables(self.root_c[several], every, t.root_discount, self.rng)
             if step >= burn_in:
                 yield
 
@@ -477,7 +542,7 @@ def _sums(
             for row in batch.to_dict("records"):
                 chain = Chain(row, _own_totals(row, totals, homes) if totals else _nothing())
                 if totals:
-                    for _ in chain.run(ROUND_MOVES, 1):
+                    for _ in chain.run(BURN_IN, 1):
                         pass
                 restaurants = np.frombuffer(row["restaurants"], np.uint64)
                 sums = [

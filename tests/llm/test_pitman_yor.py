@@ -147,3 +147,63 @@ def test_every_word_has_its_own_restaurant(spark):
         own = pitman_yor._own_totals(row.asDict(), pitman_yor._totals(found, None), 3)
         got |= dict(zip(np.frombuffer(row["restaurants"], np.uint64).tolist(), own.customers.tolist()))
     assert got == {xxhash.xxh64_intdigest(w, 0): n for w, n in counts.items()}
+
+
+def test_a_step_reseats_every_customer():
+    """Each draw follows the law of the number of tables, however many customers a dish has."""
+    a, d, lanes = 0.8, 0.5, 20_000
+    every = np.arange(lanes)
+    tables = pitman_yor.Tables(lanes, d, np.random.default_rng(2))
+    tables.fill(np.full(lanes, 6), np.full(lanes, a))
+    for _ in range(25):
+        tables.move(every, np.full(lanes, a))
+    drawn = pitman_yor.draw_tables(np.full(lanes, 6), np.full(lanes, a), d, np.random.default_rng(1))
+    seen = [np.bincount(x, minlength=7) / lanes for x in (drawn, tables.tables())]
+    assert np.abs(seen[0] - seen[1]).max() < 0.02
+    most = 2500
+    for d, a in ((0.7, 20.0), (0.8, 0.5), (0.5, 0.01), (0.6, 400.0), (0.3, 30_000.0)):
+        weight = pitman_yor._seatings(d, most)[most] + np.log(a) * np.arange(1, most + 1)
+        law = np.exp(weight - weight.max())
+        law /= law.sum()
+        mean = law @ np.arange(1, most + 1)
+        spread = math.sqrt(law @ (np.arange(1, most + 1) - mean) ** 2)
+        n = 20_000
+        drawn = pitman_yor.draw_tables(np.full(n, most), np.full(n, a), d, np.random.default_rng(3))
+        assert abs(drawn.mean() - mean) < 0.05 * spread and 0.95 < (drawn.std() + 1e-3) / (spread + 1e-3) < 1.05
+
+
+def test_steps_reseat_frequent_pairs():
+    """A chain's samples of one frequent pair scatter as the law says; the seating isn't kept."""
+    chain, _ = a_chain({(1, 3): 50_000, (2, 3): 50_000})
+    seen = []
+    for _ in chain.run(8, 200):
+        seen.append(chain.t.tolist())
+    seen = np.array(seen, float)
+    assert (np.corrcoef(seen[:-1, 0], seen[1:, 0])[0, 1] < 0.5) and seen[:, 0].std() > 0.5
+
+
+def test_rounds_that_pass_totals_on_burn_in(spark, sf_docs, monkeypatch):
+    runs = []
+    run = pitman_yor.Chain.run
+    monkeypatch.setattr(pitman_yor.Chain, "run", lambda self, *a: runs.append(a) or run(self, *a))
+
+    class Here:
+        """mapInPandas in this process, so that the calls are seen."""
+
+        def __init__(self, rows):
+            self.rows = rows
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):  # noqa: N802
+            list(f(iter([self.rows])))
+            raise StopIteration
+
+    layout = pitman_yor.plan_layout(sf_docs)
+    seated = pitman_yor.gather(pitman_yor.deal(sf_docs, F.lit(False), layout), 1).where("words is not null")
+    merged, found = pitman_yor._sums(seated, None, frozenset(), 1)
+    joined = pitman_yor._joined(seated.select(*pitman_yor._LIGHT), merged).toPandas()
+    with pytest.raises(StopIteration):
+        pitman_yor._sums(Here(joined), pitman_yor._totals(found, None), frozenset(), 1)
+    assert runs == [(pitman_yor.BURN_IN, 1)]
