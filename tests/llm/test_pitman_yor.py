@@ -207,3 +207,14 @@ def test_rounds_that_pass_totals_on_burn_in(spark, sf_docs, monkeypatch):
     with pytest.raises(StopIteration):
         pitman_yor._sums(Here(joined), pitman_yor._totals(found, None), frozenset(), 1)
     assert runs == [(pitman_yor.BURN_IN, 1)]
+
+
+def test_base_score_in_double_precision(spark):
+    rows = [(0, "a b c d e " * 40_000), (1, "a b f g " * 1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.base_score for r in pitman_yor.score_documents(docs, F.lit(False), 50_000).collect()}
+    counts = Counter(w for _, t in rows for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for d, t in rows:
+        exact = math.fsum(k * math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w, k in Counter(tokens(t)).items())
+        assert abs(found[d] / exact - 1) < 1e-11
