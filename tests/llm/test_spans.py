@@ -153,3 +153,31 @@ def test_ratio_prefers_the_random_model():
         counts[identifiers.CELLS :] += identifiers.transitions(identifiers.states(word))
     ratio = identifiers.ratios(counts)
     assert identifiers.score("x9Q2z7K1q9", ratio) > 0 > identifiers.score("wordsandother", ratio)
+
+
+def test_markov_scores_short_letters_only_and_embedded_strings(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    drawn = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    path = "then/some/other/ordinary-identifiers/follow"
+    words = f"the_quick brown fox jumps over lazy.dogs and {path} name=value 2019 34 5678".split()
+    words += [w.upper() for w in words] + [w.title() for w in words]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) + f" token={drawn(400, letters + '0123456789')} " for _ in range(80)]
+    short, parts = drawn(14, letters + "0123456789"), [drawn(10, letters + "0123456789") for _ in range(2)]
+    plain = [drawn(24, letters) for _ in range(4)]
+    texts += [
+        f"see {short} end", f"see {plain[0]} end", f"{path.upper()}/{plain[1]}/{path.upper()}",
+        f"see {'.'.join(parts)}", f"token=abcdefgh,{plain[2]}", f"token=abcdefgh\"{plain[3]} x", path + "/some",
+    ]
+    found = identifiers.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "markov"] for r in found.collect()}
+    assert spans[80] == [short] and spans[81] == [plain[0]] and spans[84] == [plain[2]] and spans[85] == [plain[3]]
+    assert len(spans[82]) == 1 and plain[1] in spans[82][0] and len(spans[82][0]) < 32
+    assert "".join(spans[83]).replace(".", "") == "".join(parts)
+    assert not any(spans[k] for k in [*range(80), 86])
+
+
+def test_a_base_span_leaves_the_rest_of_its_run():
+    ratio = np.full((identifiers.STATES, identifiers.STATES), 2.0)
+    assert identifiers.random_spans("x" * 40, [(0, 20)], ratio, 12.0) == [(20, 40)]
+    assert identifiers.random_spans("x" * 40 + " " + "y" * 7, [], ratio, 12.0) == [(0, 40)]
