@@ -16,6 +16,7 @@ document, not per token, go back to the chunk.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -25,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambilens.llm.words import dictionary, hashes, mixed, numbered
@@ -57,9 +58,9 @@ _STATE = (
 )
 
 
-def _places(places: np.ndarray, restaurants: int) -> bytes:
-    """Places in a list of restaurants, in two bytes each where they fit."""
-    return places.astype(np.uint16 if restaurants <= 1 << 16 else np.uint32).tobytes()
+def _places(places: np.ndarray, listed: int) -> bytes:
+    """Places in a list of so many, in two bytes each where they fit."""
+    return places.astype(np.uint16 if listed <= 1 << 16 else np.uint32).tobytes()
 
 
 def _read_places(blob: bytes, n: int) -> np.ndarray:
@@ -215,7 +216,7 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
         shard, all_words.tobytes(), types.astype(np.uint32).tobytes(), restaurants.tobytes(),
         _places(key[first] & 0xFFFFFFFF, len(restaurants)),
         known.astype(np.uint32).tobytes(), tokens.astype(np.uint32).tobytes(),
-        chunk[place].tobytes(), docs[place].tobytes(), chunks.tolist(), None, None, None, None,
+        _places(chunk[place], len(chunks)), docs[place].tobytes(), chunks.tolist(), None, None, None, None,
     )
 
 
@@ -598,6 +599,15 @@ def _sums(
     return stage(merged, "lm-totals"), found
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files of tables that were stored and are no longer used.
+
+    Its cleaner follows the driver's garbage collection, which alone may not come for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _joined(state: DataFrame, merged: DataFrame) -> DataFrame:
     """Shards with the totals of their restaurants: one blob per home, by home."""
     by_home = F.array_sort(F.collect_list(F.struct("home", "customers", "tables")))
@@ -654,7 +664,8 @@ def _part(row: dict, totals: Totals) -> pd.DataFrame:
         known[i] = tokens
     base = np.log10((known + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
     tokens = np.frombuffer(row["tokens"], np.uint32)
-    doc = np.frombuffer(row["token_chunks"], np.uint32).astype(np.int64) << 16 | np.frombuffer(row["token_docs"], np.uint16)
+    token_docs = np.frombuffer(row["token_docs"], np.uint16)
+    doc = _read_places(row["token_chunks"], len(token_docs)).astype(np.int64) << 16 | token_docs
     docs, which = np.unique(doc, return_inverse=True)
     sums = [np.bincount(which, np.repeat(x, tokens), len(docs)) for x in (known[chain.dish] > 0, base[chain.dish], log)]
     cuts = np.searchsorted(docs >> 16, np.arange(len(row["chunks"]) + 1))
@@ -684,11 +695,13 @@ def score_documents(
     seated = state.where("words is not null")
     pairs = seated.agg(F.coalesce(F.sum(F.octet_length("restaurants")), F.lit(0))).first()[0] // 8
     homes = max(1, -(-pairs // PAIRS_PER_HOME))
+    _drop_shuffles(docs.sparkSession)
     merged, found = _sums(seated, None, splits, homes)
     totals = _totals(found, None)
     for _ in range(ROUNDS - 1):
         merged, found = _sums(_joined(seated.select(*_LIGHT), merged), totals, splits, homes)
         totals = _totals(found, totals)
+        _drop_shuffles(docs.sparkSession)
     n_train = totals.tokens
     infos = state.where("words is null").select(
         "chunk", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "known", "base", "score")], "train", "ids", "n"
