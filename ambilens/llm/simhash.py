@@ -300,6 +300,18 @@ def near_duplicates(
     a component of null ids only has a null component_id. Repeated rows stay as often as they occur; other columns are ignored.
     Copies meet as one fingerprint with its smallest doc_id, never as pairs.
     """
+    return groups(docs, shingle, distance, leaf_rows).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def groups(
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
+    """``doc_id, fp, component, component_id`` for every row, as in ``near_duplicates``.
+
+    ``component`` tells groups apart where repeated doc_ids give them the same smallest one.
+    """
     prints = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     components = connected_components(links(distinct, distance, leaf_rows))
@@ -308,7 +320,5 @@ def near_duplicates(
         "component", F.coalesce("component", "fp")
     )
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = stage(grouped.join(smallest, "component").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    classes = stage(grouped.join(smallest, "component").select("fp", "component", "component_id"), "classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component", "component_id")

@@ -33,19 +33,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without a doc_id can't be told apart by it and stay.
     """
-    found = stage(simhash.near_duplicates(docs), "near-duplicates")
+    found = stage(simhash.groups(docs), "near-duplicates")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    repeated = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     # One plan at every size: which ids go grows with the corpus, so it is never broadcast.
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
-        return kept
-    # Rows that share a doc_id are one document: the first by all columns stays.
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
-    once = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns, number.alias("__n"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        once.where("__n = 1").drop("__n")
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.union(repeated).distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    # Rows that share a doc_id are decided one by one: the first by all columns stays in each group.
+    rows = stage(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), "repeated-rows")
+    printed = simhash.fingerprints(rows.select(F.xxhash64("text").alias("doc_id"), "text").distinct())
+    prints = printed.select(F.col("doc_id").alias("__text"), F.col("fp").alias("__fp")).distinct()
+    first = found.where("doc_id = component_id").select(
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("component").alias("__group")
+    ).distinct()
+    number = F.row_number().over(Window.partitionBy("__group").orderBy(*docs.columns))
+    once = (
+        rows.withColumn("__text", F.xxhash64("text")).join(prints, "__text").withColumnRenamed("doc_id", "__id")
+        .join(first, ["__id", "__fp"]).withColumnRenamed("__id", "doc_id").withColumn("__n", number)
     )
+    return kept.unionByName(once.where("__n = 1").select(*docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_odd_and_empty_inputs(spark, odd_docs, no_docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_rows_that_share_an_id_are_decided_one_by_one(spark):
+    copy = "one text that is found under a smaller number as well, word for word " * 5
+    alone = "quite another passage, about rivers and mountains, with no copy anywhere " * 5
+    third = "zebra violin quantum marmalade lighthouse copper, unlike all of the others 12345 " * 5
+    rows = [(1, copy), (2, copy), (2, alone), (3, third), (3, alone + third[::-1]), (4, "a single row; nothing like it"), (None, copy)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r != (2, copy)], key=str)
