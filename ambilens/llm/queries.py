@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambilens.llm import (
-    graph_search, identifiers, language, mixing, packing, pii, pitman_yor, shards, simhash, wand,
+    dual_tree, filter_audit, graph_search, identifiers, language, mixing, packing, pii, pitman_yor,
+    quality_rules, shards, simhash, wand,
 )
 from ambilens.llm.common import crc32_mod
+from ambilens.llm.oracles import ORACLES
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,12 +98,31 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(documents(spark, sf_dir), crc32_mod("doc_id", 5) == 1)
 
 
+def op11_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict of every document, cutoffs by language."""
+    found = quality_rules.judge_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failed_rules",
+    )
+
+
+def op12_packed_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return dual_tree.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_min_cost_resharding, op3_robust_pruned_graph, op4_markov_secrets,
         op5_block_max_wand, op6_weak_supervision_pii, op7_simhash_gray, op8_pareto_mixing,
-        op9_shortest_pack_first, op10_pitman_yor,
+        op9_shortest_pack_first, op10_pitman_yor, op11_certified_rules, op12_packed_filter_audit,
+        op13_dual_tree_search,
     )
 }
 
@@ -105,7 +130,7 @@ WORDS = r"string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}')
     upper="ABCDEFGHIJKLMNOPQRSTUVWXYZ", lower="abcdefghijklmnopqrstuvwxyz"
 )
 
-LLM_ORACLES: dict[str, str] = {
+LLM_ORACLES: dict[str, str] = ORACLES | {
     "op5_block_max_wand": f"""
 with words as (
   select doc_id, word, count(*) as tf
