@@ -69,10 +69,22 @@ useful as (
   select *, lost + caught as rejected, caught * n - {LOSS} * lost * n_bad as use from cutoffs
   where lost <= most and caught * n - {LOSS} * lost * n_bad > 0),
 mostly as ({_allowed("(select rejected as n from useful)", MOSTLY, "(select each from error)")}),
+lines as (
+  select lang, rule, c, use, n, n_bad from (
+    select u.*, row_number() over (partition by lang, rule order by use desc, c desc) as place
+    from useful u join mostly m on m.n = rejected where lost <= m.most) where place = 1),
+claims as (
+  select lang, rule, n, n_bad, good from (
+    select h.lang, rule, n, n_bad, good, row_number() over (partition by h.lang, h.text order by use desc, rule) as place
+    from holdout h join lines l on l.lang is not distinct from h.lang and h.extent[rule] >= c) where place = 1),
+own as (
+  select lang, rule, sum(good)::bigint as lost, sum(1 - good)::bigint as caught, any_value(n) as n, any_value(n_bad) as n_bad
+  from claims group by lang, rule),
+worth as ({_allowed("(select lost + caught as n from own)", MOSTLY, "(select each from error)")}),
 chosen as (
-  select lang, rule, c from (
-    select lang, rule, c, row_number() over (partition by lang, rule order by use desc, c desc) as place
-    from useful join mostly m on m.n = rejected where lost <= m.most) where place = 1),
+  select l.lang, l.rule, c from lines l join own o on o.lang is not distinct from l.lang and o.rule = l.rule
+  join worth w on w.n = o.lost + o.caught
+  where o.lost <= w.most and o.caught * o.n > {LOSS} * o.lost * o.n_bad),
 failed as (
   select e.doc_id, string_agg([{", ".join(repr(r) for r in RULES)}][rule], ',' order by rule) as rules
   from extents e join chosen c on c.lang is not distinct from e.lang and e.extent[rule] >= c group by e.doc_id)

@@ -9,7 +9,9 @@ False rejections only grow along that order, so the first failure ends it, and a
 passed hold together at the sequence's error; the error is divided by the number of
 sequences (rules x strata) and the limit by the number of rules. Among the cutoffs that
 passed, labelled bad documents pick the most useful whose rejections are shown, by the
-same test, to be mostly bad; a rule that has none stays off.
+same test, to be mostly bad; a rule that has none stays off. Rules then line up by their
+use, each labelled text belongs to the first one that rejects it, and a rule whose own
+texts aren't worth their loss is off too. Fewer rules lose no more, so the limit holds.
 """
 
 from __future__ import annotations
@@ -161,8 +163,8 @@ def allowed_errors(n: int, limit: float, error: float) -> int:
     return first + int(np.searchsorted(below, error, "right")) - 1
 
 
-def choose(extent: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float) -> tuple[int, int, int]:
-    """Cutoff, good documents it rejects and how many it might, from counts by extent.
+def choose(extent: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float) -> tuple[int, float]:
+    """Cutoff and its use, from counts by extent.
 
     STEPS + 1 rejects nothing. Cutoff 0 would reject everything and is no choice. Use is
     the share of bad documents caught less LOSS times that of good ones lost; equal use
@@ -174,13 +176,20 @@ def choose(extent: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float,
     lost, caught = np.cumsum(lost[::-1])[::-1], np.cumsum(caught[::-1])[::-1]
     spare = allowed_errors(int(lost[0]), limit, error)
     if spare < 0 or not caught[0]:
-        return STEPS + 1, 0, spare
+        return STEPS + 1, 0.0
     passed = np.flatnonzero(lost[1:] <= spare) + 1
     use = caught[passed] * lost[0] - LOSS * lost[passed] * caught[0]
-    for best in passed[np.lexsort((-passed, -use))][: np.count_nonzero(use > 0)]:
-        if lost[best] <= allowed_errors(int(lost[best] + caught[best]), MOSTLY, error):
-            return int(best), int(lost[best]), spare
-    return STEPS + 1, 0, spare
+    order = np.lexsort((-passed, -use))
+    for best, worth in zip(passed[order], use[order]):
+        if worth <= 0:
+            break
+        if mostly_bad(lost[best], caught[best], error):
+            return int(best), float(worth)
+    return STEPS + 1, 0.0
+
+
+def mostly_bad(good: int, bad: int, error: float) -> bool:
+    return good <= allowed_errors(int(good + bad), MOSTLY, error)
 
 
 def learn_cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
@@ -198,30 +207,44 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT,
         .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     )
     rows = measured.where("not base_failed and doc_id is not null").select("doc_id", "stratum", "text_hash", "extents")
-    texts = rows.distinct().join(known, "doc_id").groupBy("stratum", "text_hash").agg(
-        F.max("good").alias("good"), F.first("extents").alias("extents")
+    texts = stage(
+        rows.distinct().join(known, "doc_id").groupBy("stratum", "text_hash")
+        .agg(F.max("good").alias("good"), F.first("extents").alias("extents")),
+        "quality-holdout",
     )
+    counted = (F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     by_rule = texts.select("stratum", "good", F.posexplode("extents").alias("rule", "extent"))
-    histogram = stage(
-        by_rule.groupBy("stratum", "rule", "extent")
-        .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")),
-        "quality-histogram",
-    )
+    histogram = stage(by_rule.groupBy("stratum", "rule", "extent").agg(*counted), "quality-histogram")
     strata = max(1, histogram.select("stratum").distinct().count())
     each, share = error / (strata * len(RULES)), limit / len(RULES)
 
     def certify(group: pd.DataFrame) -> pd.DataFrame:
         columns = (group[c].to_numpy(np.int64) for c in ("extent", "good", "bad"))
-        cutoff, lost, spare = choose(*columns, share, each)
-        return pd.DataFrame({
-            "stratum": group["stratum"][:1], "rule": group["rule"][:1], "cutoff": cutoff, "lost": lost, "spare": spare
-        })
-
-    chosen = histogram.groupBy("stratum", "rule").applyInPandas(
-        certify, "stratum string, rule int, cutoff int, lost long, spare long"
+        cutoff, use = choose(*columns, share, each)
+        return group[["stratum", "rule"]].head(1).assign(cutoff=cutoff, use=use)
+
+    chosen = histogram.groupBy("stratum", "rule").applyInPandas(certify, "stratum string, rule int, cutoff int, use double")
+    line = F.sort_array(F.collect_list(F.struct((-F.col("use")).alias("use"), "rule", "cutoff")))
+    lines = stage(chosen.groupBy("stratum").agg(line.alias("line")), "quality-rules")
+    rejecting = F.filter("line", lambda r: F.element_at("extents", r["rule"] + 1) >= r["cutoff"])
+    own = (
+        lookup_join(texts, lines, ["stratum"], "inner", ["text_hash"])
+        .groupBy("stratum", F.get(rejecting, F.lit(0))["rule"].alias("rule")).agg(*counted)
     )
-    ordered = F.sort_array(F.collect_list(F.struct("rule", "cutoff")))
-    return chosen.groupBy("stratum").agg(F.transform(ordered, lambda r: r["cutoff"]).alias("cutoffs"))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        good, bad = int(group["good"].sum()), int(group["bad"].sum())
+        worth = [
+            mostly_bad(r.good, r.bad, each) and r.bad * good > LOSS * r.good * bad for r in group.itertuples()
+        ]
+        on = group["rule"][np.array(worth) & group["rule"].notna()].astype(int).tolist()
+        return pd.DataFrame({"stratum": group["stratum"].head(1), "on": [on]})
+
+    useful = own.groupBy("stratum").applyInPandas(settle, "stratum string, on array<int>")  # a row per rule
+    by_number = F.array_sort("line", lambda a, b: a["rule"] - b["rule"])
+    return lines.join(useful, "stratum").select("stratum", F.transform(
+        by_number, lambda r: F.when(F.array_contains("on", r["rule"]), r["cutoff"]).otherwise(STEPS + 1)
+    ).alias("cutoffs"))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def test_allowed_errors_are_the_exact_bound():
 def test_choice_is_certified_and_useful():
     extent = np.arange(0, 1001, 100)
     good, bad = np.array([5000, 900, 60, 3, 0, 1, 0, 0, 0, 0, 0]), np.array([0, 1, 0, 0, 9, 9, 20, 0, 0, 0, 0])
-    cutoff, lost, spare = rules.choose(extent, good, bad, 0.005, 0.01)
-    assert (cutoff, lost) == (400, 1) and lost <= spare
+    assert rules.choose(extent, good, bad, 0.005, 0.01)[0] == 400
+    assert good[4:].sum() <= rules.allowed_errors(good.sum(), 0.005, 0.01) < good[3:].sum() + 50
     # Too few good documents, or none bad: the rule stays off.
     assert rules.choose(extent, good // 100, bad, 0.005, 0.01)[0] == rules.STEPS + 1
     assert rules.choose(extent, good, bad * 0, 0.005, 0.01)[0] == rules.STEPS + 1
@@ -84,7 +84,7 @@ def test_bad_documents_go_and_good_ones_stay(spark):
     found = rules.judge_documents(docs, labels).collect()
     assert all(not r.kept for r in found if r.doc_id % 7 == 0)
     lost = [r for r in found if not r.kept and r.doc_id % 7]
-    assert len(lost) <= rules.LIMIT / 5 * len(found)
+    assert not lost  # other rules that lose a few good ones for the same bad ones are off
     assert {r.failed_rules for r in found if r.kept} == {""}
 
 
