@@ -25,7 +25,9 @@ def test_sampling_round_trip(spark, tmp_path):
     made = sampling.completion_candidates(spark.createDataFrame(rows, COMPLETIONS))
     config = {"model": "org/Qwen2.5-7B", "model_type": "base", "dataset": "D", "sampling_params": {"n": 3}}
     records = sampling.sample_records(sampling.samples(requests, made), config)
-    path = str(tmp_path / "archive")
+    with pytest.raises(ValueError, match="records"):
+        sampling.write_archive(records, str(tmp_path / "archive"))
+    path = str(tmp_path / "archive.records")
     sampling.write_archive(records, path)
     with pytest.raises(FileExistsError):
         sampling.write_archive(records, path)
