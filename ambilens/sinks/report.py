@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ambilens.sinks.tables import replacing
+from ambilens.sinks.tables import current, replacing
 
 
 def write_report(
@@ -29,6 +29,7 @@ def read_report(
     spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> tuple[dict[str, Any], DataFrame]:
     """Header and result rows; pass their ``schema`` so that maps stay maps."""
+    path = current(spark, path)
     header = json.loads(spark.read.text(f"{path}/header").first()[0])
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return header, reader.json(f"{path}/results")
