@@ -164,6 +164,11 @@ def entries(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().getName() for status in found or [])
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     jvm = spark.sparkContext._jvm
     one, two = (jvm.org.apache.hadoop.fs.Path(path) for path in (source, target))
