@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,20 +20,22 @@ from ambilens.session import scratch_path, stage
 from ambilens.sinks.tables import COMPRESSION, delete, read_or_none, to_schema
 from ambilens.sources.archive import (
     END_OF_FILE,
-    FORMAT,
     SPAN,
     SPLIT_BYTES,
     SUFFIX,
     TABLE_SUFFIX,
-    list_archives,
-    list_tables,
-    register,
+    read_spans,
+    record_schema,
+    spans_of,
 )
+from ambilens.sources.listing import FILE, TABLE, list_tree
 
 STATUS_SCHEMA = (
     "path string, folder string, model_tag string, status string, n_rows bigint, "
     "n_samples bigint, error string, run_id string"
 )
+#: What extraction reads of stored record tables, which hold more.
+STORED_SCHEMA = record_schema(tokens=False).replace("path string, ", "").replace(", error string", "").replace("is_text:boolean, ", "")
 WRITTEN, SKIPPED, FAILED = "written", "skipped", "failed"
 RECORD_COLUMNS = ("path", "seq", "type", "config", "samples")
 CONFIG_FIELDS = ("model", "model_type", "dataset", "json")
@@ -50,30 +50,22 @@ def read_records(
     parts don't chain are read again as a whole, so the rows are the same at any
     ``split_bytes``. Only ``seq`` differs: it orders the records of a path.
     """
-    return _read(spark, list_archives(path), tokens, split_bytes)
-
-
-def _read(
-    spark: SparkSession, files: list[tuple[str, int]], tokens: bool, split_bytes: int
-) -> DataFrame:
-    register(spark)
-    source = spark.read.format(FORMAT).option("tokens", str(tokens).lower())
-
-    def load(paths: list[str], limit: int) -> DataFrame:
-        return source.option("split_bytes", limit).option("paths", json.dumps(paths)).load()
-
-    small = [path for path, size in files if size <= split_bytes]
-    large = [path for path, size in files if size > split_bytes]
-    if not large:
-        return load(small, split_bytes)
-    parts = stage(load(large, split_bytes), "records")
-    broken = [row.path for row in broken_chains(parts).collect()]  # at most the large files
+    files = list_tree(spark, path).where(F.col("kind") == FILE)
+    return _read(files.select("path", "size"), tokens, split_bytes)
+
+
+def _read(files: DataFrame, tokens: bool, split_bytes: int) -> DataFrame:
+    """Records of ``path, size``, which should be a stored table."""
+    large = files.where(F.col("size") > split_bytes)
+    whole = files.where(F.col("size") <= split_bytes)
+    if large.isEmpty():
+        return read_spans(spans_of(whole, split_bytes), tokens)
+    parts = stage(read_spans(spans_of(large, split_bytes), tokens), "records")
+    broken = stage(broken_chains(parts), "broken")  # a row per file
     rows = parts.where(F.col("type").isNull() | (F.col("type") != SPAN))
-    if broken:
-        named = spark.createDataFrame([(path,) for path in broken], "path string")
-        rows = rows.join(named, "path", "left_anti").select(*parts.columns)
-    again = small + broken
-    return rows.unionByName(load(again, 1 << 62)) if again else rows
+    rows = rows.join(broken, "path", "left_anti").select(*parts.columns)
+    again = whole.unionByName(large.join(broken, "path", "left_semi").select(*whole.columns))
+    return rows.unionByName(read_spans(spans_of(again, 1 << 62), tokens))
 
 
 def broken_chains(parts: DataFrame) -> DataFrame:
@@ -99,12 +91,16 @@ def broken_chains(parts: DataFrame) -> DataFrame:
     return facts.where(~chained).select("path")
 
 
-def read_stored_records(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
-    """Records stored by :func:`ambilens.plans.sampling.write_archive`, one path per table."""
-    stored = spark.read.parquet(*tables)
-    folder = F.regexp_extract("_metadata.file_path", rf"^(.*{TABLE_SUFFIX.replace('.', '[.]')})/[^/]*$", 1)
-    plain = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
-    return stored.withColumn("path", F.regexp_replace(plain, "^file:/+", "/"))
+def read_stored_records(spark: SparkSession, root: str) -> DataFrame:
+    """Records of all tables below ``root`` that :func:`ambilens.plans.sampling.write_archive`
+    stored, one path per table."""
+    stored = (
+        spark.read.schema(STORED_SCHEMA).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet").parquet(root)
+    )
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(file, rf"^(.*{TABLE_SUFFIX.replace('.', '[.]')})/[^/]*$", 1)
+    return stored.withColumn("path", F.regexp_replace(folder, "^file:/+", "/")).where("path <> ''")
 
 
 def mirrored(path: Column, root: str) -> list[Column]:
@@ -173,36 +169,35 @@ def extract_archives(
     ``output_dir/_status``. An archive with any bad record is left out as a whole
     and reported; one that was written before is skipped unless ``overwrite``.
     Archives are decoded once, into a staged table. An archive without candidates
-    counts as written; it has no partition.
+    counts as written; it has no partition. Folders are listed and files read by the
+    tasks; the statuses returned are those stored.
     """
     input_dir = input_dir.rstrip("/")
-    files, tables = list_archives(input_dir), list_tables(input_dir)
-    if not files and not tables:
+    listed = stage(list_tree(spark, input_dir), "listed")
+    if listed.isEmpty():
         raise FileNotFoundError(f"No {SUFFIX} files under {input_dir}")
-    status_dir = f"{output_dir.rstrip('/')}/_status"
-    found = [(path, size, False) for path, size in files] + [(path, 0, True) for path in tables]
-    listed = spark.createDataFrame(found, "path string, size bigint, stored boolean")
+    status_dir, run_id = f"{output_dir.rstrip('/')}/_status", uuid.uuid4().hex
     done = None if overwrite else read_or_none(spark, status_dir, STATUS_SCHEMA)
     skipped = _skipped(listed.limit(0), input_dir)
     if done is not None:
         written = done.where(F.col("status") == WRITTEN).select("path").distinct()
         skipped = _skipped(listed.join(written, "path", "left_semi"), input_dir)
         listed = listed.join(written, "path", "left_anti")
-    todo = listed.orderBy("path").collect()
-    if not todo:
+    todo = stage(listed, "todo")
+    if todo.isEmpty():
         return skipped
 
     folder = scratch_path(spark, "extract")
-    parts = []
-    if named := [(row.path, row.size) for row in todo if not row.stored]:
-        parts.append(_read(spark, named, False, split_bytes).select(*RECORD_COLUMNS, "error"))
-    if named := [row.path for row in todo if row.stored]:
+    files = todo.where(F.col("kind") == FILE).select("path", "size")
+    parts = [_read(files, False, split_bytes).select(*RECORD_COLUMNS, "error")]
+    tables = todo.where(F.col("kind") == TABLE).select("path")
+    if not tables.isEmpty():
         config = F.struct(*[F.col(f"config.{name}") for name in CONFIG_FIELDS])
-        stored = read_stored_records(spark, named)
+        stored = read_stored_records(spark, input_dir).join(tables, "path", "left_semi")
         stored = stored.withColumn("config", F.when(F.col("config").isNotNull(), config))
         parts.append(_text_records(stored).withColumn("error", F.lit(None).cast("string")))
     records = stage(reduce(DataFrame.unionByName, parts), path=f"{folder}/records")
-    status = stage(_with_silent(archive_status(records, input_dir), [row.path for row in todo], input_dir), path=f"{folder}/status")
+    status = stage(_with_silent(archive_status(records, input_dir), todo.select("path"), input_dir), path=f"{folder}/status")
     sound = status.where(F.col("status") == WRITTEN)
     # Split files are numbered by byte offset and record, whole files by record.
     batches = carry_metadata(records, chunk=max(split_bytes << 10, 4096))
@@ -221,15 +216,14 @@ def extract_archives(
         .parquet(output_dir)
     )
     (
-        status.withColumn("run_id", F.lit(uuid.uuid4().hex))
+        status.withColumn("run_id", F.lit(run_id))
         .write.mode("append")
         .option("compression", COMPRESSION)
         .parquet(status_dir)
     )
-    # The statuses, one row per archive, are what the caller gets; the stage can go.
-    told = spark.createDataFrame(status.collect(), status.schema).unionByName(skipped)
+    told = read_or_none(spark, status_dir, STATUS_SCHEMA).where(F.col("run_id") == run_id).drop("run_id")
     delete(spark, folder)
-    return told
+    return told.unionByName(skipped)
 
 
 def _text_records(stored: DataFrame) -> DataFrame:
@@ -247,12 +241,10 @@ def _text_records(stored: DataFrame) -> DataFrame:
     return stored.withColumn("samples", F.transform("samples", sample)).select(*RECORD_COLUMNS)
 
 
-def _with_silent(status: DataFrame, paths: list[str], root: str) -> DataFrame:
+def _with_silent(status: DataFrame, listed: DataFrame, root: str) -> DataFrame:
     """Add archives that hold no record at all."""
-    spark = status.sparkSession
-    silent = spark.createDataFrame([(path,) for path in paths], "path string")
     nothing = F.lit(0).cast("bigint")
-    return status.unionByName(silent.join(status, "path", "left_anti").select(
+    return status.unionByName(listed.join(status, "path", "left_anti").select(
         "path", *mirrored(F.col("path"), root), F.lit(FAILED).alias("status"),
         nothing.alias("n_rows"), nothing.alias("n_samples"),
         F.lit("no metadata record").alias("error"),
@@ -278,7 +270,7 @@ def _clear(spark: SparkSession, output_dir: str, emptied: DataFrame) -> None:
         return
     stale = old.select("folder", "model_tag", F.col("_metadata.file_path").alias("file"))
     stale = stale.join(emptied.select("folder", "model_tag"), ["folder", "model_tag"], "left_semi")
-    for row in stale.select("file").distinct().collect():
+    for row in stale.select("file").distinct().toLocalIterator():
         delete(spark, row.file, encoded=True)
 
 

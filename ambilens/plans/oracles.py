@@ -535,11 +535,18 @@ with lines as (
 select * exclude (candidate_index), cast(candidate_index as int) as candidate_index
 from ({cleaned("lines")})""",
     "extraction_reruns": f"""
-with {ARCHIVED}, n as (select count(*) as n from files)
-select 0 as run, 'written' as status, n as n_files from n
-union all select 1, 'skipped', n from n
-union all select 1, 'written', 1 union all select 1, 'failed', 1
-union all select 2, 'written', n + 1 from n union all select 2, 'failed', 1""",
+with {ARCHIVED}, n as (select count(*) as n from files),
+held as (
+  select sum(len(string_split(text, chr(10)))) as n_rows, count(*) as n_samples,
+         coalesce(sum(len(string_split(text, chr(10)))) filter (where lang = 'en'), 0) as rows_en,
+         coalesce(count(*) filter (where lang = 'en'), 0) as samples_en
+  from documents)
+select run, status, n_files, n_rows::bigint as n_rows, n_samples::bigint as n_samples from (
+select 0 as run, 'written' as status, n as n_files, n_rows, n_samples from n, held
+union all select 1, 'skipped', n, 0, 0 from n
+union all select 1, 'written', 1, rows_en, samples_en from held union all select 1, 'failed', 1, 0, 0
+union all select 2, 'written', n + 1, n_rows + rows_en, n_samples + samples_en from n, held
+union all select 2, 'failed', 1, 0, 0)""",
     "corpus_csv_strict": f"""
 with {CORPUS} select src, cast(ambiguity as tinyint) as ambiguity, 2 as first_row from corpus""",
     "corpus_csv_lenient": f"""

@@ -30,13 +30,17 @@ import io
 import json
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SUFFIX = ".pkl.gz"
 TABLE_SUFFIX = ".records"
@@ -44,6 +48,9 @@ FORMAT = "gzip_records"
 SPLIT_BYTES = 256 * 1024 * 1024
 _MEMBER = b"\x1f\x8b\x08"
 _READ = 1024 * 1024
+#: Candidates that a task gathers before it hands on records, and bytes of files per task.
+HANDED_CANDIDATES, TASK_BYTES = 4096, 128 * 1024 * 1024
+MAX_TASKS = 50_000
 SPAN = "span"
 END_OF_FILE = -1
 # Records of one member are numbered below these bits.
@@ -113,11 +120,29 @@ class RecordReader(DataSourceReader):
         self.paths = json.loads(options.get("paths", "[]"))
         self.tokens = options.get("tokens", "false").lower() == "true"
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        self.wanted: dict[str, set] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take equalities on ``path`` and ``type``: other files aren't opened, and other
+        records are passed over before their samples become rows.
+
+        Facts of split files and errors are handed on whatever type is asked for, and Spark
+        checks types again.
+        """
+        for one in filters:
+            column = one.attribute[0] if hasattr(one, "attribute") and len(one.attribute) == 1 else None
+            if column in ("path", "type") and isinstance(one, (EqualTo, In)):
+                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                self.wanted[column] = self.wanted.get(column, values) & values
+            if column != "path" or not isinstance(one, (EqualTo, In)):
+                yield one
 
     def partitions(self) -> list[InputPartition]:
         spans: list[InputPartition] = []
         listed = self.paths or [self.path]
         for path, size in (entry for item in listed for entry in list_archives(item)):
+            if "path" in self.wanted and path not in self.wanted["path"]:
+                continue
             if size <= self.split_bytes:
                 spans.append(Span(path, 0, size, True))
                 continue
@@ -134,10 +159,15 @@ class RecordReader(DataSourceReader):
             source, inner = open_filesystem(partition.path)
             with source.open_input_file(inner) as stream:
                 for seq, record in _whole(stream):
-                    yield self._row(partition.path, seq, record)
+                    if self._asked_for(record):
+                        yield self._row(partition.path, seq, record)
         except Exception as error:  # a bad file must not stop the other files
             yield self._failure(partition.path, seq + 1, f"{type(error).__name__}: {error}")
 
+    def _asked_for(self, record: Any) -> bool:
+        wanted = self.wanted.get("type")
+        return wanted is None or not isinstance(record, dict) or _text(record.get("type")) in wanted
+
     def _read_span(self, span: Span) -> Iterator[tuple]:
         """Records of the members that start inside the span, then the span's facts."""
         first = at = None
@@ -329,6 +359,47 @@ def _listed(path: str, directories: bool) -> list[tuple[str, int]]:
     return sorted((prefix + entry.path, entry.size) for entry in found if entry.type == wanted)
 
 
+def spans_of(files: DataFrame, split_bytes: int) -> DataFrame:
+    """``path, start, end, whole`` from ``path, size``: one row per range of a large file."""
+    large = F.col("size") > split_bytes
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    cut = files.withColumn("start", F.explode(F.when(large, starts).otherwise(F.array(F.lit(0).cast("long")))))
+    end = F.when(large, F.least(F.col("start") + split_bytes, F.col("size"))).otherwise(F.col("size"))
+    return cut.select("path", "start", end.alias("end"), (~large).alias("whole"))
+
+
+def read_spans(spans: DataFrame, tokens: bool = False) -> DataFrame:
+    """Records of ``spans``, read by the tasks that the rows go to.
+
+    Nothing about single files passes the driver: it learns the sum of the sizes only.
+    """
+    size, rows = spans.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(rows, MAX_TASKS, max(-(-size // TASK_BYTES), spans.sparkSession.sparkContext.defaultParallelism)))
+    text = record_schema(tokens)
+    schema = to_arrow_schema(T.StructType.fromDDL(text))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RecordReader({"tokens": str(tokens)})
+        for batch in batches:
+            for row in batch.to_pylist():
+                held, candidates = [], 0
+                for record in reader.read(Span(**row)):
+                    held.append(record)
+                    candidates += sum(len(sample[-1]) for sample in record[-2] or ())
+                    if candidates >= HANDED_CANDIDATES or len(held) >= HANDED_CANDIDATES:
+                        yield made(held)
+                        held, candidates = [], 0
+                if held:
+                    yield made(held)
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(column), field.type) for column, field in zip(zip(*held), schema)], schema=schema
+        )
+
+    return spans.repartition(tasks, "path", "start").mapInArrow(read, text)
+
+
 class RecordSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -342,4 +413,6 @@ class RecordSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, whose filters may then reach the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordSource)

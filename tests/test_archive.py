@@ -221,6 +221,54 @@ def test_split_facts_show_what_is_missing(spark, tmp_path):
     assert broken == {name for name, _ in cases()} - {"sound", "several records", "one member"}
 
 
+def test_filters_reach_the_reader(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from ambilens.sources.archive import FORMAT, RecordReader, register
+
+    for name in "abc":
+        write(tmp_path / f"{name}.pkl.gz", metadata(), *[batch(i, [["x"]]) for i in range(4)])
+    one = str(tmp_path / "b.pkl.gz")
+    made = []
+    real = RecordReader._row
+    monkeypatch.setattr(RecordReader, "_row", lambda *args: made.append(1) or real(*args))
+    reader = RecordReader({"path": str(tmp_path)})
+    kind, more = EqualTo(("type",), "metadata"), GreaterThan(("seq",), 0)
+    assert list(reader.pushFilters([In(("path",), (one, "other")), kind, more])) == [kind, more]
+    spans = reader.partitions()
+    assert [s.path for s in spans] == [one]
+    assert [r[2] for s in spans for r in reader.read(s)] == ["metadata"] and len(made) == 1
+    register(spark)
+    loaded = spark.read.format(FORMAT).option("path", str(tmp_path)).load()
+    found = loaded.where((F.col("path") == one) & (F.col("type") == "batch"))
+    assert found.count() == 4 and found.rdd.getNumPartitions() == 1
+
+
+def test_trees_are_listed_by_tasks(spark, tree):
+    from ambilens.sources.listing import list_tree
+
+    (tree / "deep/er/x.records").mkdir(parents=True)
+    write(tree / "deep/er/x.records/inner.pkl.gz", metadata())
+    found = {r.path: (r["size"], r.kind) for r in list_tree(spark, f"{tree}/").collect()}
+    assert found.pop(str(tree / "deep/er/x.records")) == (0, "table")
+    inner = str(tree / "deep/er/x.records/inner.pkl.gz")
+    assert found == {p: (n, "file") for p, n in list_archives(str(tree)) if p != inner}
+    top = str(tree / "top.pkl.gz")
+    assert [r.path for r in list_tree(spark, top).collect()] == [top]
+    assert list_tree(spark, str(tree / "other.txt")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        list_tree(spark, str(tree / "nowhere"))
+
+
+def test_spans_cover_each_file_once(spark):
+    from ambilens.sources.archive import spans_of
+
+    files = spark.createDataFrame([("a", 10), ("b", 25), ("c", 0), ("d", 30)], "path string, size long")
+    spans = sorted(tuple(r) for r in spans_of(files, 10).collect())
+    assert spans == [("a", 0, 10, True), ("b", 0, 10, False), ("b", 10, 20, False), ("b", 20, 25, False), ("c", 0, 0, True),
+                     ("d", 0, 10, False), ("d", 10, 20, False), ("d", 20, 30, False)]
+
+
 def test_roots_keep_their_store(tree, spark, tmp_path):
     write(tree / "a/m.pkl.gz", metadata(), batch(0, [["in a"]]))
     write(tree / "b/m.pkl.gz", metadata(), batch(0, [["in b"]]))
@@ -311,3 +359,15 @@ def test_nested_tables_flatten_like_archives(spark, tmp_path, rows):
     lines = spark.read.schema(records.schema).json(str(tmp_path / "lines"))
     assert rows(archive.flatten_candidates(archive.carry_metadata(lines))) == direct
     assert len(direct) == 2
+
+
+def test_documents_with_nulls_become_archives(spark, tmp_path):
+    from ambilens.plans import stored
+
+    rows_in = [(1, "a\nb", None, "s", 3), (2, None, "en", None, None), (None, "x", "en", "s", 1), (3, "c", "en", "s", 1)]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long")
+    assert stored.write_archives(docs, str(tmp_path / "raw")) == 3
+    extract.extract_archives(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    found = extract.read_candidates(spark, str(tmp_path / "out"))
+    assert sorted((r.folder, r.source_index, r.raw_text) for r in found.collect()) == [
+        ("en", 3, "c"), ("none", 1, "a"), ("none", 1, "b")]
