@@ -88,7 +88,11 @@ def segments(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, list[tuple[
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """Encoder for the ranks in ``path``; the end-of-text string is a special token."""
+    """Encoder for the ranks in ``path``; the end-of-text string is a special token.
+
+    A text that the fast encoder refuses (its patterns give up on runs of about a million
+    blanks) is encoded by the slower one, from the same vocabulary's file for it.
+    """
     import base64
 
     import public_tokenizers
@@ -100,7 +104,22 @@ def byte_bpe(path: str):
         "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
         special_tokens={"<|endoftext|>": len(ranks)},
     )
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except Exception:  # whatever it can't do, the other one decides
+            found = whole_tokenizer(path.removesuffix(".tiktoken") + ".json")
+            return np.array(found.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
+@lru_cache(maxsize=2)
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def default_ranks() -> str:
@@ -171,6 +190,7 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, ranks: str | None = No
     """Pieces of ``docs`` (doc_id, text; others are ignored) with their place in a sequence.
 
     A null or empty text is one piece that holds the end id. A null doc_id stays null.
-    Repeated rows are packed as often as they occur.
+    Repeated rows are packed as often as they occur. A text of any length is encoded as a
+    whole, since ids depend on their surroundings; its pieces go out as they are cut.
     """
     return pack(stage(token_pieces(docs, size, ranks), "pieces"), size)

@@ -113,6 +113,19 @@ def test_special_token_text_like_the_tokenizer(spark):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_like_the_tokenizer(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 10_000_000, "x" + "\n" * 2_000_000 + "<|endoftext|>y", " \t" * 1_000_000 + "z", "ab" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(list)
+    for r in packing.token_pieces(docs).collect():
+        found[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for doc, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        cuts = [ids[at : at + 2048] for at in range(0, len(ids), 2048)]
+        assert sorted(found[doc]) == [(2048 * i, len(c), crc32(c.tobytes()), len(ids)) for i, c in enumerate(cuts)]
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     rows = packing.pack_documents(odd_docs).collect()
     assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(r.doc_id for r in odd_docs.select("doc_id").collect())
