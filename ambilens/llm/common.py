@@ -43,13 +43,15 @@ def rank_within(
 ) -> DataFrame:
     """Number the rows of each group from 0, without a task that sees a whole group.
 
-    Rows of a group spread over hash buckets of the order columns. The counts of the
+    Rows of a group spread over buckets, by a hash of the order columns and of the
+    partition they are read in, so that equal rows spread as well. The counts of the
     buckets (at most ``RANK_BUCKETS`` rows a group) give each bucket its first number;
     within a bucket, rows are numbered by the order columns. Equal rows get different
-    numbers. ``df`` is read twice, so it should be a stored table. ``buckets`` is the
-    number for the row's group where it is known to need fewer.
+    numbers. ``df`` is read twice, so it has to be a stored table, with nothing but
+    projections and broadcast joins behind it. ``buckets`` is the number for the row's
+    group where it is known to need fewer.
     """
-    hashed = F.xxhash64(*[F.col(c) for c in order])
+    hashed = F.xxhash64(*[F.col(c) for c in order], F.spark_partition_id())
     count = F.lit(RANK_BUCKETS) if buckets is None else F.least(buckets, F.lit(RANK_BUCKETS))
     dealt = df.withColumn("__bucket", F.pmod(hashed, count).cast("int"))
     keys = [*group, "__bucket"]

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ambilens.llm.common import rank_within
 from ambilens.operators.ordinals import with_ordinal
 from ambilens.operators.skew import lookup_join
 from ambilens.session import stage
@@ -101,7 +102,8 @@ def _cutoffs(ranked: DataFrame, sources: DataFrame) -> DataFrame:
     """``sources`` with the place in the ranking up to which a source takes one more copy.
 
     ``__cut`` is the bucket where the owed words are reached (null: all are taken) and
-    ``__last`` the last row taken in it (null: none).
+    ``__last`` the last row taken in it (null: none). Of the ``__rows`` rows equal to it,
+    ``__taken`` are taken.
     """
     buckets = ranked.groupBy("__key", F.coalesce("__b", F.lit(BUCKETS)).alias("__b")).agg(
         F.sum(F.when(F.col("__q").isNotNull(), F.col("__size")).otherwise(0)).alias("__words"),
@@ -117,22 +119,31 @@ def _cutoffs(ranked: DataFrame, sources: DataFrame) -> DataFrame:
         .where((F.col("__b") < BUCKETS) & (F.col("__start") <= F.col("__owed")) & (F.col("__owed") < F.col("__end")))
         .select("__key", "__b", "__owed", "__start"), "mix-cut",
     )
-    # Only rows of the crossing buckets are put in order: 1 in BUCKETS of a source.
+    # Only rows of the crossing buckets are put in order: 1 in BUCKETS of a source, and
+    # equal rows are one by then.
     order = ["__q", "__id", "__u"]
-    inside = Window.partitionBy("__key", "__b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inside = Window.partitionBy("__key", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    equal = (
+        ranked.where("__q is not null").join(cut, ["__key", "__b"])
+        .groupBy("__key", "__b", *order, "__owed", "__start", "__size").agg(F.count("*").alias("__rows"))
     )
-    running = F.col("__start") + F.sum("__size").over(inside)
+    before = F.col("__start") + F.coalesce(F.sum(F.col("__size") * F.col("__rows")).over(inside), F.lit(0))
     # The row that crosses is taken if that ends nearer to what is owed.
+    rest = F.col("__left") - F.col("__fit") * F.col("__size")
     taken = (
-        ranked.where("__q is not null").join(cut, ["__key", "__b"])
-        .withColumn("__at", running - F.col("__owed"))
-        .where((F.col("__at") <= 0) | ((F.col("__at") < F.col("__size")) & (F.col("__at") < F.col("__size") - F.col("__at"))))
+        equal.withColumn("__left", F.col("__owed") - before)
+        .withColumn("__fit", F.floor(F.col("__left") / F.col("__size")))
+        .withColumn("__taken", F.least("__rows", F.col("__fit") + (F.col("__size") - rest < rest).cast("long")))
+        .where("__taken > 0")
+    )
+    last = taken.groupBy("__key").agg(F.max(F.struct(*order, "__taken", "__rows")).alias("__end"))
+    ended = last.select(
+        "__key", F.struct(*[F.col(f"__end.{c}") for c in order]).alias("__last"),
+        F.col("__end.__taken").alias("__taken"), F.col("__end.__rows").alias("__rows"),
     )
-    last = taken.groupBy("__key").agg(F.max(F.struct(*order)).alias("__last"))
     return (
         sources.join(cut.select("__key", F.col("__b").alias("__cut")), "__key", "left")
-        .join(last, "__key", "left")
+        .join(ended, "__key", "left")
     )
 
 
@@ -153,12 +164,22 @@ def _prepared(docs: DataFrame, columns: Sequence[str], weights: Sequence[int], m
     return ranked, stage(_cutoffs(ranked, rates), "mix-cutoffs")
 
 
-def _copies() -> Column:
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """Add ``__copies``. Of equal rows where a source ends, the first so many are taken.
+
+    Which of them are first doesn't matter, so they are numbered by where they lie.
+    """
     here = F.struct("__q", "__id", "__u")
+    partial = F.coalesce((here == F.col("__last")) & (F.col("__taken") < F.col("__rows")), F.lit(False))
     more = F.col("__cut").isNull() | (F.col("__b") < F.col("__cut")) | (
-        (F.col("__b") == F.col("__cut")) & F.coalesce(here <= F.col("__last"), F.lit(False))
+        (F.col("__b") == F.col("__cut"))
+        & F.coalesce((here < F.col("__last")) | ((here == F.col("__last")) & (F.col("__nth") < F.col("__taken"))), F.lit(False))
+    )
+    edge = stage(rows.where(partial), "mix-edge")
+    numbered = rank_within(edge, ["__key"], ["__id"], "__nth").select(*rows.columns, "__nth")
+    return rows.where(~partial).withColumn("__nth", F.lit(0).cast("long")).unionByName(numbered).withColumn(
+        "__copies", F.col("__whole") + (F.col("__q").isNotNull() & F.coalesce(more, F.lit(False))).cast("long")
     )
-    return F.col("__whole") + (F.col("__q").isNotNull() & F.coalesce(more, F.lit(False))).cast("long")
 
 
 def mix(
@@ -170,14 +191,15 @@ def mix(
     copies of a document grow with its length, by 4 + the bits of its word count, so
     that inclusion is unequal within a source, and are at most ``max_copies``. Null
     texts and texts without words have size 0 and no copy. Null sources are one
-    source. Rows with the same doc_id and text share a rank and are taken together.
-    An empty table gives an empty one.
+    source. Rows with the same doc_id and text share a rank; where a source ends among
+    them, so many of them are taken as fit. An empty table gives an empty one.
     """
     ranked, sources = _prepared(docs, ["doc_id", "source"], weights, max_copies)
-    cutoffs = sources.select("__key", "__cut", "__last")
-    return lookup_join(ranked, cutoffs, ["__key"], how="inner", spread=["__id", "__u"]).select(
+    cutoffs = sources.select("__key", "__cut", "__last", "__taken", "__rows")
+    rows = lookup_join(ranked, cutoffs, ["__key"], how="inner", spread=["__id", "__u"])
+    return _with_copies(rows).select(
         "doc_id", F.col("__size").alias("size"), "source_size", "target",
-        _copies().alias("copies"), (_copies() * F.col("__size")).alias("taken"),
+        F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"),
     )
 
 
@@ -190,9 +212,9 @@ def repeat(
     not shuffled.
     """
     _, sources = _prepared(docs, ["doc_id", "source"], weights, max_copies)
-    rows = _decided(_facts(docs, docs.columns), sources.drop("source_size", "target"), max_copies)
-    copies = F.array_repeat(F.lit(0), _copies().cast("int"))
-    return rows.select(*docs.columns, F.explode(copies).alias("__copy")).drop("__copy")
+    rows = _decided(_facts(docs, docs.columns), sources.drop("source", "source_size", "target"), max_copies)
+    copies = F.array_repeat(F.lit(0), F.col("__copies").cast("int"))
+    return _with_copies(rows).select(*docs.columns, F.explode(copies).alias("__copy")).drop("__copy")
 
 
 def _key(source: str) -> Column:

@@ -3,12 +3,13 @@ from collections import Counter, defaultdict
 from itertools import product
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ambilens.llm import mixing, shards
-from ambilens.llm.queries import op2_min_cost_resharding, op8_pareto_mixing
+from ambilens.llm.queries import LLM_ORACLES, op2_min_cost_resharding, op8_pareto_mixing
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +48,29 @@ def test_mix_near_targets(spark):
     assert again == {(r.doc_id, r.taken) for r in found}
 
 
+def test_repeated_rows_end_near_the_target(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.integers(50, 400)), "a") for i in range(300)]
+    rows += [(7777, "v " * 400, "a")] * 200 + [(9000 + i, "x " * 300, "b") for i in range(40)] + [(99995, "w w", "c")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    sources = {d: s for d, _, s in rows}
+    for r in found:
+        taken[sources[r.doc_id]] += r.taken
+        target[sources[r.doc_id]] = r.target
+    for source, most in (("a", 400), ("b", 300), ("c", 2)):
+        assert abs(taken[source] - target[source]) <= most / 2, source
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    theirs = db.execute(LLM_ORACLES["op8_pareto_mixing"]).fetchall()
+    ours = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    plain = lambda rows: Counter((d, s, n, round(t, 6), k) for d, s, n, t, k in rows)
+    assert plain(ours) == plain(theirs)
+    copies = Counter(r.doc_id for r in mixing.repeat(docs).collect())
+    assert copies == {d: n for d in sources if (n := sum(r.copies for r in found if r.doc_id == d))}
+
+
 def test_inclusion_follows_length_and_stops_at_the_limit(spark):
     rows = [(i, "w " * (2 ** (i % 10)), "only", "en") for i in range(300)] + [(1000, "w", "tiny", "en")]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
