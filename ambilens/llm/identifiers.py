@@ -81,10 +81,14 @@ def count(docs: DataFrame) -> DataFrame:
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 counts[:CELLS] += transitions(states("\n".join(texts)))
                 for text in texts:
-                    for _, _, end, value in base_spans(text):
-                        labelled = transitions(states(text[value:end]))
-                        counts[CELLS:] += labelled
-                        counts[:CELLS] -= labelled
+                    done = 0
+                    for value, end in sorted((value, end) for _, _, end, value in base_spans(text)):
+                        # Spans of several kinds may overlap; each character counts once.
+                        if end > done:
+                            labelled = transitions(states(text[max(value, done) : end]))
+                            counts[CELLS:] += labelled
+                            counts[:CELLS] -= labelled
+                            done = end
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
 
