@@ -49,17 +49,18 @@ COUNTER_CUES = "version v build isbn issn section figure order invoice item part
 
 BUCKETS = 4096
 CONTEXT = 32
-ROUNDS = 30
+ROUNDS, SETTLED = 500, 1e-7
 #: What a labeler's votes are expected to be on personal data and on other spans, in the
-#: order of the labelers. The expectation weighs as much as PRIOR_SHARE of all spans, at
-#: any size: few spans can't turn a failed check digit into a sign of a card.
+#: order of the labelers: where the estimates begin. It weighs as much as PRIOR_SPANS spans
+#: of each class, so few spans can't turn a failed check digit into a sign of a card, and
+#: many decide for themselves.
 EXPECTED = (
-    ({1: 0.88, 0: 0.10, -1: 0.02}, {1: 0.10, 0: 0.20, -1: 0.70}),
-    ({1: 0.70, 0: 0.20, -1: 0.10}, {1: 0.30, 0: 0.20, -1: 0.50}),
-    ({1: 0.20, 0: 0.75, -1: 0.05}, {1: 0.05, 0: 0.75, -1: 0.20}),
-    ({1: 0.90, 0: 0.05, -1: 0.05}, {1: 0.60, 0: 0.05, -1: 0.35}),
+    ({1: 0.98, -1: 0.02}, {1: 0.12, -1: 0.88}),
+    ({1: 0.88, -1: 0.12}, {1: 0.38, -1: 0.62}),
+    ({1: 0.80, -1: 0.20}, {1: 0.20, -1: 0.80}),
+    ({1: 0.95, -1: 0.05}, {1: 0.63, -1: 0.37}),
 )
-PRIOR_SHARE = 0.5
+PRIOR_SPANS = 10
 THRESHOLD = 0.5
 
 _SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
@@ -193,7 +194,7 @@ def candidates(docs: DataFrame, name: str = "candidates") -> DataFrame:
     return docs.withColumn(name, F.concat(*found))
 
 
-def fit_labelers(counts: dict[tuple[str, str], int], rounds: int = ROUNDS) -> dict[tuple[str, str], float]:
+def fit_labelers(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
     """Probability of being personal data for each (kind, votes), by EM.
 
     The latent class of a span decides each labeler's vote, independently; a labeler's
@@ -201,28 +202,47 @@ def fit_labelers(counts: dict[tuple[str, str], int], rounds: int = ROUNDS) -> di
     """
     kinds = sorted({k for k, _ in counts})
     votes = {key: tuple(map(int, key[1].split(","))) for key in counts}
-    everything = sum(counts.values())
     rate = [{+1: dict(yes), -1: dict(no)} for yes, no in EXPECTED]
     prior = dict.fromkeys(kinds, 0.5)
     posterior: dict[tuple[str, str], float] = {}
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
+        before, posterior = posterior, {}
         for key in counts:
-            yes = math.log(prior[key[0]]) + sum(math.log(rate[i][+1][v]) for i, v in enumerate(votes[key]))
-            no = math.log(1 - prior[key[0]]) + sum(math.log(rate[i][-1][v]) for i, v in enumerate(votes[key]))
+            yes = math.log(prior[key[0]]) + sum(math.log(rate[i][+1][v]) for i, v in enumerate(votes[key]) if v)
+            no = math.log(1 - prior[key[0]]) + sum(math.log(rate[i][-1][v]) for i, v in enumerate(votes[key]) if v)
             posterior[key] = 1 / (1 + math.exp(min(700.0, no - yes)))
+        if before and max(abs(posterior[key] - before[key]) for key in counts) < SETTLED:
+            break
         for kind in kinds:
             own = [key for key in counts if key[0] == kind]
             n = sum(counts[key] for key in own)
             prior[kind] = (1 + sum(counts[key] * posterior[key] for key in own)) / (2 + n)
-        for i, expected in enumerate(EXPECTED):
-            for side in (+1, -1):
-                weight = 1 + PRIOR_SHARE * everything
-                mass = {v: weight * r for v, r in expected[0 if side > 0 else 1].items()}
-                for key, n in counts.items():
-                    mass[votes[key][i]] += n * (posterior[key] if side > 0 else 1 - posterior[key])
-                total = sum(mass.values())
-                rate[i][side] = {v: m / total for v, m in mass.items()}
-    return posterior
+        rate = reliabilities(counts, posterior, PRIOR_SPANS)
+    # The classes have no names of their own: personal is what most labelers vote for.
+    agree = sum(1 if one[+1][1] > one[-1][1] else -1 for one in rate)
+    return posterior if agree >= 0 else {key: 1 - p for key, p in posterior.items()}
+
+
+def reliabilities(
+    counts: dict[tuple[str, str], int], posterior: dict[tuple[str, str], float], prior_spans: float = 0
+) -> list[dict[int, dict[int, float]]]:
+    """Share of each labeler's votes for and against, on personal data (1) and on other spans (-1).
+
+    A labeler without opinion says nothing about a span: the loose patterns, say, have no
+    checks of their own, and that makes them neither right nor wrong.
+    """
+    rates = []
+    for i, expected in enumerate(EXPECTED):
+        sides = {}
+        for side in (+1, -1):
+            mass = {v: prior_spans * r for v, r in expected[0 if side > 0 else 1].items()}
+            for key, n in counts.items():
+                if vote := int(key[1].split(",")[i]):
+                    mass[vote] += n * (posterior[key] if side > 0 else 1 - posterior[key])
+            total = sum(mass.values()) or 1
+            sides[side] = {v: m / total for v, m in mass.items()}
+        rates.append(sides)
+    return rates
 
 
 def fit(found: DataFrame, name: str = "candidates") -> list[float]:

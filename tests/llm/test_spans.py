@@ -97,6 +97,16 @@ def test_markov_finds_unlabelled_strings_and_leaves_words(spark):
     assert spans[60] == [("markov", 13, 45)] and spans[61] == [] and spans[62] == []
 
 
+def test_overlapping_spans_count_once(spark):
+    value = "0123456789abcdef" * 2
+    rows = {r.cell: r.n for r in identifiers.count(spark.createDataFrame([(f'token="{value}" x',)], "text string")).collect()}
+    found = np.zeros(2 * identifiers.CELLS, int)
+    found[list(rows)] = list(rows.values())
+    own = identifiers.transitions(identifiers.states(value))
+    every = identifiers.transitions(identifiers.states(f'token="{value}" x'))
+    assert (found[identifiers.CELLS :] == own).all() and (found[: identifiers.CELLS] == every - own).all()
+
+
 def test_transitions_in_blocks():
     text = "ab9" * 700_000
     counts = identifiers.transitions(identifiers.states(text)).reshape(identifiers.STATES, -1)
@@ -113,6 +123,26 @@ def test_labelers_learn_from_agreement():
     assert pii.fit_labelers({k: 1000 * n for k, n in counts.items()}).keys() == p.keys()
 
 
+def test_labelers_are_estimated_at_any_size():
+    """Generated votes: two labelers 97 % right, one always wrong, one without opinion."""
+    for n, near in ((100_000, 0.02), (2000, 0.05)):
+        rng = random.Random(n)
+        counts, personal = {}, {}
+        for _ in range(n):
+            truth = 1 if rng.random() < 0.1 else -1
+            right = lambda: truth if rng.random() < 0.97 else -truth  # noqa: E731, B023
+            key = "email", f"{right()},{-truth},0,{right()}"
+            counts[key] = counts.get(key, 0) + 1
+            personal[key] = personal.get(key, 0) + (truth > 0)
+        posterior = pii.fit_labelers(counts)
+        for key, count in counts.items():
+            if count > n / 100:  # patterns of several wrong votes are few
+                assert abs(posterior[key] - personal[key] / count) < near, key
+        for i, right in ((0, 0.97), (1, 0.0), (3, 0.97)):
+            for side in (1, -1):
+                assert abs(pii.reliabilities(counts, posterior)[i][side][side] - right) < 0.05
+
+
 def test_classifier_adds_loose_forms_with_cues(spark):
     texts = [f"please call phone +1 (555) 555-{1000 + i} or mail a{i}@b.com" for i in range(50)]
     texts += ["phone (555) 555-1234 today", "isbn page no 4111111111111112 xx"]
