@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,39 +42,65 @@ def letters() -> np.ndarray:
     return table
 
 
-def pieces(texts: list[str], limit: int = CHUNK_CHARS) -> tuple[list[str], np.ndarray]:
-    """``texts`` with long ones cut, where there is one, at a space, and whose piece each is.
+def blocks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets, their text's number and letters per text, for blocks of about ``limit`` characters.
 
-    Bounds the arrays that a very long text needs; n-grams across a cut are not counted.
+    What is counted doesn't depend on ``limit``: a longer text is read in slices that
+    take the symbols before them along.
     """
-    parts, owner = [], []
-    for number, text in enumerate(texts):
-        begin = 0
-        while len(text) - begin > limit:
-            end = text.rfind(" ", begin + limit // 2, begin + limit)
-            end = end if end > 0 else begin + limit
-            parts.append(text[begin:end])
-            owner.append(number)
-            begin = end
-        parts.append(text[begin:])
-        owner.append(number)
-    return parts, np.array(owner, np.int64)
-
-
-def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Buckets, their text's number and letters per text, for blocks of bounded size."""
-    parts, whose = pieces(texts)
     begin = 0
-    while begin < len(parts):
+    while begin < len(texts):
+        if len(texts[begin]) > limit:
+            for buckets, found in slices(texts[begin], limit):
+                letters_found = np.zeros(len(texts), np.int64)
+                letters_found[begin] = found
+                yield buckets, np.full(len(buckets), begin), letters_found
+            begin += 1
+            continue
         end, size = begin, 0
-        while end < len(parts) and (end == begin or size + len(parts[end]) <= CHUNK_CHARS):
-            size += len(parts[end])
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= limit):
+            size += len(texts[end])
             end += 1
-        buckets, owner, found = grams(parts[begin:end])
-        yield buckets, whose[begin:end][owner], np.bincount(whose[begin:end], found, len(texts))
+        buckets, owner, found = grams(texts[begin:end])
+        yield buckets, owner + begin, np.bincount(np.arange(begin, end), found, len(texts)).astype(np.int64)
         begin = end
 
 
+def slices(text: str, limit: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Buckets of the n-grams of a text, and letters, slice by slice: those that end in it."""
+    before, after_letter = np.zeros(0, np.uint32), False
+    edge = np.zeros(1, np.uint32)
+    for begin in range(0, len(text), limit):
+        low = letters()[np.frombuffer(text[begin : begin + limit].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        is_letter = low > 0
+        keep = is_letter | np.concatenate([[after_letter], is_letter[:-1]])
+        after_letter = bool(is_letter[-1])
+        first, last = begin == 0, begin + limit >= len(text)
+        symbols = np.concatenate([before, edge[: int(first)], low[keep], edge[: int(last)]])
+        found = []
+        for order, buckets in hashed(symbols):
+            start = max(0, len(before) - order + 1)
+            if order == 1:  # the edges themselves are no n-gram
+                found.append(buckets[start + first : len(buckets) - last])
+            else:
+                found.append(buckets[start:])
+        yield np.concatenate(found) if found else np.zeros(0, np.uint32), int(is_letter.sum())
+        before = symbols[-max(ORDERS) + 1 :]
+
+
+def hashed(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Per order, the bucket of the n-gram that begins at each symbol."""
+    rolling = np.zeros(len(symbols), np.uint32)
+    for order in range(1, max(ORDERS) + 1):
+        n = len(symbols) - order + 1
+        if n <= 0:
+            return
+        rolling = (rolling[:n] + symbols[order - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        rolling ^= rolling >> np.uint32(15)
+        if order in ORDERS:
+            yield order, (rolling * np.uint32(0x85EBCA6B) + np.uint32(order)) >> np.uint32(16)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of ``texts``, the text of each, and the texts' letter counts.
 
@@ -94,22 +121,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low, owner, edge = low[keep], owner[keep], edge[keep]
     found = np.bincount(owner[low > 0], minlength=len(texts))
     all_hashes, all_owners = [], []
-    rolling = np.zeros(len(low), np.uint32)
     # A separator ends one text and begins the next; an n-gram stays in one text.
     begins = np.cumsum(edge)
     ends = begins - edge
-    for order in range(1, max(ORDERS) + 1):
-        n = len(low) - order + 1
-        if n <= 0:
-            break
-        rolling = (rolling[:n] + low[order - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
-        rolling ^= rolling >> np.uint32(15)
-        if order not in ORDERS:
-            continue
-        inside = ends[order - 1 :] == begins[:n]
-        mixed = rolling * np.uint32(0x85EBCA6B) + np.uint32(order)
-        all_hashes.append((mixed >> np.uint32(16))[inside])
-        all_owners.append(owner[:n][inside])
+    for order, buckets in hashed(low):
+        inside = ends[order - 1 :] == begins[: len(buckets)]
+        all_hashes.append(buckets[inside])
+        all_owners.append(owner[: len(buckets)][inside])
     return np.concatenate(all_hashes), np.concatenate(all_owners), found
 
 
@@ -170,16 +188,22 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit on ``docs`` (text, lang), all languages equally likely beforehand.
 
-    At most BUCKETS rows per language reach the driver; more than MAX_LANGS languages
-    are an error. Without labelled rows the model knows no language.
+    Rows that repeat count as often as they do; columns but text and lang are ignored.
+    One packed row of BUCKETS counts per language reaches the driver, MAX_LANGS at most
+    (128 MB); more languages are an error. Without labelled rows the model knows none.
     """
     counts = stage(train_counts(docs), "lang-counts")
     langs = sorted(row.lang for row in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"More than {MAX_LANGS} languages")
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        row = np.bincount(group["bucket"], group["n"], BUCKETS)
+        return pd.DataFrame({"lang": group["lang"][:1], "row": [row.astype("<f8").tobytes()]})
+
     dense = np.zeros((BUCKETS, len(langs)))
-    table = counts.toPandas()
-    dense[table["bucket"].to_numpy(), np.searchsorted(langs, table["lang"].to_numpy(str))] = table["n"].to_numpy()
+    for row in counts.groupBy("lang").applyInPandas(pack, "lang string, row binary").toLocalIterator():
+        dense[:, langs.index(row.lang)] = np.frombuffer(row.row, "<f8")
     dense += SMOOTHING
     return Model(langs, np.log(dense / dense.sum(axis=0)).astype(np.float32))
 
@@ -191,7 +215,8 @@ def predict(
     """Columns ``keep`` with the language and its score, called ``names``, of each whole text.
 
     ``und`` and 0 for a text that is null or has no letter, and for all texts if the
-    model knows no language. Ties go to the first language by name.
+    model knows no language. Ties go to the first language by name. One row per row,
+    repeated ones included; columns that aren't kept are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * MAX_LANGS floats at most
 

@@ -20,9 +20,17 @@ def test_grams_stay_in_their_text():
     assert (owner == 0).sum() == 7
 
 
-def test_long_texts_are_cut_not_dropped():
-    parts, owner = language.pieces(["one two three", "x"], limit=6)
-    assert "".join(parts[:-1]) == "one two three" and parts[-1] == "x" and owner.tolist() == [0] * (len(parts) - 1) + [1]
+def test_counts_do_not_depend_on_the_slices():
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("abé 1.\n😀"), n)) for n in (0, 1, 2, 5, 40, 300, 0, 7, 90)] + ["." * 50, "x" * 50, "a..........b"]
+    want = [Counter(language.grams([t])[0].tolist()) for t in texts]
+    for limit in (1, 2, 3, 7, 50, 1000):
+        found, letters = [Counter() for _ in texts], np.zeros(len(texts))
+        for buckets, owner, letters_found in language.blocks(texts, limit):
+            for bucket, text in zip(buckets.tolist(), owner.tolist()):
+                found[text][bucket] += 1
+            letters += letters_found
+        assert found == want and letters.tolist() == [sum(map(str.isalpha, t)) for t in texts], limit
 
 
 def test_held_out_accuracy(spark):
