@@ -35,10 +35,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lie by source in 12 shards of very unequal size go to 16 equal ones."""
+    """Documents that lie by source in 12 shards of very unequal size go to 16 equal ones:
+    what the rewritten files hold."""
     docs = documents(spark, sf_dir)
     by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(12))
-    placed, _ = shards.reshard(docs, by_source)
+    placed, _ = shards.reshard_files(docs, by_source)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ambilens.session import stage
+from ambilens.session import scratch_path, stage
 
 SHARDS = 16
 BLOCKS = 512
@@ -143,13 +143,22 @@ def plan_moves(
 
 
 def facts(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
+    return docs.select("doc_id", *measures(), old_shard.cast("int").alias("old_shard")).withColumn(
+        "block", block_of(F.col("text_crc32"), blocks)
+    )
+
+
+def measures() -> list[Column]:
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return [size.alias("size"), crc32_of("text").alias("text_crc32")]
+
+
+def crc32_of(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def block_of(crc32: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), crc32), F.lit(blocks)).cast("int")
 
 
 def reshard(
@@ -193,12 +202,50 @@ def rewrite(
         return []
     old = spark.read.parquet(old_path)
     columns = [c for c in old.columns if c != "shard"]
-    keyed = old.where(F.col("shard").isin(plan.affected)).withColumn(
-        "__block", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
-    )
+    keyed = old.where(F.col("shard").isin(plan.affected)).withColumn("__block", block_of(crc32_of("text"), blocks))
     table = spark.createDataFrame(
         [(o, b, j) for o, b, j, _ in plan.blocks], "shard int, __block int, __to int"
     )
     moved = keyed.join(F.broadcast(table), ["shard", "__block"])
     moved.select(*columns, F.col("__to").alias("shard")).write.partitionBy("shard").parquet(new_path)
     return plan.affected
+
+
+def reshard_files(
+    docs: DataFrame, old_shard: Column, shards: int = SHARDS, blocks: int = BLOCKS
+) -> tuple[DataFrame, Plan]:
+    """``doc_id, size, text_crc32, shard, slot, old_shard`` as the files say after :func:`rewrite`.
+
+    ``docs`` (doc_id, text) are laid out in their old shards, planned from there, and the
+    affected shards rewritten; then all shards are read back from where they lie now.
+    Otherwise like :func:`reshard`.
+    """
+    spark = docs.sparkSession
+    old_path, new_path = scratch_path(spark, "shards-old"), scratch_path(spark, "shards-new")
+    number = old_shard.cast("int")
+    laid = docs.select("doc_id", "text", number.alias("old_shard"), number.alias("shard"))
+    laid.write.option("compression", "zstd").partitionBy("shard").parquet(old_path)
+    old = spark.read.schema(laid.schema).parquet(old_path)
+    _, plan = reshard(old, F.col("shard"), shards, blocks)
+    written = rewrite(spark, old_path, new_path, plan, blocks)
+    now = old.where(~F.col("shard").isin(written))
+    if written:
+        now = now.unionByName(spark.read.schema(laid.schema).parquet(new_path))
+    return slots(now, blocks, ["old_shard"]), plan
+
+
+def slots(placed: DataFrame, blocks: int = BLOCKS, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot`` of rows with ``doc_id, text, shard``; ``keep`` too.
+
+    Slots are gapless from 0 in each shard: by hash block, then doc_id.
+    """
+    known = placed.select("doc_id", *measures(), "shard", *keep)
+    rows = stage(known.withColumn("block", block_of(F.col("text_crc32"), blocks)), "shard-slots")
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).select(  # shards * blocks rows
+        "shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first")
+    )
+    order = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
+    return rows.join(F.broadcast(first), ["shard", "block"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("__first") + F.row_number().over(order) - 1).alias("slot"), *keep
+    )

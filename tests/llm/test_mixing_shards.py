@@ -157,6 +157,21 @@ def test_reshard_odd_rows(spark, odd_docs, no_docs):
     assert empty.count() == 0 and plan.affected == []
 
 
+def test_files_say_what_the_plan_says(spark, sf_docs, odd_docs, no_docs):
+    where = F.when(F.col("doc_id") < 120, 0).otherwise(F.pmod("doc_id", F.lit(3)) + 1).cast("int")
+    planned = {(r.doc_id, r.text_crc32): r.shard for r in shards.reshard(sf_docs, where, shards=5)[0].collect()}
+    found, plan = shards.reshard_files(sf_docs, where, shards=5)
+    rows = found.collect()
+    assert {(r.doc_id, r.text_crc32): r.shard for r in rows} == planned
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and plan.affected
+    odd = shards.reshard_files(odd_docs, F.lit(0), shards=3)[0]
+    assert odd.count() == odd_docs.count() and odd.select(F.sum("size")).first()[0] == shards.reshard(odd_docs, F.lit(0))[0].select(F.sum("size")).first()[0]
+    assert shards.reshard_files(no_docs, F.lit(0))[0].count() == 0
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path, sf_docs):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     where = F.when(F.col("doc_id") < 150, 0).otherwise(F.pmod("doc_id", F.lit(3)) + 1).cast("int")
