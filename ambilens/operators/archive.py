@@ -7,15 +7,19 @@ records of a path) and, from the archive source, ``error``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ambilens.functions.text import clean_translation
 from ambilens.operators.skew import fits_broadcast
 
 METADATA, BATCH = "metadata", "batch"
 CHUNK = 4096
+#: Bytes of samples, as :func:`nested_bytes` counts them, that one batch record should hold.
+BATCH_BYTES = 128 * 1024 * 1024
 
 CANDIDATE_COLUMNS = (
     "source_index", "row_number", "source_text", "ambiguity", "model", "model_type",
@@ -184,21 +188,46 @@ def candidates_per_path(batches: DataFrame) -> DataFrame:
     )
 
 
+def nested_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes: its texts, and 8 for any other leaf."""
+    if isinstance(kind, T.StructType):
+        parts = [nested_bytes(value[f.name], f.dataType) for f in kind.fields]
+        return F.coalesce(reduce(Column.__add__, parts, F.lit(8).cast("long")), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        total = F.aggregate(
+            value, F.lit(8).cast("long"), lambda acc, one: acc + nested_bytes(one, kind.elementType)
+        )
+        return F.coalesce(total, F.lit(8).cast("long"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return (F.coalesce(F.octet_length(value), F.lit(0)) + 8).cast("long")
+    return F.lit(8).cast("long")
+
+
 def batch_records(
-    samples: DataFrame, batch_size: int = 128, keys: Sequence[str] = ()
+    samples: DataFrame, batch_size: int = 128, keys: Sequence[str] = (), batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """Group samples with an ``index`` into stored batch records.
 
-    A group holds at most ``batch_size`` samples per key, by construction.
+    A group holds at most ``batch_size`` samples per key, by construction. One whose
+    samples take more than ``batch_bytes`` is cut where their running size passes each
+    multiple of it, so a record holds at most that and one sample.
     """
     fields = [name for name in samples.columns if name not in keys and name != "index"]
-    slot = F.floor(F.col("index") / batch_size).alias("batch")
+    slot = F.floor(F.col("index") / batch_size)
+    sizes = [nested_bytes(F.col(f"`{name}`"), samples.schema[name].dataType) for name in fields]
+    before = Window.partitionBy(*keys, "batch").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (
+        samples.withColumn("batch", slot)
+        .withColumn("__bytes", reduce(Column.__add__, sizes, F.lit(0).cast("long")))
+        .withColumn("__part", F.floor(F.coalesce(F.sum("__bytes").over(before), F.lit(0)) / batch_bytes))
+    )
     return (
-        samples.groupBy(*keys, slot)
+        cut.groupBy(*keys, "batch", "__part")
         .agg(
             F.min("index").alias("start_index"),
             (F.max("index") + 1).alias("end_index"),
             F.sort_array(F.collect_list(F.struct("index", *fields))).alias("samples"),
         )
+        .drop("__part")
         .withColumn("type", F.lit(BATCH))
     )

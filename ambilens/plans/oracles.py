@@ -218,6 +218,12 @@ def prompt(template: str, **slots: str) -> str:
     return text
 
 
+def quoted(text: str) -> str:
+    """A text as an SQL literal; line breaks are spelled out."""
+    parts = (f"'{part}'" for part in text.replace("'", "''").split("\n"))
+    return "(" + " || chr(10) || ".join(parts) + ")"
+
+
 CORPUS = """
 corpus as (
   select l.doc_id as index, d.text as src, l.toxic as ambiguity
@@ -572,7 +578,21 @@ with {SENTENCES}, ordered as (
          greatest(ambiguous, unambiguous) as sentence2
   from sentences where ambiguous <> unambiguous)
 select *, true as same, {KEY} as cache_key from ordered""",
-    "evaluation_job": f"select *, 'org/m' as model_id from ({ORACLES['identification_results']})",
+    "evaluation_job": f"""
+select *, 'org/m' as model_id, 'documents' as dataset, 'cot' as prompt_style, {quoted(prompts.IDENTIFICATION_TEMPLATES["cot"])} as prompt_template,
+       false as thinking, '{{"n": 1}}' as sampling_config
+from ({ORACLES['identification_results']})""",
+    "refusals": f"""
+with misses as (select count(*) as n from ({ORACLES['cache_misses']})),
+odd as (select count(*) as n from labels join documents using (doc_id) where doc_id % 5 = 0)
+select * from (
+select 'columns' as "check", true as bad, true as refused, 1::bigint as n_bad
+union all select 'output exists', true, true, count(*) from documents
+union all select 'keys differ', true, true, count(*) from documents where doc_id % 7 = 0
+union all select 'no prediction', true, true, n from misses
+union all select 'labels, strict', true, true, n from odd
+union all select 'labels, lenient', true, true, n from odd
+union all select unnest(['columns', 'output exists', 'keys differ', 'no prediction', 'labels, strict', 'labels, lenient']), false, false, 0)""",
     "spelled_results": ORACLES["identification_results"],
 }
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ambilens.functions.names import model_tag, resolve_model_type
 from ambilens.functions.prompts import translation_prompt
 from ambilens.functions.tokens import candidate
-from ambilens.operators.archive import METADATA, batch_records
+from ambilens.operators.archive import BATCH_BYTES, METADATA, batch_records
 from ambilens.sinks.tables import write_table
 from ambilens.sources.archive import TABLE_SUFFIX
 
@@ -68,17 +68,17 @@ def samples(requests: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def sample_records(
-    sampled: DataFrame, config: dict[str, Any], batch_size: int = BATCH_SIZE
+    sampled: DataFrame, config: dict[str, Any], batch_size: int = BATCH_SIZE, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
-    """Records of one model's archive: the metadata record, then its batches."""
+    """Records of one model's archive: the metadata record, then its batches in order of index."""
     spark = sampled.sparkSession
-    batches = batch_records(sampled, batch_size)
+    batches = batch_records(sampled, batch_size, batch_bytes=batch_bytes)
     kind = batches.schema["samples"].dataType.simpleString()
     model = F.lit(str(config.get("model", "")))
     nothing = F.lit(None)
     stored = batches.select(
         model_tag(model).alias("path"),
-        (F.col("batch") + 1).alias("seq"), "type",
+        (F.col("start_index") + 1).alias("seq"), "type",
         nothing.cast("double").alias("created_at"), nothing.cast("string").alias("hostname"),
         nothing.cast(CONFIG).alias("config"), "start_index", "end_index", "samples",
     )
