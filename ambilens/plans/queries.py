@@ -231,14 +231,33 @@ def scored(df: DataFrame) -> DataFrame:
 def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of an earlier run."""
     stored = unique_stored(spark, sf_dir, ended=True)
+    return stage(first_scores(spark, scoring.narrow_pairs(paired(stored)), stored), "cache")
+
+
+def first_scores(spark: SparkSession, narrow: DataFrame, stored: DataFrame) -> DataFrame:
     nothing = spark.createDataFrame([], "cache_key string")
-    return stage(scored(scoring.missing_pairs(scoring.narrow_pairs(paired(stored)), nothing, stored)), "cache")
+    return scored(scoring.missing_pairs(narrow, nothing, stored))
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The unique table, all its narrow pairs, and the cache of an earlier run, stored.
+
+    Candidates are read once and pairs formed once: the earlier run's pairs are those of
+    two texts that a candidate which ended by itself had.
+    """
+    rows = processed(spark, sf_dir).where(~text.is_blank("processed_text"))
+    flagged = rows.groupBy(*checks.UNIQUE_COLUMNS).agg(F.max(F.col("finish_reason") == "stop").alias("ended"))
+    stored = stage(flagged.withColumn("ended", F.coalesce("ended", F.lit(False))), "unique")
+    keyed = scoring.keyed_translation_pairs(stored, inputs.MODEL, inputs.REVISION, carry=["ended"])
+    narrow = stage(scoring.narrow_pairs(keyed, [(F.col("ended1") & F.col("ended2")).alias("earlier")]), "pairs")
+    first = narrow.where("earlier").drop("earlier")
+    known = stage(first_scores(spark, first, stored), "cache")
+    return stored, narrow.drop("earlier"), known
 
 
 def cache_misses(spark, sf_dir):
-    stored = unique_stored(spark, sf_dir)
-    narrow = scoring.narrow_pairs(paired(stored))
-    return scoring.missing_pairs(narrow, earlier_cache(spark, sf_dir), stored)
+    stored, narrow, known = two_runs(spark, sf_dir)
+    return scoring.missing_pairs(narrow, known, stored)
 
 
 def cache_hits(spark, sf_dir):
@@ -292,8 +311,7 @@ def probability_checks(spark, sf_dir):
 
 def scored_pairs(spark, sf_dir):
     """All pairs with predictions: from the earlier cache where it has them."""
-    stored, known = unique_stored(spark, sf_dir), earlier_cache(spark, sf_dir)
-    narrow = stage(scoring.narrow_pairs(paired(stored)), "pairs")
+    stored, narrow, known = two_runs(spark, sf_dir)
     fresh = stage(scored(scoring.missing_pairs(narrow, known, stored)), "fresh")
     return _micros(scoring.attach_predictions(narrow, known.unionByName(fresh), stored))
 
@@ -307,9 +325,8 @@ def attached_predictions(spark, sf_dir):
 
 def scoring_totals(spark, sf_dir):
     """Pairs written, and pairs that had to be scored."""
-    stored = unique_stored(spark, sf_dir)
-    wanted = stage(scoring.narrow_pairs(paired(stored)), "pairs")
-    fresh = scoring.missing_pairs(wanted, earlier_cache(spark, sf_dir), stored)
+    stored, wanted, known = two_runs(spark, sf_dir)
+    fresh = scoring.missing_pairs(wanted, known, stored)
     marks = wanted.select(F.lit(False).alias("fresh")).unionAll(fresh.select(F.lit(True)))
     return marks.agg(
         F.count_if(~F.col("fresh")).alias("total_pairs"),
