@@ -49,6 +49,8 @@ COUNTER_CUES = "version v build isbn issn section figure order invoice item part
 
 BUCKETS = 4096
 CONTEXT = 32
+#: Elements of an array, and characters of a text, that are worked on at a time.
+BLOCK = 256
 ROUNDS, SETTLED = 500, 1e-7
 #: What a labeler's votes are expected to be on personal data and on other spans, in the
 #: order of the labelers: where the estimates begin. It weighs as much as PRIOR_SPANS spans
@@ -66,29 +68,54 @@ THRESHOLD = 0.5
 _SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas read it at each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` folded over each prefix of an array of ints that isn't empty, from 0 on.
+
+    An array that grows element by element is copied each time, so prefixes are formed in
+    blocks of BLOCK, which begin at the folds of the blocks before them.
+    """
+    def grown(state: Column, value: Column) -> Column:
+        at = op(state.at, value).cast("int")
+        return F.struct(at.alias("at"), F.concat(state.all, F.array(at)).alias("all"))
+
+    def prefixes(block: Column, begin: Column) -> Column:
+        empty = F.array().cast("array<int>")
+        return F.aggregate(block, F.struct(begin.cast("int").alias("at"), empty.alias("all")), grown, lambda s: s.all)
+
+    def joined(blocks: Column) -> Column:
+        folds = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: op(a, x).cast("int")))
+        return _let(prefixes(folds, F.lit(0)), lambda ends: F.flatten(F.transform(
+            blocks, lambda block, i: prefixes(block, F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))
+        )))
+
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return _let(_let(values, cut), joined)
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches with their place in code points and the text around them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state.at + F.length(pair["piece"])
-        end = start + F.length(pair["value"])
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"),
-            pair["value"].alias("value"), F.right(pair["piece"], F.lit(CONTEXT)).alias("before"),
-            F.left(pair["next"], F.lit(1)).alias("after"),
-        )
-        return F.struct(end.cast("int").alias("at"), F.concat(state.spans, F.array(span)).alias("spans"))
+    def placed(m: Column) -> Column:
+        # The piece behind the last match has no partner.
+        lengths = F.zip_with(m.pieces, m.found, lambda p, f: F.length(p) + F.coalesce(F.length(f), F.lit(0)))
+        return _let(_running(lengths, lambda a, x: a + x), lambda ends: F.transform(m.found, lambda value, i: F.struct(
+            F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(value)).alias("start"), F.get(ends, i).alias("end"),
+            value.alias("value"), F.right(F.get(m.pieces, i), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(m.pieces, i + 1), F.lit(1)).alias("after"),
+        )))
 
-    pairs = F.arrays_zip(
-        F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("value"),
-        F.slice(pieces, F.lit(2), F.size(found)).alias("next"),
-    )
     none = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
-    collected = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda state: state.spans
-    )
+    collected = _let(F.struct(found.alias("found"), pieces.alias("pieces")), placed)
     return F.when(F.size(found) > 0, collected).otherwise(none)
 
 
@@ -272,6 +299,21 @@ def fit(found: DataFrame, name: str = "candidates") -> list[float]:
     return [round(w, 9) for w in weights] + [round(offset, 9)]
 
 
+def _free(spans: Column) -> Column:
+    """Spans that aren't base ones and that no base span overlaps."""
+    # A base span overlaps if it begins before the span's end and ends behind its start: in
+    # this order, the farthest end of all base spans up to the span tells.
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        F.when(s["base"], s["start"]).otherwise(s["end"] - 1).alias("at"), (~s["base"]).alias("loose"), s.alias("s")
+    )))
+    return _let(ordered, lambda all_: _let(
+        _running(F.transform(all_, lambda e: F.when(e["loose"], 0).otherwise(e["s"]["end"])), F.greatest),
+        lambda reach: F.transform(
+            F.filter(all_, lambda e, i: e["loose"] & (F.get(reach, i) <= e["s"]["start"])), lambda e: e["s"]
+        ),
+    ))
+
+
 def detect(docs: DataFrame, name: str = "pii_spans", columns: Sequence[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all, if None) with an array column of spans ``kind, start, end, base, score``.
 
@@ -296,10 +338,7 @@ def detect(docs: DataFrame, name: str = "pii_spans", columns: Sequence[str] | No
         )
 
     base = F.filter(name, lambda s: s["base"])
-    free = F.filter(
-        name,
-        lambda s: ~s["base"] & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    free = F.when(F.exists(name, lambda s: ~s["base"]), _let(F.col(name), _free)).otherwise(F.filter(name, lambda s: ~s["base"]))
     more = F.filter(F.transform(free, scored), lambda s: s["score"] > THRESHOLD)
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     ordered = F.transform(
@@ -311,26 +350,72 @@ def detect(docs: DataFrame, name: str = "pii_spans", columns: Sequence[str] | No
     return found.withColumn(name, ordered)
 
 
+def _stretches(spans: Column) -> Column:
+    """Spans of one text joined where they overlap: ``start, end, label`` in order, by the first span."""
+    def joined(ordered: Column, reach: Column) -> Column:
+        first = F.filter(
+            F.transform(ordered, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["kind"].alias("kind"))),
+            lambda s: (s["i"] == 0) | (s["start"] >= F.get(reach, s["i"] - 1)),
+        )
+        return _let(first, lambda all_: F.transform(all_, lambda s, k: F.struct(
+            s["start"].alias("start"),
+            F.get(reach, F.coalesce(F.get(all_, k + 1)["i"], F.size(reach)) - 1).alias("end"),
+            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"),
+        )))
+
+    by_start = F.transform(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s.alias("s")))), lambda x: x["s"]
+    )
+    return _let(by_start, lambda ordered: _let(
+        _running(F.transform(ordered, lambda s: s["end"]), F.greatest), lambda reach: joined(ordered, reach)
+    ))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """Text with its spans replaced, block by block, so that no place is sought from the start."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+    def firsts(blocks: Column, stretches: Column) -> Column:
+        """How many stretches begin before each block, and before the end."""
+        borders = F.transform(F.sequence(F.lit(0), F.size(blocks)), lambda b: F.struct(
+            (b * BLOCK).alias("at"), F.lit(False).alias("inside"), b.alias("block")
+        ))
+        places = F.transform(stretches, lambda s: F.struct(s["start"].alias("at"), F.lit(True).alias("inside"), F.lit(0).alias("block")))
+        events = F.transform(
+            F.array_sort(F.concat(borders, places)),
+            lambda e, i: F.struct(e["inside"].alias("inside"), (i - e["block"]).alias("before")),
+        )
+        return F.transform(F.filter(events, lambda e: ~e["inside"]), lambda e: e["before"])
+
+    def block_text(block: Column, b: Column, stretches: Column, before: Column) -> Column:
+        begin, low, high = b * BLOCK, F.get(before, b), F.get(before, b + 1)
+        own = F.slice(stretches, low + 1, high - low)
+
+        def part(s: Column, k: Column) -> Column:
+            since = F.greatest(F.when(low + k > 0, F.get(stretches, low + k - 1)["end"]).otherwise(0), begin)
+            return F.concat(F.substring(block, since - begin + 1, s["start"] - since), s["label"])
+
+        last = F.when(high > 0, F.get(stretches, high - 1)["end"]).otherwise(0)
+        rest = F.substring(block, F.greatest(last - begin, F.lit(0)) + 1, F.lit(BLOCK))
+        return F.concat(F.array_join(F.transform(own, part), ""), rest)
+
+    return _let(F.struct(blocks.alias("blocks"), _stretches(spans).alias("stretches")), lambda t: _let(
+        firsts(t["blocks"], t["stretches"]),
+        lambda before: F.array_join(F.transform(
+            t["blocks"], lambda block, b: block_text(block, b, t["stretches"], before)
+        ), ""),
+    ))
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets.
 
-    Of overlapping spans, the first by start names the whole stretch.
+    Of overlapping spans, the first by start names the whole stretch. Null texts stay null;
+    all other columns stay as they are, whatever their names.
     """
     name = "__pii"
+    while name in docs.columns:
+        name += "_"
     text = F.col("text")
-
-    def step(state: Column, span: Column) -> Column:
-        opens = span["start"] >= state.at
-        gap = F.substring(text, state.at + 1, span["start"] - state.at)
-        parts = F.when(opens, F.concat(state.parts, F.array(gap, F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))))
-        return F.struct(F.greatest(state.at, span["end"]).alias("at"), parts.otherwise(state.parts).alias("parts"))
-
-    by_start = F.transform(
-        F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), s.alias("s")))), lambda x: x["s"]
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(
-        by_start, start, step,
-        lambda state: F.concat(F.array_join(state.parts, ""), F.substring(text, state.at + 1, F.length(text))),
-    )
-    return detect(docs, name).withColumn("text", F.when(F.size(name) > 0, masked).otherwise(text)).drop(name)
+    masked = F.when(F.size(name) > 0, _replaced(text, F.col(name))).otherwise(text)
+    return detect(docs, name).withColumn("text", masked).drop(name)

@@ -163,6 +163,47 @@ def test_mask_and_odd_rows(spark, odd_docs, no_docs):
     assert pii.mask(odd_docs).columns == odd_docs.columns and pii.mask(no_docs).count() == 0
 
 
+def plain_mask(text, spans):
+    out, at = [], 0
+    for start, kind, end in sorted((s.start, s.kind, s.end) for s in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_mask_like_plain_replacement(spark):
+    rng = random.Random(9)
+    texts = tricky(rng, 300, PII_BITS) + ["".join(rng.choice(PII_BITS) for _ in range(n)) for n in (600, 3000, 20_000)]
+    texts += ["é" * 255 + "a@b.co", "😀" * 256 + "a@b.co" + "x" * 600, "+" + "1 " * 700 + "2 a@b.c", "z " * 300 + "x@" + "y." * 900 + "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__pii", F.lit("own"))
+    spans = {r.doc_id: r.pii_spans for r in pii.detect(docs).collect()}
+    for r in pii.mask(docs).collect():
+        assert r.text == plain_mask(texts[r.doc_id], spans[r.doc_id]) and r["__pii"] == "own"
+
+
+def test_loose_spans_that_base_spans_overlap_go(spark):
+    texts = [" ".join(rng.choice(["+1 555-555-1234", "555-555-1234", "x@y.z", "a (at) b.com", "b@c (at) d.e", "phone"])
+                      for _ in range(400)) for rng in map(random.Random, range(8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.candidates(docs)
+    free = found.select("candidates", pii._free(F.col("candidates")).alias("free")).collect()
+    for r in free:
+        base = [(s.start, s.end) for s in r.candidates if s.base]
+        loose = [(s.start, s.end) for s in r.candidates if not s.base]
+        wanted = [(a, b) for a, b in loose if not any(x < b and a < y for x, y in base)]
+        assert sorted((s.start, s.end) for s in r.free) == sorted(wanted) and 0 < len(wanted) < len(loose)
+
+
+def test_very_many_spans_in_one_text(spark):
+    many = 100_000
+    text = " ".join(f"a{i}@b{i % 7}.com" for i in range(many))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.detect(docs).first().pii_spans
+    assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(r"\S+", text)]
+    assert pii.mask(docs).first().text == " ".join(["[EMAIL]"] * many)
+
+
 def test_long_runs_are_linear(spark):
     long = ["a" * 300_000, "1" * 300_000, "a@" + "b." * 100_000 + "c", "1." * 100_000, "+1" + " " * 200_000]
     docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
