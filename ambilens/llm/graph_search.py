@@ -7,7 +7,10 @@ nearer to. Queries go to every shard in blocks, a beam search walks the shard's
 and the best of all shards are merged.
 
 Inner products become distances by one more coordinate that gives all vectors of a shard
-the same length.
+the same length. Where vectors aren't clustered, or their lengths differ, the nearest of a
+query need not be near each other, so each shard measures its recall on a sample of its
+vectors against exact search in the shard. Below RECALL it gets edges of a second kind, to
+what a query with the node's vector would find, and if needed a wider beam.
 """
 
 from __future__ import annotations
@@ -24,14 +27,19 @@ from ambilens.session import stage
 SHARD_ROWS = 8192
 DEGREE = 32
 ALPHA = 1.2
+#: Pruning of edges toward a query: nodes are nearer to each other than to it, so only those
+#: much nearer to each other stand for one another.
+QUERY_ALPHA = 4.0
 BUILD_BEAM = 64
+#: The narrowest beam; a shard's own is this times a power of two, up to all its nodes.
 SEARCH_BEAM = 96
+RECALL, SAMPLE = 0.96, 128
 WIDTH = 4
 BATCH = 512
 QUERY_BLOCK = 4096
 MAX_DIMENSIONS = 1000
 
-_INDEX = "dim int, shard int, entry int, vectors binary, edges binary, members binary, ids binary"
+_INDEX = "dim int, shard int, entry int, beam int, vectors binary, edges binary, members binary, ids binary"
 
 
 def usable(vector: str) -> Column:
@@ -85,15 +93,16 @@ def beam_search(
     return nodes, near
 
 
-def robust_prune(base: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Up to ``degree`` candidates for each point, -1 as padding.
+def robust_prune(base: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
+                 toward: np.ndarray | None = None) -> np.ndarray:
+    """Up to ``degree`` candidates for each point, or for its row in ``toward``; -1 as padding.
 
     The nearest one left is kept and removes all that it is nearer to, by a factor of
     ``alpha``, than the point is.
     """
     own = candidates == points[:, None]
     vectors = base[candidates]
-    to_point = 2 - 2 * np.einsum("bcd,bd->bc", vectors, base[points])
+    to_point = 2 - 2 * np.einsum("bcd,bd->bc", vectors, base[points] if toward is None else toward)
     to_point[own | (candidates < 0)] = np.inf
     order = np.argsort(to_point, axis=1, kind="stable")
     candidates = np.take_along_axis(candidates, order, 1)
@@ -178,11 +187,63 @@ def _dense(vectors: pd.Series) -> np.ndarray:
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Vectors on the unit sphere, with one coordinate more, in order of inner products."""
-    scaled = vectors / np.sqrt((vectors * vectors).sum(axis=1)).max()
+    scaled = vectors / np.abs(vectors).max()  # squares of very large components would be infinite
+    scaled /= np.sqrt((scaled * scaled).sum(axis=1)).max()
     rest = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
     return np.concatenate([scaled, rest[:, None]], axis=1).astype(np.float32)
 
 
+def _flat(queries: np.ndarray) -> np.ndarray:
+    """Queries of length 1 in the space of ``_unit``."""
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    scaled /= np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    return np.concatenate([scaled, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+
+
+def widened(base: np.ndarray, flat: np.ndarray, edges: np.ndarray, entry: int, degree: int = DEGREE) -> np.ndarray:
+    """Edges, then up to ``degree`` to what the node's vector finds as a query, and as many back."""
+    n = len(base)
+    ahead = np.full((n, degree), -1)
+    for at in range(0, n, BATCH):
+        batch = np.arange(at, min(n, at + BATCH))
+        found, _ = beam_search(base, edges, entry, flat[batch], min(n, 2 * SEARCH_BEAM))
+        ahead[batch] = robust_prune(base, batch, found, degree, QUERY_ALPHA, flat[batch])
+    source, target = np.repeat(np.arange(n), degree), ahead.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    order = np.lexsort((-np.einsum("ij,ij->i", flat[source], base[target]), target))
+    source, target = source[order], target[order]
+    rank = np.arange(len(target)) - np.searchsorted(target, target, "left")
+    back = np.full((n, degree), -1)
+    back[target[rank < degree], rank[rank < degree]] = source[rank < degree]
+    return np.concatenate([edges, ahead, back], axis=1)
+
+
+def fitted_graph(vectors: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, int, int]:
+    """Edges, entry node and beam with which a sample of SAMPLE nodes finds RECALL of its ``k`` nearest.
+
+    The beam is ``beam`` times a power of two, or all nodes if less doesn't do.
+    """
+    base, flat = _unit(vectors), _flat(vectors)
+    edges, entry = build_graph(base)
+    n = len(base)
+    k = min(k, n)
+    asked = flat[np.random.default_rng(n).choice(n, min(n, SAMPLE), replace=False)]
+    # Scores of one kind on both sides, so that equally near nodes stand for each other.
+    exact = asked @ base.T
+    border = np.partition(exact, n - k, axis=1)[:, n - k, None]
+
+    def recall(edges: np.ndarray, beam: int) -> float:
+        nodes, _ = beam_search(base, edges, entry, asked, beam)
+        hits = (np.take_along_axis(exact, nodes, 1) >= border) & (nodes >= 0)
+        return float(np.minimum(hits.sum(axis=1), k).mean() / k)
+
+    if beam < n and recall(edges, beam) < RECALL:
+        edges = widened(base, flat, edges, entry)
+    while beam < n and recall(edges, beam) < RECALL:
+        beam *= 2
+    return edges, entry, min(beam, n)
+
+
 def classes(embeddings: DataFrame, keep: int) -> DataFrame:
     """``dim, hash, vector, ids``: distinct vectors and their ``keep`` smallest vec_ids.
 
@@ -200,7 +261,9 @@ def classes(embeddings: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def build_index(embeddings: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, int]]:
+def build_index(
+    embeddings: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM
+) -> tuple[DataFrame, dict[int, int]]:
     """Stored index, one row per shard, and the number of shards per dimension."""
     distinct = stage(classes(embeddings, keep), "vectors")
     sizes = {r.dim: r["count"] for r in distinct.groupBy("dim").count().limit(MAX_DIMENSIONS + 1).collect()}
@@ -213,10 +276,10 @@ def build_index(embeddings: DataFrame, keep: int, shard_rows: int = SHARD_ROWS)
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         vectors = _dense(group["vector"])
-        edges, entry = build_graph(_unit(vectors))
+        edges, entry, wide = fitted_graph(vectors, keep, beam)
         ids = [np.sort(np.asarray(i, np.int64)) for i in group["ids"]]
         return pd.DataFrame([(
-            key[0], key[1], entry, vectors.tobytes(), edges.astype(np.int32).tobytes(),
+            key[0], key[1], entry, wide, vectors.tobytes(), edges.astype(np.int32).tobytes(),
             np.array([len(i) for i in ids], np.int32).tobytes(), np.concatenate(ids).tobytes(),
         )], columns=[f.split()[0] for f in _INDEX.split(", ")])
 
@@ -236,13 +299,15 @@ def search(
     non-finite components, are neither queries nor found. Only vectors of the query's
     length are. Equal vectors are one node of the graph with its ``k + 1`` smallest
     vec_ids, which is all that a result can hold. With fewer rows than ``k``, all are
-    found. Rows that repeat a vec_id and its vector count once. Other columns are ignored.
+    found. Rows that repeat a vec_id and its vector count once; a vec_id with several
+    vectors asks with the smallest of them and is found once, by the nearest. ``beam`` is
+    the narrowest one; shards widen theirs as they measure. Other columns are ignored.
     """
-    index, shards = build_index(embeddings, k + 1, shard_rows)
+    index, shards = build_index(embeddings, k + 1, shard_rows, beam)
     asked = (
         embeddings.where(usable("embedding") & F.col("vec_id").isNotNull() & is_query)
-        .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.size("embedding").alias("dim"))
-        .dropDuplicates(["query_id"])
+        .groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector"))
+        .withColumn("dim", F.size("vector"))
     )
     out = "query_id long, vec_id long, score double"
     if not shards:
@@ -260,7 +325,7 @@ def search(
     def find(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(graph):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return pd.concat(_search_shard(asked, graph.iloc[0], k, beam), ignore_index=True)
+        return pd.concat(_search_shard(asked, graph.iloc[0], k), ignore_index=True)
 
     keys = ["dim", "shard", "block"]
     found = (
@@ -270,7 +335,7 @@ def search(
     return _ranked(found, k)
 
 
-def _search_shard(asked: pd.DataFrame, graph: pd.Series, k: int, beam: int) -> Iterator[pd.DataFrame]:
+def _search_shard(asked: pd.DataFrame, graph: pd.Series, k: int) -> Iterator[pd.DataFrame]:
     dim = int(graph["dim"])
     vectors = np.frombuffer(graph["vectors"], np.float64).reshape(-1, dim)
     edges = np.frombuffer(graph["edges"], np.int32).reshape(len(vectors), -1)
@@ -280,9 +345,7 @@ def _search_shard(asked: pd.DataFrame, graph: pd.Series, k: int, beam: int) -> I
     for at in range(0, len(asked), BATCH):
         part = asked.iloc[at : at + BATCH]
         own, query = part["query_id"].to_numpy(), _dense(part["vector"])
-        length = np.sqrt((query * query).sum(axis=1, keepdims=True))
-        flat = np.concatenate([query / np.where(length > 0, length, 1), np.zeros((len(part), 1))], axis=1)
-        nodes, _ = beam_search(base, edges, int(graph["entry"]), flat.astype(np.float32), min(beam, len(base)))
+        nodes, _ = beam_search(base, edges, int(graph["entry"]), _flat(query), min(int(graph["beam"]), len(base)))
         row, place = np.nonzero(nodes >= 0)
         node = nodes[row, place]
         score = (vectors[node] * query[row]).sum(axis=1)
@@ -293,6 +356,12 @@ def _search_shard(asked: pd.DataFrame, graph: pd.Series, k: int, beam: int) -> I
         row, score = row[each], score[each]
         other = vec != own[row]
         row, vec, score = row[other], vec[other], score[other]
+        # A vec_id with several vectors counts by the nearest.
+        order = np.lexsort((-score, vec, row))
+        row, vec, score = row[order], vec[order], score[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (vec[1:] != vec[:-1])
+        row, vec, score = row[first], vec[first], score[first]
         order = np.lexsort((vec, -score, row))
         row, vec, score = row[order], vec[order], score[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
@@ -302,7 +371,9 @@ def _search_shard(asked: pd.DataFrame, graph: pd.Series, k: int, beam: int) -> I
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # One shuffle by query serves both the grouping and the ranks.
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (
-        found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ambilens.llm import graph_search, wand
@@ -136,6 +137,31 @@ def test_graph_recall_in_one_large_shard():
     assert ((edges >= 0).sum(axis=1) <= graph_search.DEGREE).all() and (edges != np.arange(3000)[:, None]).all()
 
 
+@pytest.mark.parametrize("unequal", [False, True])
+def test_graph_recall_without_clusters(unequal):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(2500, 64))
+    if unequal:
+        vectors *= rng.lognormal(0, 0.5, size=(2500, 1))
+    edges, entry, beam = graph_search.fitted_graph(vectors, 21)
+    nodes, _ = graph_search.beam_search(graph_search._unit(vectors), edges, entry, graph_search._flat(vectors[::20]), beam)
+    wanted = np.argsort(-(vectors[::20] @ vectors.T), axis=1)[:, :21]
+    assert np.mean([len(set(a[:21]) & set(b)) / 21 for a, b in zip(nodes, wanted)]) > 0.95 and beam < 400
+
+
+def test_fitted_graph_of_few_and_of_very_large_vectors():
+    edges, entry, beam = graph_search.fitted_graph(np.array([[1e200, 0.0], [0.0, 1e-200], [3.0, 4.0]]), 21)
+    assert beam == 3 and np.isfinite(graph_search._unit(np.array([[1e200, 1e200]]))).all()
+    assert sorted(edges[entry][edges[entry] >= 0].tolist()) == sorted({0, 1, 2} - {entry})
+
+
+def test_one_id_over_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (0, [5.0, 0.0]), (0, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = graph_search.search(table, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 3.0), (2, 2.0)]
+
+
 def test_pruning_keeps_diverse_neighbours():
     base = np.array([[1, 0], [0.99, 0.14107], [0.985, 0.17255], [0.9, -0.43589]], np.float32)
     kept = graph_search.robust_prune(base, np.array([0]), np.array([[1, 2, 3, -1]]), degree=3)
