@@ -130,3 +130,15 @@ def test_broadcast_bound(spark):
     assert skew.fits_broadcast(df)
     assert not skew.fits_broadcast(df, max_rows=19)
     assert not skew.fits_broadcast(df, max_bytes=20_000)
+
+
+def test_copies_of_a_text_are_bounded(spark, monkeypatch):
+    """A source that grows gets larger blocks, not more, until those are full."""
+    df = spark.createDataFrame(hot_texts(600), SCHEMA)
+    copies = [pairs._blocked(df, block).agg(F.max("__blocks")).first()[0] for block in (10, 2, 1)]
+    assert copies == [20, pairs.MAX_BLOCKS, pairs.MAX_BLOCKS]
+    monkeypatch.setattr(pairs, "LARGEST_BLOCK", 4)
+    assert pairs._blocked(df, 2).agg(F.max("__blocks")).first()[0] == 50
+    got = pairs.translation_pairs(df, 2).collect()
+    assert sorted((r.source_index, r.sentence1, r.sentence2) for r in got) == expected(hot_texts(600))
+    assert pairs.plan_pairs(df, 1000).units == pairs.plan_pairs(df, 1000).sources
