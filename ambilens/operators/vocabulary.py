@@ -12,6 +12,7 @@ from ambilens.operators.checks import InvalidInput
 from ambilens.operators.skew import fits_broadcast, lookup_join
 
 MAX_VOCABULARY = 1_000_000
+_SLOTS = 256
 
 
 def vocabulary_texts(vocabulary: DataFrame, max_rows: int = MAX_VOCABULARY) -> Column:
@@ -37,32 +38,39 @@ def spell_generations(
     """Generations with every alternative's ``token`` filled in, and ``spelled``.
 
     ``spelled`` holds the text of each generated id. For vocabularies of any size: ids
-    are joined, not looked up in a literal. ``key`` identifies a generation; its tokens
-    come together again by it, so a generation has to fit in a row, as it did before.
+    are joined, not looked up in a literal. ``key`` identifies a generation. Each id of a
+    generation is joined once however often it occurs, and what it means comes back to
+    the generation by ``key``; the tokens stay in their row. Of several texts of one id,
+    the smallest counts.
     """
     key = list(key)
-    parts = generations.select(*key, F.posexplode("logprobs").alias("__at", "__entry"))
-    alternatives = parts.select(*key, "__at", F.posexplode("__entry").alias("__k", "__alt"))
-    flat = alternatives.select(*key, "__at", "__k", "__alt", "__alt.token_id", "__alt.token")
-    named = decode_tokens(flat, vocabulary, max_rows)
-    filled = F.col("__alt").withField("token", F.col("token"))
-    entries = named.groupBy(*key, "__at").agg(
-        F.sort_array(F.collect_list(F.struct("__k", filled.alias("alt")))).alias("alts")
-    )
-    entries = entries.groupBy(*key).agg(F.map_from_entries(F.collect_list(
-        F.struct("__at", F.transform("alts", lambda a: a["alt"]))
-    )).alias("__entries"))
-    ids = generations.select(*key, F.posexplode("token_ids").alias("__at", "token_id"))
-    spelled = decode_tokens(ids, vocabulary, max_rows).groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("__at", "token"))).alias("__spelled")
-    )
-    joined = generations.join(entries, key, "left").join(spelled, key, "left")
-    # Entries without alternatives, null or empty, stay as they are.
-    restored = F.transform("logprobs", lambda entry, at: F.coalesce(F.try_element_at("__entries", at), entry))
+    recorded = F.transform(F.flatten(F.filter("logprobs", lambda entry: entry.isNotNull())), lambda a: a["token_id"])
+    used = F.concat(F.coalesce("token_ids", F.array()), F.coalesce(recorded, F.array()))
+    ids = generations.select(*key, F.explode(F.array_distinct(used)).alias("token_id")).where("token_id is not null")
+    once = vocabulary.groupBy("token_id").agg(F.min("token").alias("token"))
+    named = decode_tokens(ids, once, max_rows)
+    slot = F.pmod(F.col("token_id"), F.lit(_SLOTS)).cast("int")
+    listed = named.groupBy(*key).agg(F.collect_set(F.struct(slot.alias("slot"), "token_id", "token")).alias("__ids"))
+    # A map is searched in order, so ids come in a map of maps, by their remainder.
+    slots = F.array_distinct("__ids.slot")
+    meant = F.map_from_arrays(slots, F.transform(slots, lambda s: F.map_from_entries(F.transform(
+        F.filter("__ids", lambda i: i["slot"] == s), lambda i: F.struct(i["token_id"], i["token"])
+    ))))
+    joined = generations.join(listed.select(*key, meant.alias("__meant")), key, "left")
+
+    def text(token_id: Column) -> Column:
+        slot = F.pmod(token_id, F.lit(_SLOTS)).cast("int")
+        return F.try_element_at(F.try_element_at(F.col("__meant"), slot), token_id)
+
+    def filled(entry: Column) -> Column:
+        return F.transform(entry, lambda a: a.withField("token", F.coalesce(a["token"], text(a["token_id"]))))
+
+    unknown = F.col("__meant").isNull()
     return (
-        joined.withColumn("logprobs", F.when(F.col("__entries").isNull(), F.col("logprobs")).otherwise(restored))
-        .withColumn("spelled", F.coalesce(F.transform("__spelled", lambda t: t["token"]), F.array()))
-        .drop("__entries", "__spelled")
+        joined.withColumn("__logprobs", F.when(unknown, F.col("logprobs")).otherwise(F.transform("logprobs", filled)))
+        .withColumn("spelled", F.when(unknown, F.array()).otherwise(F.coalesce(F.transform("token_ids", text), F.array())))
+        .withColumn("logprobs", F.col("__logprobs"))
+        .drop("__logprobs", "__meant")
     )
 
 

@@ -181,3 +181,18 @@ def test_joined_vocabulary_gives_the_same(spark):
         one = process_generations(made, mode, CHOICES, END, texts).select(*fields)
         two = process_generations(spelled, mode, CHOICES, END).select(*fields)
         assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_spelling_moves_each_id_of_a_generation_once(spark):
+    ids = [3, 259, 3, 515, 259, -1] * 50
+    entries = [[(i, None, -0.1, 1), (i + 256, "是", -0.2, 2)] for i in ids]
+    made = spark.createDataFrame([(1, "", ids, entries), (None, "", [3], [[(3, None, -0.1, 1)]])], SCHEMA)
+    vocabulary = spark.createDataFrame([(3, "c"), (3, "b"), (259, "x"), (771, "y")], "token_id int, token string")
+    spelled = spell_generations(made, vocabulary, ["id"])
+    one, other = sorted(spelled.collect(), key=lambda r: r.id is None)
+    texts = {3: "b", 259: "x", 515: "515", -1: "-1"}
+    assert one.spelled == [texts[i] for i in ids]
+    assert [[a.token for a in entry] for entry in one.logprobs] == [[texts[i], "是"] for i in ids]
+    assert other.spelled == [] and other.logprobs[0][0].token is None
+    plan = spelled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1
