@@ -38,6 +38,8 @@ STATUS_SCHEMA = (
 STORED_SCHEMA = record_schema(tokens=False).replace("path string, ", "").replace(", error string", "").replace("is_text:boolean, ", "")
 WRITTEN, SKIPPED, FAILED = "written", "skipped", "failed"
 RECORD_COLUMNS = ("path", "seq", "type", "config", "samples")
+#: Candidates of an archive beyond which several tasks write it.
+ROWS_PER_FILE = 500_000
 CONFIG_FIELDS = ("model", "model_type", "dataset", "json")
 
 
@@ -201,8 +203,12 @@ def extract_archives(
     sound = status.where(F.col("status") == WRITTEN)
     # Split files are numbered by byte offset and record, whole files by record.
     batches = carry_metadata(records, chunk=max(split_bytes << 10, 4096))
-    places = sound.select("path", "folder", "model_tag")
+    # A partition's rows meet in one task, or in as many as its rows ask for: a file each, not
+    # one from every task that read a part of the archive.
+    files = F.greatest(F.ceil(F.col("n_rows") / ROWS_PER_FILE), F.lit(1)).alias("__files")
+    places = sound.select("path", "folder", "model_tag", files)
     batches = lookup_join(batches, places, ["path"], how="inner", spread=["seq"])
+    batches = batches.repartition("folder", "model_tag", F.pmod(F.xxhash64("path", "seq"), F.col("__files")))
     rows = flatten_candidates(batches, keep=["folder", "model_tag"])
     schema = f"folder string, model_tag string, {CANDIDATE_SCHEMA}"
     if overwrite:

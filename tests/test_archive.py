@@ -371,3 +371,20 @@ def test_documents_with_nulls_become_archives(spark, tmp_path):
     found = extract.read_candidates(spark, str(tmp_path / "out"))
     assert sorted((r.folder, r.source_index, r.raw_text) for r in found.collect()) == [
         ("en", 3, "c"), ("none", 1, "a"), ("none", 1, "b")]
+
+
+def test_a_partition_is_written_by_one_task(spark, tmp_path, monkeypatch):
+    """However many tasks read an archive, until it has rows for several files."""
+    noise = random.Random(6)
+    for name in ("one", "two"):
+        texts = [["".join(noise.choice("abcdef") for _ in range(400))] for _ in range(60)]
+        write(tmp_path / f"raw/{name}.pkl.gz", metadata(name), *[batch(i, [text]) for i, text in enumerate(texts)])
+    files = {}
+    for bound in (500, 10):
+        monkeypatch.setattr(extract, "ROWS_PER_FILE", bound)
+        out = tmp_path / f"out{bound}"
+        extract.extract_archives(spark, str(tmp_path / "raw"), str(out), split_bytes=2000)
+        assert extract.read_candidates(spark, str(out)).count() == 120
+        files[bound] = len(list(out.glob("folder=*/model_tag=one/*.parquet")))
+    # Small partitions of a shuffle are put together, so the second bound may give one too.
+    assert files[500] == 1 <= files[10] <= 6
