@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambilens.llm.words import dictionary, hashes, mixed, numbered
-from ambilens.session import stage
+from ambilens.session import scratch_path, stage
+from ambilens.sinks.tables import delete
 
 TOKENS_PER_SHARD = 2_000_000
 #: Totals that one task sums, as (shard, restaurant) pairs.
@@ -58,13 +59,34 @@ _STATE = (
 )
 
 
-def _places(places: np.ndarray, listed: int) -> bytes:
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed, behind the size without: shuffles of mostly small numbers get a good deal smaller."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True), kind)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, for unsigned numbers that rise in runs; ``_summed`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+def _places(places: np.ndarray, listed: int) -> np.ndarray:
     """Places in a list of so many, in two bytes each where they fit."""
-    return places.astype(np.uint16 if listed <= 1 << 16 else np.uint32).tobytes()
+    return places.astype(np.uint16 if listed <= 1 << 16 else np.uint32)
 
 
 def _read_places(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint16)
+    raw = _unpacked(blob, np.uint8)
+    return raw.view(np.uint32 if len(raw) == 4 * n else np.uint16)
 
 
 @dataclass
@@ -161,8 +183,8 @@ def _chunk(batch: pa.RecordBatch, chunk: int, layout: Layout) -> pa.RecordBatch:
         lo, hi = first[a], first[b] if b < len(first) else len(word)
         own, context = np.unique(before[lo:hi], return_inverse=True)
         rows.append((
-            int(shard[lo]), chunk, train, word_hash[word[first[a:b]]].tobytes(), runs[a:b].tobytes(),
-            word_hash[own].tobytes(), _places(context, len(own)), doc[lo:hi].tobytes(), None, None,
+            int(shard[lo]), chunk, train, word_hash[word[first[a:b]]].tobytes(), _packed(runs[a:b]),
+            word_hash[own].tobytes(), _packed(_places(context, len(own))), _packed(_steps(doc[lo:hi])), None, None,
         ))
     ids = batch.column("doc_id").take(pa.array(order)).to_pylist()
     rows.append((chunk % layout.shards, chunk, train, None, None, None, None, None, ids, sizes.astype(np.uint32).tobytes()))
@@ -195,9 +217,9 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
     chunks, inverse = np.unique(group["chunk"].to_numpy(), return_inverse=True)
     words = [np.frombuffer(b, np.uint64) for b in group["words"]]
     all_words, dish = np.unique(np.concatenate(words), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])
-    docs = np.concatenate([np.frombuffer(b, np.uint16) for b in group["docs"]])
-    sizes = [len(b) // 2 for b in group["docs"]]
+    counts = np.concatenate([_unpacked(b, np.uint32) for b in group["counts"]])
+    docs = [_summed(_unpacked(b, np.uint16)) for b in group["docs"]]
+    sizes, docs = [len(d) for d in docs], np.concatenate(docs)
     lists = [np.frombuffer(b, np.uint64) for b in group["restaurants"]]
     restaurants, at = np.unique(np.concatenate(lists), return_inverse=True)
     ends = np.cumsum([len(r) for r in lists])
@@ -213,13 +235,22 @@ def _merged(shard: int, group: pd.DataFrame) -> tuple:
     known = np.add.reduceat(train[place].astype(np.int64), first)
     types = np.bincount(key[first] >> 32, minlength=len(all_words))
     return (
-        shard, all_words.tobytes(), types.astype(np.uint32).tobytes(), restaurants.tobytes(),
-        _places(key[first] & 0xFFFFFFFF, len(restaurants)),
-        known.astype(np.uint32).tobytes(), tokens.astype(np.uint32).tobytes(),
-        _places(chunk[place], len(chunks)), docs[place].tobytes(), chunks.tolist(), None, None, None, None,
+        shard, all_words.tobytes(), _packed(types.astype(np.uint32)), restaurants.tobytes(),
+        _packed(_steps(_places(key[first] & 0xFFFFFFFF, len(restaurants)))),
+        _packed(known.astype(np.uint32)), _packed(tokens.astype(np.uint32)),
+        _packed(_places(chunk[place], len(chunks))), _packed(docs[place]), chunks.tolist(), None, None, None, None,
     )
 
 
+def _opened(row: dict) -> dict:
+    """A shard's row with what :class:`Chain` reads as plain numbers."""
+    counts = _unpacked(row["counts"], np.uint32)
+    contexts = _summed(_read_places(row["contexts"], len(counts)))
+    return row | {
+        "types": _unpacked(row["types"], np.uint32).tobytes(), "contexts": contexts.tobytes(), "counts": counts.tobytes()
+    }
+
+
 @lru_cache(4)
 def _seatings(discount: float, most: int) -> list[np.ndarray]:
     """For c customers, the logarithms of the generalized Stirling numbers S(c, 1..c)."""
@@ -461,7 +492,8 @@ class Chain:
         self.words = np.frombuffer(row["words"], np.uint64)
         per_word = np.frombuffer(row["types"], np.uint32)
         self.dish = np.repeat(np.arange(len(self.words)), per_word)
-        self.context = _read_places(row["contexts"], len(self.dish))
+        wide = len(row["contexts"]) == 4 * len(self.dish)
+        self.context = np.frombuffer(row["contexts"], np.uint32 if wide else np.uint16)
         self.count = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
         self.rng = np.random.default_rng(row["shard"])
         self.known = np.bincount(self.dish, self.count, len(self.words)).astype(np.int64)
@@ -525,23 +557,24 @@ def _own_totals(row: dict, totals: Totals, homes: int) -> Totals:
     place = np.argsort(_homes(np.frombuffer(row["restaurants"], np.uint64), homes), kind="stable")
     own = np.zeros((2, len(place)), np.int64)
     for k, name in enumerate(("customers", "tables")):
-        own[k][place] = np.concatenate([np.frombuffer(b, np.int64) for b in row[name]])
+        own[k][place] = np.concatenate([_unpacked(b, np.int64) for b in row[name]])
     return replace(totals, customers=own[0], tables=own[1])
 
 
 def _sums(
-    state: DataFrame, totals: Totals | None, splits: frozenset[int], homes: int
+    state: DataFrame, totals: Totals | None, splits: frozenset[int], homes: int, place: str | None = None
 ) -> tuple[DataFrame, dict[int, dict[int, tuple[int, int, int]]]]:
     """Totals over shards: of restaurants, as a stored table by shard and home; and split
     words and plain numbers, at most one row per split word, at the driver.
 
     ``state`` holds the restaurants' totals of the round before where ``totals`` is given.
+    ``place`` is where the table is stored, if given.
     """
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                chain = Chain(row, _own_totals(row, totals, homes) if totals else _nothing())
+                chain = Chain(_opened(row), _own_totals(row, totals, homes) if totals else _nothing())
                 if totals:
                     for _ in chain.run(BURN_IN, 1):
                         pass
@@ -550,10 +583,10 @@ def _sums(
                     np.bincount(chain.context, n, len(restaurants)).astype(np.uint32) for n in (chain.count, chain.t)
                 ]
                 home = _homes(restaurants, homes)
-                place = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[place], np.arange(homes + 1))
+                order = np.argsort(home, kind="stable")
+                cuts = np.searchsorted(home[order], np.arange(homes + 1))
                 sent = [
-                    (row["shard"], h, *[x[place[lo:hi]].tobytes() for x in (restaurants, *sums)])
+                    (row["shard"], h, restaurants[order[lo:hi]].tobytes(), *[_packed(x[order[lo:hi]]) for x in sums])
                     for h, lo, hi in zip(range(homes), cuts[:-1], cuts[1:]) if hi > lo
                 ]
                 yield pd.DataFrame(sent, columns=names[:5]).reindex(columns=names)
@@ -571,21 +604,24 @@ def _sums(
                 yield pd.concat(rows).reindex(columns=names)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(b) // 4 for b in group["customers"]]
+        sizes = [len(b) // 8 for b in group["restaurants"]]
         ends = np.cumsum(sizes)
         found, at = np.unique(np.frombuffer(b"".join(group["restaurants"]), np.uint64), return_inverse=True)
         sums = [
-            np.bincount(at, np.frombuffer(b"".join(group[name]), np.uint32), len(found)).astype(np.int64)[at]
+            np.bincount(at, np.concatenate([_unpacked(b, np.uint32) for b in group[name]]), len(found)).astype(np.int64)[at]
             for name in ("customers", "tables")
         ]
         return pd.DataFrame({
             "shard": group["shard"], "home": group["home"],
-            **{name: [x[e - n : e].tobytes() for e, n in zip(ends, sizes)] for name, x in zip(("customers", "tables"), sums)},
+            **{name: [_packed(x[e - n : e]) for e, n in zip(ends, sizes)] for name, x in zip(("customers", "tables"), sums)},
         })
 
     names = [part.split()[0] for part in _SUMS.split(", ")]
     columns = [*_LIGHT, *(["customers", "tables"] if totals else [])]
-    sent = stage(state.select(*columns).mapInPandas(add_up, _SUMS), "lm-sums")
+    added = state.select(*columns).mapInPandas(add_up, _SUMS)
+    spark = added.sparkSession
+    raw = scratch_path(spark, "lm-sums")
+    sent = stage(added, path=raw)
     summed = (
         sent.where("kind is not null")
         .groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
@@ -596,7 +632,9 @@ def _sums(
     parts = sent.where("home is not null").select("shard", "home", "restaurants", "customers", "tables")
     spread = parts.repartition(homes, "home") if homes > 1 else parts
     merged = spread.groupBy("home").applyInPandas(merge, "shard int, home int, customers binary, tables binary")
-    return stage(merged, "lm-totals"), found
+    merged = stage(merged, "lm-totals", place)
+    delete(spark, raw)
+    return merged, found
 
 
 def _drop_shuffles(spark: SparkSession) -> None:
@@ -654,7 +692,7 @@ def _parts(state: DataFrame, totals: Totals, homes: int) -> DataFrame:
 
 
 def _part(row: dict, totals: Totals) -> pd.DataFrame:
-    chain = Chain(row, totals)
+    chain = Chain(_opened(row), totals)
     mean = np.zeros(len(chain.count))
     for _ in chain.run(BURN_IN, SAMPLES):
         mean += chain.probability()
@@ -663,14 +701,14 @@ def _part(row: dict, totals: Totals) -> pd.DataFrame:
     for i, (tokens, _, _) in chain.share:
         known[i] = tokens
     base = np.log10((known + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
-    tokens = np.frombuffer(row["tokens"], np.uint32)
-    token_docs = np.frombuffer(row["token_docs"], np.uint16)
+    tokens = _unpacked(row["tokens"], np.uint32)
+    token_docs = _unpacked(row["token_docs"], np.uint16)
     doc = _read_places(row["token_chunks"], len(token_docs)).astype(np.int64) << 16 | token_docs
     docs, which = np.unique(doc, return_inverse=True)
     sums = [np.bincount(which, np.repeat(x, tokens), len(docs)) for x in (known[chain.dish] > 0, base[chain.dish], log)]
     cuts = np.searchsorted(docs >> 16, np.arange(len(row["chunks"]) + 1))
     return pd.DataFrame([
-        (chunk, (docs[a:b] & 0xFFFF).astype(np.uint16).tobytes(), sums[0][a:b].astype(np.uint32).tobytes(),
+        (chunk, _packed(_steps((docs[a:b] & 0xFFFF).astype(np.uint16))), _packed(sums[0][a:b].astype(np.uint32)),
          sums[1][a:b].tobytes(), sums[2][a:b].astype(np.float32).tobytes(), None, None, None)
         for chunk, a, b in zip(row["chunks"], cuts[:-1], cuts[1:]) if b > a
     ], columns=[part.split()[0] for part in _PARTS.split(", ")])
@@ -696,10 +734,13 @@ def score_documents(
     pairs = seated.agg(F.coalesce(F.sum(F.octet_length("restaurants")), F.lit(0))).first()[0] // 8
     homes = max(1, -(-pairs // PAIRS_PER_HOME))
     _drop_shuffles(docs.sparkSession)
-    merged, found = _sums(seated, None, splits, homes)
+    place = scratch_path(docs.sparkSession, "lm-totals")
+    merged, found = _sums(seated, None, splits, homes, place)
     totals = _totals(found, None)
     for _ in range(ROUNDS - 1):
-        merged, found = _sums(_joined(seated.select(*_LIGHT), merged), totals, splits, homes)
+        before, place = place, scratch_path(docs.sparkSession, "lm-totals")
+        merged, found = _sums(_joined(seated.select(*_LIGHT), merged), totals, splits, homes, place)
+        delete(docs.sparkSession, before)
         totals = _totals(found, totals)
         _drop_shuffles(docs.sparkSession)
     n_train = totals.tokens
@@ -712,9 +753,10 @@ def score_documents(
         n = np.frombuffer(info["n"], np.uint32).astype(np.int64)
         sums = np.zeros((3, len(n)))
         for row in group[group["n"].isna()].itertuples():
-            at = np.frombuffer(row.docs, np.uint16)
-            for k, (blob, kind) in enumerate(((row.known, np.uint32), (row.base, np.float64), (row.score, np.float32))):
-                sums[k][at] += np.frombuffer(blob, kind)
+            at = _summed(_unpacked(row.docs, np.uint16))
+            sums[0][at] += _unpacked(row.known, np.uint32)
+            sums[1][at] += np.frombuffer(row.base, np.float64)
+            sums[2][at] += np.frombuffer(row.score, np.float32)
         return pd.DataFrame({
             "doc_id": pd.array(list(info["ids"]), "Int64"), "held_out": np.arange(len(n)) >= info["train"], "n_tokens": n,
             "n_known": sums[0].astype(np.int64), "train_tokens": n_train, "base_score": sums[1], "score": sums[2],

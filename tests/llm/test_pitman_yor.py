@@ -218,3 +218,27 @@ def test_base_score_in_double_precision(spark):
     for d, t in rows:
         exact = math.fsum(k * math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w, k in Counter(tokens(t)).items())
         assert abs(found[d] / exact - 1) < 1e-11
+
+
+def test_tables_of_earlier_rounds_are_deleted(spark, sf_docs):
+    """On disk stay the state and the last round's totals, packed; what led to them is gone."""
+    from pathlib import Path
+
+    from ambilens.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.iterdir()}
+    found = pitman_yor.score_documents(sf_docs, crc32_mod("doc_id", 5) == 1, 20_000)
+    assert found.count() == sf_docs.count()
+    new = [p.name.rpartition("-")[0] for p in root.iterdir() if p.name not in before]
+    assert sorted(new) == ["lm-sample", "lm-state", "lm-totals"]
+
+
+def test_packed_numbers_come_back():
+    for kind in (np.uint16, np.uint32):
+        for values in ([], [7], [3, 3, 9, 2, 65_535, 0]):
+            numbers = np.array(values, kind)
+            packed = pitman_yor._packed(pitman_yor._steps(numbers))
+            assert pitman_yor._summed(pitman_yor._unpacked(packed, kind)).tolist() == values
+    many = np.arange(100_000, dtype=np.uint32)
+    assert len(pitman_yor._packed(pitman_yor._steps(many))) < 1_000
