@@ -142,3 +142,17 @@ def test_copies_of_a_text_are_bounded(spark, monkeypatch):
     got = pairs.translation_pairs(df, 2).collect()
     assert sorted((r.source_index, r.sentence1, r.sentence2) for r in got) == expected(hot_texts(600))
     assert pairs.plan_pairs(df, 1000).units == pairs.plan_pairs(df, 1000).sources
+
+
+def test_wanted_keys_meet_the_cache_where_they_are_grouped(spark):
+    """One exchange on either side: keys that were made distinct don't move again for the join."""
+    from ambilens.operators.scoring import wanted_keys
+
+    place = "source_index int, one struct<a:long,b:int>, two struct<a:long,b:int>"
+    rows = [(b"\x04", 1, 2, (1, 1), (2, 2)), (b"\x04", 1, 1, (1, 1), (2, 2)), (b"\x08", 2, 1, (1, 1), (3, 3))]
+    wanted = wanted_keys(spark.createDataFrame(rows, f"key binary, bucket int, {place}"))
+    held = spark.createDataFrame([(b"\x08",)], "key binary")
+    absent = wanted.join(held.hint("merge"), "key", "left_anti")
+    plan = absent._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert [(bytes(r.key), r.bucket, r.source_index) for r in absent.collect()] == [(b"\x04", 1, 1)]
