@@ -181,3 +181,86 @@ def test_graph_odd_rows(spark):
     assert len(found[0]) == 20 and found[0][0] == (-2.0, 20)
     empty = graph_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))
     assert empty.count() == 0 and empty.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def words_of(rng, n, of=200):
+    return " ".join(f"w{int(x)}" for x in rng.zipf(1.2, n) % of)
+
+
+def test_blocks_of_a_shard_hide_nothing(monkeypatch):
+    """A first block with exactly k documents doesn't hide better ones of the next."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(wand, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    for n in (8, 11, 16, 40, 90):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [words_of(rng, 30, 60) for _ in range(n)]})
+        row = {k: v[0] for k, v in wand._shard(batch, 0).to_pydict().items()}
+        sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        index = wand.Index(row, [{"part": 0, "docs": sizes.tobytes()}], wand.Corpus(n, 30.0))
+        for own in range(0, n, 3):
+            words = np.unique(index.word_by_doc[index.doc_start[own] : index.doc_start[own + 1]])
+            for k in (5, 7, 8):
+                best, score = index.top(index.words[words], np.ones(len(words), np.uint32), k, own)
+                index.weight[words] = 1
+                every = index.exact(np.arange(n))
+                index.weight[words] = every[own] = 0
+                order = np.lexsort((np.arange(n), -every))[:k]
+                order = order[every[order] > 0]
+                assert best.tolist() == order.tolist() and np.allclose(score, every[order])
+
+
+@pytest.mark.parametrize("frequent", [1, 4, 1000])
+def test_shards_beat_the_best_before_them(frequent, monkeypatch):
+    """Frequent words by rows, others by postings; a shard returns only what beats the earlier ones."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(wand, "FREQUENT", frequent)
+    monkeypatch.setattr(wand, "BLOCK", 64)
+    monkeypatch.setattr(wand, "BATCH", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, words_of(rng, int(rng.integers(1, 60)))) for i in range(1600)]
+    rows += [(1600 + i, rows[i][1]) for i in range(50)]  # copies: equal scores in other shards
+    shards = []
+    for at in range(0, len(rows), 165):
+        ids, texts = zip(*rows[at : at + 165])
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(ids), "text": list(texts)})
+        shards.append({k: v[0] for k, v in wand._shard(batch, 0).to_pydict().items()})
+    docs = Counter()
+    for s in shards:
+        docs.update(dict(zip(np.frombuffer(s["words"], np.uint64).tolist(), np.frombuffer(s["sizes"], np.uint32).tolist())))
+    bags = [Counter(t.split()) for _, t in rows]
+    corpus = wand.Corpus(len(rows), sum(sum(b.values()) for b in bags) / len(rows))
+    asked = []
+    for i in range(0, len(rows), 25):
+        known = wand.dictionary()
+        (ids,) = wand.numbered([rows[i][1]], known)
+        n = np.bincount(ids, minlength=len(known))
+        asked.append((i, wand.hashes(known)[n > 0], n[n > 0]))
+    queries, best, returned = wand.Bags(asked), wand.Best(len(asked), 10), []
+    for s in shards:
+        df = np.array([docs[w] for w in np.frombuffer(s["words"], np.uint64).tolist()], np.int64)
+        index = wand.Index(s, [{"part": 0, "docs": df.tobytes()}], corpus)
+        q, place, score = index.found(queries, 10, best.beat)
+        best.add(q, index.plain_ids[place], score)
+        returned.append(len(q))
+    wanted = plain_bm25(rows, lambda d: d % 25 == 0, 10)
+    found = {i: best.doc[best.query == j].tolist() for j, (i, _, _) in enumerate(asked)}
+    assert found == {q: [d for _, d in v] for q, v in wanted.items()}
+    assert sum(returned[5:]) < 0.5 * 10 * len(asked) * len(returned[5:])
+
+
+def test_tasks_return_their_best(spark, monkeypatch):
+    """A task returns k documents of a query, however many shards it searched."""
+    monkeypatch.setattr(wand, "SHARD_DOCS", 10)
+    stored, returned, one_a_file, block = [], [], wand._one_a_file, wand._search_block
+    monkeypatch.setattr(wand, "_one_a_file", lambda index: stored.append(one_a_file(index)) or stored[-1])
+    monkeypatch.setattr(wand, "_search_block", lambda *a: returned.append(block(*a)) or returned[-1])
+    rng = np.random.default_rng(7)
+    rows = [(i, words_of(rng, 20, 50)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = as_lists(wand.search(docs, F.col("doc_id") % 50 == 0, k=5), "doc_id")
+    same(found, plain_bm25(rows, lambda d: d % 50 == 0, 5))
+    shards, tasks = stored[0].count(), spark.sparkContext.defaultParallelism
+    assert shards >= 60 > tasks
+    assert returned[0].count() <= 12 * 5 * tasks
