@@ -59,9 +59,24 @@ def test_pair_join_reuses_its_partitioning(spark):
         assert "ENSURE_REQUIREMENTS" not in joined
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 3, 9, None])
+def test_ordered_pairs_are_not_shuffled(spark, partitions):
+    """Every pair once, in order over all partitions; only texts are exchanged."""
+    rows = hot_texts(300)
+    df = spark.createDataFrame([*rows, (None, "x", 0, "p"), (1, "s1", 1, None)], SCHEMA).withColumn("n", F.length("processed_text"))
+    found = pairs.translation_pairs(df, 10, partitions, ordered=True, carry=["n"])
+    got = found.withColumn("at", F.spark_partition_id()).collect()
+    assert [(r.source_index, r.sentence1, r.sentence2) for r in got] == expected(rows)
+    assert all((r.n1, r.n2, r.source_text) == (len(r.sentence1), len(r.sentence2), f"s{r.source_index}") for r in got)
+    assert len({r["at"] for r in got}) > 4 * (partitions == 9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_pairs_without_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pairs.translation_pairs(empty).count() == 0
+    assert pairs.translation_pairs(empty, ordered=True).count() == 0
     assert pairs.pair_estimate(empty).first().n_pairs == 0
     lone = spark.createDataFrame([(1, "s", 0, "a"), (2, "t", 0, "a")], SCHEMA)
     assert pairs.translation_pairs(lone).count() == 0
