@@ -264,3 +264,34 @@ def test_tasks_return_their_best(spark, monkeypatch):
     shards, tasks = stored[0].count(), spark.sparkContext.defaultParallelism
     assert shards >= 60 > tasks
     assert returned[0].count() <= 12 * 5 * tasks
+
+
+def test_blocks_hold_documents_of_like_words(monkeypatch):
+    """Documents of two vocabularies, mixed: a query meets the blocks of its own only."""
+    import pyarrow as pa
+
+    for name, value in (("GROUPED", 100), ("BLOCK", 64), ("SPAN", 8)):
+        monkeypatch.setattr(wand, name, value)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.zipf(1.3, int(rng.integers(5, 40))) % 90) for i in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    row = {k: v[0] for k, v in wand._shard(batch, 0).to_pydict().items()}
+    sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+    bags = [Counter(t.split()) for t in texts]
+    corpus = wand.Corpus(600, sum(sum(b.values()) for b in bags) / 600)
+    index = wand.Index(row, [{"part": 0, "docs": sizes.tobytes()}], corpus)
+    asked = []
+    for i in range(0, 600, 5):
+        known = wand.dictionary()
+        (ids,) = wand.numbered([texts[i]], known)
+        n = np.bincount(ids, minlength=len(known))
+        asked.append((i, wand.hashes(known)[n > 0], n[n > 0]))
+    queries, best, met, rows = wand.Bags(asked), wand.Best(len(asked), 10), [], index._rows
+    monkeypatch.setattr(index, "_rows", lambda factors, b: met.append(len(factors) * np.diff(index.block_start)[b]) or rows(factors, b))
+    query, place, score = index.found(queries, 10, best.beat)
+    best.add(query, index.plain_ids[place], score)
+    wanted = plain_bm25(list(enumerate(texts)), lambda d: d % 5 == 0, 10)
+    assert {int(i): best.doc[best.query == j].tolist() for j, i in enumerate(queries.ids)} == {
+        q: [d for _, d in v] for q, v in wanted.items()
+    }
+    assert sum(met) <= 0.55 * len(asked) * len(texts)
