@@ -271,8 +271,11 @@ def _clear(spark: SparkSession, output_dir: str, emptied: DataFrame) -> None:
 
     Dynamic overwrite replaces only partitions that receive rows.
     """
+    # Reading the table lists its folders, one for each archive.
+    if emptied.isEmpty():
+        return
     old = read_or_none(spark, output_dir, f"{CANDIDATE_SCHEMA}, folder string, model_tag string")
-    if old is None or emptied.isEmpty():
+    if old is None:
         return
     stale = old.select("folder", "model_tag", F.col("_metadata.file_path").alias("file"))
     stale = stale.join(emptied.select("folder", "model_tag"), ["folder", "model_tag"], "left_semi")

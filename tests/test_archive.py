@@ -388,3 +388,20 @@ def test_a_partition_is_written_by_one_task(spark, tmp_path, monkeypatch):
         files[bound] = len(list(out.glob("folder=*/model_tag=one/*.parquet")))
     # Small partitions of a shuffle are put together, so the second bound may give one too.
     assert files[500] == 1 <= files[10] <= 6
+
+
+def test_overwriting_lists_the_table_only_to_drop_files(spark, tmp_path, monkeypatch, rows):
+    """The folders that were written before are listed where an archive has lost its candidates."""
+    raw, out, read, seen = tmp_path / "raw", str(tmp_path / "out"), extract.read_or_none, []
+    monkeypatch.setattr(extract, "read_or_none", lambda spark, path, schema: seen.append(path) or read(spark, path, schema))
+    write(raw / "a.pkl.gz", metadata(), batch(0, [["x"]]))
+    write(raw / "b.pkl.gz", metadata(), batch(0, [["y"], ["z"]]))
+    extract.extract_archives(spark, str(raw), out)
+    write(raw / "a.pkl.gz", metadata(), batch(0, [["new"]]))
+    seen.clear()
+    extract.extract_archives(spark, str(raw), out, overwrite=True)
+    assert out not in seen
+    assert rows(extract.read_candidates(spark, out), "model_tag", "raw_text") == [("a", "new"), ("b", "y"), ("b", "z")]
+    write(raw / "b.pkl.gz", metadata())
+    extract.extract_archives(spark, str(raw), out, overwrite=True)
+    assert rows(extract.read_candidates(spark, out), "model_tag", "raw_text") == [("a", "new")]
